@@ -423,3 +423,16 @@ def fields_by_band(boxes: DataFrame, bands: dict[str, tuple[int, int]] = GROUP_B
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "label", "text"))), lambda s: F.concat(s["label"], F.lit("="), s["text"])).alias("labels"))
         .select(*PAGE, F.format_string("item_%05d", "nth").alias("group_id"), F.concat_ws("|", "labels").alias("labels"))
     )
+
+
+# Y bands per field of the batch labeller.
+Y_BANDS = [
+    ("order_number", 70, 105), ("case_mark", 1300, 1500), ("shipping_line", 1300, 1500), ("item_number", 1680, 1730), ("part_number", 1690, 1730),
+    ("delivery_date", 1790, 1820), ("quantity", 1795, 1820), ("unit_price", 1795, 1820), ("total", 2100, 2135),
+]
+
+
+def in_bands(boxes: DataFrame, bands: Sequence[tuple[str, int, int]] = Y_BANDS) -> DataFrame:
+    """Boxes with each band they lie in (the bands are a fixed list, tested in place)."""
+    hits = F.array_compact(F.array(*[F.when(F.col("y").between(lo, hi), F.lit(name)) for name, lo, hi in bands]))
+    return boxes.withColumn("field", F.explode(hits))

@@ -55,6 +55,12 @@ def materialized(spark: SparkSession, name: str, source: str, build: Callable[[]
     return spark.read.parquet(path)
 
 
+def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A learned table, computed once; broadcast only when it is counted to be small, else left to a shuffled join."""
+    small = cut(df)
+    return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
