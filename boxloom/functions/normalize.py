@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 # Accepted date formats, in order of trial.
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss"]
-LISTED_FORMATS = ["MM-dd-yyyy", "yyyy-MM-dd", "MM/dd/yyyy", "yyyy/MM/dd"]
+DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "d-M-yyyy", "d/M/yyyy", "yyyy-M-d H:m:s", "yyyy/M/d H:m:s"]
+LISTED_FORMATS = ["M-d-yyyy", "yyyy-M-d", "M/d/yyyy", "yyyy/M/d"]
 TARGETS = {"MM-DD-YYYY": "MM-dd-yyyy", "YYYY-MM-DD": "yyyy-MM-dd", "MM/DD/YYYY": "MM/dd/yyyy"}
 CHECK_WORDS = ["true", "1", "yes", "on", "checked"]
 

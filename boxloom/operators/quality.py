@@ -101,7 +101,7 @@ def _five(c: str, name: str, freq: str = "f") -> list[Column]:
     v, f = F.col(c).cast("decimal(20,0)"), F.col(freq)
     n, s1, s2 = F.sum(f), F.sum(v * f), F.sum(v * v * f)
     var = (s2 - s1 * s1 / n) / (n - 1)
-    return [(s1 / n).cast("double").alias(f"{name}_mean"), F.percentile(c, F.lit(0.5), freq).alias(f"{name}_median"),
+    return [(s1 / n).cast("double").alias(f"{name}_mean"), F.percentile(F.col(c), F.lit(0.5), f).alias(f"{name}_median"),
             F.when(n > 1, F.sqrt(var.cast("double"))).otherwise(0.0).alias(f"{name}_std"), F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max")]
 
 
