@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.bbox import Box
 from ..functions.signature import label_grid_signature
-from ..scale import PAGE, checked_broadcast, entity_levels, ranked, topk
+from ..scale import PAGE, checked_broadcast, cut, entity_levels, ranked, topk
 from ..schema import PAGE_HEIGHT, PAGE_WIDTH
 from . import sequences as SQ
 from .grouping import bin_rows, table_regions
@@ -48,12 +49,14 @@ def _normal(boxes: DataFrame) -> DataFrame:
     return boxes
 
 
-def learn(boxes: DataFrame, min_pages: int = 2, min_share: float = 0.0, keep: float = 0.5, required: float = 0.8, row_share: float = 0.3) -> Templates:
+def learn(boxes: DataFrame, min_pages: int = 2, min_share: float = 0.0, keep: float = 0.5, required: float = 0.8, row_share: float = 0.3,
+          store: bool = False) -> Templates:
     """Templates of all groups of at least ``min_pages`` pages (and ``min_share`` of all pages).
 
-    A field is kept when its box count is at least ``keep`` of the pages, it is required from ``required`` on.
+    A field is kept when its box count is at least ``keep`` of the pages, it is required from ``required`` on. ``store``
+    computes the learned tables once, for use in several jobs.
     """
-    signed = page_signatures(boxes)
+    signed = cut(page_signatures(boxes)) if store else page_signatures(boxes)
     groups = checked_broadcast(_groups(signed, min_pages, min_share))
     member = signed.join(groups, TKEY)
     # The signatures of the member pages are narrow; the boxes meet them once.
@@ -64,14 +67,16 @@ def learn(boxes: DataFrame, min_pages: int = 2, min_share: float = 0.0, keep: fl
     shapes = SQ.text_patterns(own.filter("label <> ''"), key).drop("n")
     share = F.col("n") / F.col("samples")
     fields = found.filter(share >= keep).withColumn("share", share).withColumn("required", share >= required).join(shapes, key)
+    fields = cut(fields) if store else fields
     names = fields.groupBy(*TKEY, "samples").agg(F.count("*").alias("n_fields"), F.array_join(F.array_sort(F.collect_set("label")), "").alias("_names"),
-                                                 F.concat_ws(">", F.transform(F.array_sort(F.collect_list(F.struct("yn_mean", "xn_mean", "label"))), lambda s: s["label"])).alias("field_order"))
+                                                 F.concat_ws(">", F.transform(F.array_sort(F.collect_list(F.struct(F.round("yn_mean", 9), F.round("xn_mean", 9), "label"))), lambda s: s["label"])).alias("field_order"))
     ident = F.substring(F.md5(F.concat_ws("_", "doc_type", "signature", F.col("n_fields").cast("string"), "_names")), 1, 12)
     templates = names.withColumn("template_id", ident).withColumn("name", F.concat_ws("_", "doc_type", "signature")).drop("_names")
     sequences = SQ.bin_sequences(boxes.select(*PAGE, "entity_seq", "label", "x", "y", "height")).join(member, PAGE).groupBy(*TKEY, "samples", "sequence").agg(F.count("*").alias("n"))
     rows = sequences.filter(F.col("n") >= F.col("samples") * row_share)
     ids = templates.select(*TKEY, "template_id")
-    return Templates(templates, fields.join(ids, TKEY), rows.join(ids, TKEY).drop("samples"))
+    rows = rows.join(ids, TKEY).drop("samples")
+    return Templates(templates, fields.join(ids, TKEY), cut(rows) if store else rows)
 
 
 def template_areas(boxes: DataFrame, samples: int = 3) -> DataFrame:
@@ -147,31 +152,35 @@ def match(boxes: DataFrame, known: Templates, threshold: float = 0.7) -> DataFra
 def predict(boxes: DataFrame, matched: DataFrame, known: Templates, above: float = 0.5) -> DataFrame:
     """Best field of the matched template per box: 0.6 position + 0.4 pattern, over ``above``.
 
-    A template's fields travel as one array (one entry per label of the vocabulary).
+    A box meets the fields of its own template; the winner is a maximum over one number (score, then field order), so the
+    reduction is a hash aggregate on the partitioning of the page join.
     """
-    item = F.struct("label", "xn_mean", "yn_mean", F.greatest("xn_std", "yn_std", F.lit(0.01)).alias("spread"), "length_mean", "patterns", "prefix", "suffix")
-    table = known.fields.groupBy("template_id").agg(F.array_sort(F.collect_list(item)).alias("_fields"))
+    place = F.row_number().over(W.partitionBy("template_id").orderBy("label"))  # fields of one template: the vocabulary
+    has = lambda name: F.array_contains(F.split("patterns", ","), name)
+    table = checked_broadcast(known.fields.select(
+        "template_id", "label", place.alias("idx"), "xn_mean", "yn_mean", F.greatest("xn_std", "yn_std", F.lit(0.01)).alias("spread"), F.round("length_mean").alias("size"),
+        has("numeric").alias("is_num"), has("alphanumeric").alias("is_aln"), "prefix", "suffix"))
     text = F.col("text")
 
-    def pattern(f: Column) -> Column:
-        names = F.split(f["patterns"], ",")
-        flag = lambda test: F.when(test, 1.0).otherwise(0.0)
-        parts = F.array_compact(F.array(
-            F.when(F.array_contains(names, "numeric") & text.rlike("^[0-9]+$"), F.lit(1.0)), F.when(F.array_contains(names, "alphanumeric") & text.rlike("^[A-Za-z0-9]+$"), F.lit(1.0)),
-            F.when(f["length_mean"].isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(F.length(text) - F.round(f["length_mean"])) / 10)),
-            F.when(f["prefix"].isNotNull(), flag(text.startswith(f["prefix"]))), F.when(f["suffix"].isNotNull(), flag(text.endswith(f["suffix"])))))
-        mean = F.aggregate(parts, F.lit(0.0), lambda a, v: a + v) / F.size(parts)
-        return F.when((text == "") | (F.size(parts) == 0), 0.5).otherwise(mean)
-
-    def total(f: Column, i: Column) -> Column:
-        gap = F.sqrt(F.pow(F.col("xn") - f["xn_mean"], F.lit(2)) + F.pow(F.col("yn") - f["yn_mean"], F.lit(2)))
-        position = F.greatest(F.lit(0.0), 1 - gap / (f["spread"] * 5))
-        return F.struct(F.round(position * 0.6 + pattern(f) * 0.4, 9).alias("score"), (-i).alias("first"), f["label"].alias("label"))
-
-    best = F.array_max(F.transform("_fields", total))
-    joined = _normal(boxes.drop("doc_type")).join(matched.select(*PAGE, "template_id", F.col("score").alias("match_score")), PAGE).join(checked_broadcast(table), "template_id")
-    return joined.withColumn("_best", best).filter(F.col("_best.score") > above).select(
-        *PAGE, "entity_seq", "label", "text", "template_id", F.col("_best.label").alias("predicted"), (F.col("_best.score") * F.col("match_score")).alias("confidence"))
+    # Pattern score: mean over the patterns the field has; numeric and alphanumeric count only when they fit.
+    parts = [
+        (F.col("is_num") & text.rlike("^[0-9]+$"), F.lit(1.0)), (F.col("is_aln") & text.rlike("^[A-Za-z0-9]+$"), F.lit(1.0)),
+        (F.col("size").isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(F.length(text) - F.col("size")) / 10)),
+        (F.col("prefix").isNotNull(), text.startswith(F.col("prefix")).cast("double")), (F.col("suffix").isNotNull(), text.endswith(F.col("suffix")).cast("double")),
+    ]
+    count = sum((F.when(test, 1).otherwise(0) for test, _ in parts), F.lit(0))
+    total = sum((F.when(test, value).otherwise(0.0) for test, value in parts), F.lit(0.0))
+    pattern = F.when((text == "") | (count == 0), 0.5).otherwise(total / count)
+    dx, dy = F.col("xn") - F.col("xn_mean"), F.col("yn") - F.col("yn_mean")
+    position = F.greatest(F.lit(0.0), 1 - F.sqrt(dx * dx + dy * dy) / (F.col("spread") * 5))
+    points = F.round((position * 0.6 + pattern * 0.4) * 1_000_000_000).cast("long")
+    narrow = boxes.select(*PAGE, "entity_seq", "text", (F.col("x") / PAGE_WIDTH).alias("xn"), (F.col("y") / PAGE_HEIGHT).alias("yn"))
+    met = narrow.join(matched.select(*PAGE, "template_id", F.col("score").alias("match_score")), PAGE).join(table, "template_id")
+    best = met.groupBy(*PAGE, "entity_seq", "template_id", "match_score").agg(F.max(points * 1_000_000 + 999_999 - F.col("idx")).alias("_best"))
+    score = F.expr("_best div 1000000") / 1_000_000_000
+    found = best.withColumn("score", score).filter(F.col("score") > above).withColumn("idx", (999_999 - F.pmod("_best", F.lit(1_000_000))).cast("int"))
+    return found.join(table.select("template_id", "idx", F.col("label").alias("predicted")), ["template_id", "idx"]).select(
+        *PAGE, "entity_seq", "template_id", "predicted", (F.col("score") * F.col("match_score")).alias("confidence"))
 
 
 def missing_required(matched: DataFrame, predicted: DataFrame, known: Templates) -> DataFrame:

@@ -31,7 +31,7 @@ fd AS (SELECT doc_type, signature, samples, label, count(*) AS n, avg(x / 2480)
   min(text) AS a, max(text) AS b, min(reverse(text)) AS c, max(reverse(text)) AS e FROM ow GROUP BY doc_type, signature, samples, label HAVING count(*) >= samples * 0.5),
 fp AS (SELECT *, share >= 0.8 AS required, substring(a, 1, CAST(coalesce(list_max(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substring(a, 1, i) = substring(b, 1, i))), 0) AS INT)) AS pre,
   reverse(substring(c, 1, CAST(coalesce(list_max(list_filter(range(1, least(length(c), length(e)) + 1), lambda i: substring(c, 1, i) = substring(e, 1, i))), 0) AS INT))) AS suf FROM fd),
-tn AS (SELECT doc_type, signature, samples, count(*) AS n_fields, string_agg(label, '>' ORDER BY yn_mean, xn_mean, label) AS field_order,
+tn AS (SELECT doc_type, signature, samples, count(*) AS n_fields, string_agg(label, '>' ORDER BY round(yn_mean, 9), round(xn_mean, 9), label) AS field_order,
   substring(md5(concat(doc_type, '_', signature, '_', CAST(count(*) AS VARCHAR), '_', string_agg(label, '' ORDER BY label))), 1, 12) AS template_id FROM fd GROUP BY doc_type, signature, samples),
 ff AS (SELECT fp.*, tn.template_id FROM fp JOIN tn USING (doc_type, signature)),
 br AS (SELECT doc_id, CAST(floor((y + height / 2) / 30) AS BIGINT) AS bin, string_agg(label, ' > ' ORDER BY x, y, entity_seq) AS sequence FROM po_entities GROUP BY ALL HAVING count(*) > 1),
@@ -90,13 +90,13 @@ mt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY
 
 
 def known(spark, d):
-    return TP.learn(typed(spark, d), min_share=SHARE)
+    return TP.learn(typed(spark, d), min_share=SHARE, store=True)
 
 
-@query("match_template", f"WITH {MATCH_SQL} SELECT doc_id, template_id, round(score, 7) AS score, round(field_score, 7) AS field_score, round(structure_score, 7) AS structure_score FROM mt")
+@query("match_template", f"WITH {MATCH_SQL} SELECT doc_id, template_id, score, round(field_score, 7) AS field_score, round(structure_score, 7) AS structure_score FROM mt")
 def match_template(spark, d):
     m = TP.match(typed(spark, d), known(spark, d))
-    return m.select("doc_id", "template_id", *[F.round(c, 7).alias(c) for c in ("score", "field_score", "structure_score")])
+    return m.select("doc_id", "template_id", "score", *[F.round(c, 7).alias(c) for c in ("field_score", "structure_score")])
 
 
 PREDICT_SQL = f"""{MATCH_SQL},
