@@ -72,6 +72,19 @@ def band_groups(
     )
 
 
+def chain_totals(boxes: DataFrame, pos: Column, threshold: float, measure: Column | None = None, keys: Sequence[str] = PAGE) -> DataFrame:
+    """Chain groups of a page without their boxes: count ``n`` and sum ``s`` of ``measure`` per group ``g``.
+
+    Boxes are reduced to the distinct positions of the page map-side; the chain runs over those.
+    """
+    value = measure if measure is not None else F.lit(0)
+    spots = boxes.groupBy(*keys, pos.alias("_p")).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    w = W.partitionBy(*keys).orderBy("_p")
+    far = F.col("_p") - F.lag("_p").over(w) >= threshold
+    numbered = spots.withColumn("_far", F.when(far, 1).otherwise(0)).withColumn("g", F.sum("_far").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "g").agg(F.sum("_n").alias("n"), F.sum("_s").alias("s"))
+
+
 def first_match_rows(boxes: DataFrame, threshold: float = 30, keys: Sequence[str] = PAGE, name: str = "row_no") -> DataFrame:
     """A box joins the oldest row whose center is within ``threshold``; rows open in order of ``entity_seq``.
 
@@ -326,9 +339,7 @@ def layout_class(boxes: DataFrame) -> DataFrame:
 def alignment_scores(boxes: DataFrame, threshold: float = 5) -> DataFrame:
     """Share of the biggest chain of aligned coordinates per axis (0 for a page of one box)."""
     def side(axis: str, name: str) -> DataFrame:
-        got = band_groups(boxes, axis=axis, by="top", rule="chain", threshold=threshold, name="g")
-        return got.groupBy(*PAGE, "g").agg(F.count("*").alias("n")).groupBy(*PAGE).agg(
-            (F.when(F.sum("n") < 2, 0.0).otherwise(F.max("n") / F.sum("n"))).alias(name))
+        return chain_totals(boxes, F.col(axis), threshold).groupBy(*PAGE).agg(F.when(F.sum("n") < 2, 0.0).otherwise(F.max("n") / F.sum("n")).alias(name))
 
     return side("x", "horizontal").join(side("y", "vertical"), PAGE).withColumn("overall", (F.col("horizontal") + F.col("vertical")) / 2)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import bbox as B
 from ..functions.bbox import Box
@@ -157,19 +158,18 @@ def overlap_penalty(boxes: DataFrame) -> DataFrame:
         *PAGE, F.when(n < 2, 0.0).otherwise(F.coalesce("hits", F.lit(0)) / (n * (n - 1) / 2)).alias("penalty"))
 
 
-def band_counts(boxes: DataFrame, pos: Column, reach: float, name: str) -> DataFrame:
-    """Boxes of the page whose position differs by less than ``reach`` (the box itself counts).
+def band_counts(boxes: DataFrame, pos: Column, reach: int, name: str) -> DataFrame:
+    """Boxes of the page whose whole-number position differs by less than ``reach`` (the box itself counts).
 
-    Each distinct position of a page is counted once, so a full page never meets itself box by box.
+    The distinct positions of a page are counted first (at most two per pixel), the frame runs over those.
     """
     placed = boxes.withColumn("_p", pos.cast("long"))
-    spots = placed.groupBy(*PAGE, "_p").agg(F.count("*").alias("_n"))
-    near = near_pairs(spots, spots, PAGE, {"_p": reach}, F.abs(F.col("a__p") - F.col("b__p")) < reach)
-    total = near.groupBy(*PAGE, F.col("a__p").alias("_p")).agg(F.sum("b__n").alias(name))
+    w = W.partitionBy(*PAGE).orderBy("_p").rangeBetween(-(reach - 1), reach - 1)
+    total = placed.groupBy(*PAGE, "_p").agg(F.count("*").alias("_n")).select(*PAGE, "_p", F.sum("_n").over(w).alias(name))
     return placed.join(total, [*PAGE, "_p"]).drop("_p")
 
 
-def near_entities(boxes: DataFrame, reach: float = 100, row: float = 30) -> DataFrame:
+def near_entities(boxes: DataFrame, reach: float = 100, row: int = 30) -> DataFrame:
     """Neighbours closer than ``reach`` and boxes of the same height (the box itself counts for the height)."""
     near = close_pairs(boxes, reach, ordered=True, strict=True).groupBy(*PAGE, F.col("a_entity_seq").alias("entity_seq")).agg(F.count("*").alias("near_count"))
     return band_counts(boxes, Box.of().cy2, 2 * row, "same_row_count").join(near, [*PAGE, "entity_seq"], "left").withColumn(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..scale import materialized, ranked
+from ..scale import materialized, ranked, table_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,12 @@ def build_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def entities_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the written box table."""
+    entities(spark, sf_dir)
+    return table_path(spark, "po_entities", sf_dir)
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box table, written once per application and input folder."""
     return materialized(spark, "po_entities", sf_dir, lambda: build_entities(spark, sf_dir))

@@ -7,9 +7,10 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..operators import convert as V, quality as Q
-from ..scale import shared_dir
+from ..scale import cut, shared_dir
 from ..sources import readers as RD, writers as WR
 from .fixture import entities, table
+from .q_grouping import PARTS_SQL
 from .q_quality import quality_fields
 from .registry import query
 
@@ -153,24 +154,26 @@ def flat_pages(spark, d):
     return pages.select(F.concat(F.lit("po_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), (F.col("part") + 1).alias("pageNumber"), F.lit("purchase_order").alias("class"), "bboxes")
 
 
-@query("src_labels_v1")
+@query("src_labels_v1", "SELECT concat('po_', CAST(doc_id AS VARCHAR), '.pdf') AS file_name, 1 AS page_number, 'purchase_order' AS doc_class, row_number() OVER (PARTITION BY doc_id ORDER BY entity_seq) AS entity_seq, x, y, width, height, label, text, CAST(line_no AS VARCHAR) AS group_id, ocr_original, ocr_confidence, was_corrected FROM po_entities")
 def src_labels_v1(spark, d):
     path = folder(spark, d, "labels_v1")
     WR.json(flat_pages(spark, d), path)
     return RD.labels_v1(spark, path, None, multiline=False).drop("file")
 
 
-@query("src_labels_v2")
+@query("src_labels_v2", f"""SELECT concat('po_', CAST(doc_id AS VARCHAR)) AS file_name, 1 AS page_number, 'purchase_order' AS document_type, {RN} AS entity_seq, format('ent_{{:03d}}', {RN} - 1) AS entity_id, label, text, x, y, width, height, ocr_original, ocr_confidence,
+ text AS corrected_value, was_corrected FROM po_entities WHERE doc_id NOT IN (SELECT doc_id FROM po_entities GROUP BY doc_id HAVING round(avg(ocr_confidence), 6) < 0.7E0)""")
 def src_labels_v2(spark, d):
     path = folder(spark, d, "labels_v2")
     docs = V.page_documents(V.entity_rows(entities(spark, d)))
     meta = F.struct(F.concat(F.lit("po_"), F.col("doc_id").cast("string")).alias("filename"), F.col("page_number").alias("pageNumber"), F.lit("purchase_order").alias("document_type"))
-    version = F.when(F.col("doc_id") % 5 == 0, "1.0").otherwise(F.col("annotation_version"))
+    version = F.when(F.round("overall_confidence", 6) < 0.7, "1.0").otherwise(F.col("annotation_version"))
     WR.json(docs.select(version.alias("annotation_version"), meta.alias("document_metadata"), "entities"), path)
     return RD.labels_v2(spark, path, None, multiline=False).drop("file")
 
 
-@query("src_annotations_grouped")
+@query("src_annotations_grouped", """SELECT concat('po_', CAST(doc_id AS VARCHAR)) AS file_name, 'purchase_order' AS doc_class, format('item_{:05d}', line_no) AS group_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS item_pos,
+ row_number() OVER (PARTITION BY doc_id, line_no ORDER BY entity_seq) - 1 AS pos, label, text, x, y, width, height FROM po_entities""")
 def src_annotations_grouped(spark, d):
     path = folder(spark, d, "grouped")
     groups = V.nested_groups(entities(spark, d))
@@ -180,16 +183,16 @@ def src_annotations_grouped(spark, d):
     return RD.annotations_grouped(spark, path, None, multiline=False).drop("file")
 
 
-@query("src_jsonl")
+@query("src_jsonl", "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang <> 'de'")
 def src_jsonl(spark, d):
     path = folder(spark, d, "samples")
-    rows = table(spark, d, "documents").select(F.to_json(F.struct("doc_id", "lang", "source", "n_chars")).alias("value"), "doc_id")
-    broken = rows.select(F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("{broken "), F.col("value"))).otherwise(F.col("value")).alias("value"))
+    rows = table(spark, d, "documents").select(F.to_json(F.struct("doc_id", "lang", "source", "n_chars")).alias("value"), "lang")
+    broken = rows.select(F.when(F.col("lang") == "de", F.concat(F.lit("{broken "), F.col("value"))).otherwise(F.col("value")).alias("value"))
     broken.write.mode("overwrite").text(path)
     return RD.jsonl(spark, path, "doc_id bigint, lang string, source string, n_chars bigint")
 
 
-@query("src_csv_stats")
+@query("src_csv_stats", "SELECT label, count(*) AS n, count(*) FILTER (was_corrected) AS corrected, CAST(r.run AS INT) AS run FROM po_entities, (VALUES (1), (2)) r(run) GROUP BY label, r.run")
 def src_csv_stats(spark, d):
     path = folder(spark, d, "stats")
     stats = entities(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.count_if("was_corrected").alias("corrected"))
@@ -260,7 +263,7 @@ def append_annotation_fields(spark, d):
     return spark.read.schema(base.schema).parquet(path).select("doc_id", "entity_seq", "field_name", "confidence_score")
 
 
-@query("snk_group_json")
+@query("snk_group_json", f"WITH {PARTS_SQL} SELECT type, count(*) AS groups FROM (SELECT DISTINCT doc_id, group_id, type FROM g) GROUP BY type")
 def snk_group_json(spark, d):
     from ..operators.grouping import part_number_groups
 
@@ -268,6 +271,7 @@ def snk_group_json(spark, d):
     groups = part_number_groups(entities(spark, d))
     label = F.struct("entity_seq", "label", "text", F.array("x", "y", "width", "height").alias("bbox"))
     nested = groups.groupBy("doc_id", "group_id", "type", F.expr("entity_seq div 10000").alias("part")).agg(F.array_sort(F.collect_list(label)).alias("labels"), F.max("item_number").alias("item_number"))
+    nested = cut(nested)  # written twice
     for version in ("1", "2"):
         WR.group_pages(nested, path, version)
     return spark.read.schema("doc_id bigint, group_id string, type string, item_number string, version int").json(path).filter("version = 2").groupBy("type").agg(F.count("*").alias("groups"))

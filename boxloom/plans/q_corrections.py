@@ -13,14 +13,14 @@ from .registry import query
 KEY = ["doc_id", "entity_seq"]
 
 CORR_SQL = """
-corr AS (SELECT doc_id, entity_seq, label, ocr_original, text AS corrected, ocr_confidence, 'v1' AS source FROM po_entities WHERE doc_id % 2 = 0 AND ocr_original <> '' AND text <> '' AND ocr_original <> text
- UNION ALL SELECT doc_id, entity_seq, label, ocr_original, text, ocr_confidence, 'v2' FROM po_entities WHERE doc_id % 2 = 1 AND ocr_original <> '' AND ocr_original <> text)"""
+corr AS (SELECT doc_id, entity_seq, label, ocr_original, text AS corrected, ocr_confidence, 'v1' AS source FROM po_entities WHERE line_no > 0 AND ocr_original <> '' AND text <> '' AND ocr_original <> text
+ UNION ALL SELECT doc_id, entity_seq, label, ocr_original, text, ocr_confidence, 'v2' FROM po_entities WHERE line_no = 0 AND ocr_original <> '' AND ocr_original <> text)"""
 
 
 def corr(spark, d):
     e = entities(spark, d)
-    v2 = e.filter("doc_id % 2 = 1").withColumn("corrected_value", F.when(F.col("was_corrected"), F.col("text")).otherwise(F.col("ocr_original")))
-    return C.union_corrections(e.filter("doc_id % 2 = 0"), v2)
+    v2 = e.filter("line_no = 0").withColumn("corrected_value", F.when(F.col("was_corrected"), F.col("text")).otherwise(F.col("ocr_original")))
+    return C.union_corrections(e.filter("line_no > 0"), v2)
 
 
 @query("corrections", f"WITH {CORR_SQL} SELECT doc_id, entity_seq, label, ocr_original, corrected, source FROM corr")

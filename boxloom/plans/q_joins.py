@@ -72,12 +72,12 @@ def feedback_merge(spark, d):
 
 
 @query("merge_annotations", """
-SELECT doc_id, entity_seq, text, 'base' AS source FROM po_entities WHERE entity_seq % 3 <> 0
-UNION ALL SELECT doc_id, entity_seq, ocr_original, 'other' FROM po_entities WHERE entity_seq % 3 = 0 AND entity_seq % 2 = 0""")
+SELECT doc_id, entity_seq, text, 'base' AS source FROM po_entities WHERE NOT was_corrected
+UNION ALL SELECT doc_id, entity_seq, ocr_original, 'other' FROM po_entities WHERE was_corrected AND ocr_confidence >= 0.6E0""")
 def merge_annotations(spark, d):
     e = entities(spark, d)
-    base = e.filter("entity_seq % 3 <> 0").select(*KEY, "text", F.lit("base").alias("source"))
-    other = e.filter("entity_seq % 2 = 0").select(*KEY, F.col("ocr_original").alias("text"), F.lit("other").alias("source"))
+    base = e.filter("NOT was_corrected").select(*KEY, "text", F.lit("base").alias("source"))
+    other = e.filter("ocr_confidence >= 0.6").select(*KEY, F.col("ocr_original").alias("text"), F.lit("other").alias("source"))
     return M.merge_annotations(base, other, KEY)
 
 
@@ -85,9 +85,9 @@ EDITS_SQL = """
 f AS (SELECT doc_id, entity_seq AS field_id, text, ocr_confidence AS confidence FROM po_entities),
 ed AS (SELECT doc_id, entity_seq AS field_id, 'update' AS action, ocr_original AS text, CAST(NULL AS DOUBLE) AS confidence, 1 AS ts FROM po_entities WHERE was_corrected
  UNION ALL SELECT doc_id, entity_seq, 'update', CAST(NULL AS VARCHAR), 1.0E0, 2 FROM po_entities WHERE label = 'Quantity'
- UNION ALL SELECT doc_id, entity_seq, 'remove', NULL, NULL, 3 FROM po_entities WHERE label = 'Case mark' AND doc_id % 10 = 0
+ UNION ALL SELECT doc_id, entity_seq, 'remove', NULL, NULL, 3 FROM po_entities WHERE label = 'Case mark' AND ocr_confidence < 0.6
  UNION ALL SELECT doc_id, entity_seq, 'update', 'late', NULL, 4 FROM po_entities WHERE label = 'Case mark'
- UNION ALL SELECT doc_id, entity_seq + 5, 'add', 'new', 0.5E0, 5 FROM po_entities WHERE label = 'Order number' AND doc_id % 4 = 0),
+ UNION ALL SELECT doc_id, entity_seq + 5, 'add', 'new', 0.5E0, 5 FROM po_entities WHERE label = 'Order number' AND ocr_confidence < 0.7),
 lv AS (SELECT e.*, r.ts AS rts FROM ed e LEFT JOIN (SELECT doc_id, field_id, ts FROM ed WHERE action = 'remove') r USING (doc_id, field_id) WHERE r.ts IS NULL OR e.ts <= r.ts),
 la AS (SELECT doc_id, field_id, arg_max(text, ts) FILTER (text IS NOT NULL) AS nt, arg_max(confidence, ts) FILTER (confidence IS NOT NULL) AS nc, bool_or(action = 'remove') AS removed, count(*) AS edits FROM lv GROUP BY ALL),
 st AS (SELECT coalesce(f.doc_id, la.doc_id) AS doc_id, coalesce(f.field_id, la.field_id) AS field_id, coalesce(nt, f.text) AS text, coalesce(nc, f.confidence) AS confidence,
@@ -103,8 +103,8 @@ def _edits(e):
 
     parts = [
         rows("was_corrected", "update", F.col("ocr_original"), none, 1), rows("label = 'Quantity'", "update", none, F.lit(1.0), 2),
-        rows("label = 'Case mark' AND doc_id % 10 = 0", "remove", none, none, 3), rows("label = 'Case mark'", "update", F.lit("late"), none, 4),
-        rows("label = 'Order number' AND doc_id % 4 = 0", "add", F.lit("new"), F.lit(0.5), 5, 5),
+        rows("label = 'Case mark' AND ocr_confidence < 0.6", "remove", none, none, 3), rows("label = 'Case mark'", "update", F.lit("late"), none, 4),
+        rows("label = 'Order number' AND ocr_confidence < 0.7", "add", F.lit("new"), F.lit(0.5), 5, 5),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -208,7 +208,7 @@ def predict_from_pattern(spark, d):
 @query("merge_predictions")
 def merge_predictions(spark, d):
     e = entities(spark, d)
-    patterns = e.filter("entity_seq % 2 = 0").withColumn("confidence", F.lit(0.7))
+    patterns = e.filter("NOT was_corrected").withColumn("confidence", F.lit(0.7))
     model = e.withColumn("x", F.col("x") + 10).withColumn("confidence", F.col("ocr_confidence"))
     return M.merge_predictions(patterns, model, e.filter("label = 'Order number'")).drop("page_number")
 

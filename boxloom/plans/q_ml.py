@@ -123,14 +123,14 @@ def vote(spark, d):
     return CB.vote(ml).select(*KEY, "predicted", "votes", F.round("confidence", 8).alias("confidence"))
 
 
-@query("model_cascade", f"""WITH {RANGES_SQL} SELECT e.doc_id, e.entity_seq, CASE WHEN entity_seq % 3 = 0 THEN 'hybrid' WHEN ocr_confidence > 0.5E0 AND entity_seq % 3 = 1 THEN 'advanced' ELSE 'basic' END AS model,
- CASE WHEN entity_seq % 3 = 0 THEN label WHEN ocr_confidence > 0.5E0 AND entity_seq % 3 = 1 THEN concat(label, '!') ELSE predicted END AS predicted FROM po_entities e JOIN pr USING (doc_id, entity_seq)""")
+@query("model_cascade", f"""WITH {RANGES_SQL} SELECT e.doc_id, e.entity_seq, CASE WHEN ocr_confidence >= 0.9E0 THEN 'hybrid' WHEN ocr_confidence > 0.7E0 THEN 'advanced' ELSE 'basic' END AS model,
+ CASE WHEN ocr_confidence >= 0.9E0 THEN label WHEN ocr_confidence > 0.7E0 THEN concat(label, '!') ELSE predicted END AS predicted FROM po_entities e JOIN pr USING (doc_id, entity_seq)""")
 def model_cascade(spark, d):
     e = entities(spark, d)
-    hybrid = e.filter("entity_seq % 3 = 0").select(*BOX, F.col("label").alias("predicted"), F.col("ocr_confidence").alias("confidence"))
-    advanced = e.filter("entity_seq % 3 = 1").select(*BOX, F.concat("label", F.lit("!")).alias("predicted"), F.col("ocr_confidence").alias("confidence"))
+    hybrid = e.filter("ocr_confidence >= 0.9").select(*BOX, F.col("label").alias("predicted"), F.col("ocr_confidence").alias("confidence"))
+    advanced = e.select(*BOX, F.concat("label", F.lit("!")).alias("predicted"), F.col("ocr_confidence").alias("confidence"))
     basic = predicted(spark, d).select(*BOX, "predicted", F.col("position_score").alias("confidence"))
-    return CB.cascade(hybrid, advanced, basic).select(*KEY, "model", "predicted")
+    return CB.cascade(hybrid, advanced, basic, 0.7).select(*KEY, "model", "predicted")
 
 
 @query("postprocess", "SELECT doc_id, entity_seq, label, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text, label ORDER BY entity_seq) AS rn FROM po_entities) WHERE rn = 1 AND ocr_confidence >= 0.6E0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..scale import shared_dir
 from ..streaming import jobs as J
-from .fixture import entities, table
+from .fixture import entities, entities_path, table
 from .registry import query
 
 
@@ -68,7 +68,7 @@ SELECT *, round(least(0.5E0 + n * 0.01E0, 0.99E0), 6) AS accuracy, least(0.5E0 +
 def stream_corrections(spark, d):
     boxes = entities(spark, d)
     path = run_dir(spark, d, "corrections")
-    source = spark.readStream.schema(boxes.schema).option("maxFilesPerTrigger", 2).parquet(boxes.inputFiles()[0].rsplit("/", 1)[0])
+    source = spark.readStream.schema(boxes.schema).option("maxFilesPerTrigger", 2).parquet(entities_path(spark, d))
     state = J.correction_state(source)
 
     def keep(batch, number):

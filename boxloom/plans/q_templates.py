@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.signature import reading_grid_signature
 from ..ml import cluster as MC
 from ..operators import layout as L, mapping as MP, stats as S, templates as TP
+from ..scale import table_path
 from ..schema import LABELS
 from .fixture import DOC_TYPE_SQL, doc_type, entities, table
 from .q_columns import GRID_SIG, LABEL_SIG
@@ -260,10 +261,17 @@ def feedback_log(spark, d):
     return f.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
 
 
-@query("snk_template_export_import", f"""WITH {LEARN2}, cu AS (SELECT template_id, samples, n_fields FROM tn WHERE doc_type <> 'receipt'), im AS (SELECT template_id, samples * 10 AS samples, n_fields FROM tn WHERE doc_type <> 'invoice')
+@query("snk_template_import", f"""WITH {LEARN2}, cu AS (SELECT template_id, samples, n_fields FROM tn WHERE doc_type <> 'receipt'), im AS (SELECT template_id, samples * 10 AS samples, n_fields FROM tn WHERE doc_type <> 'invoice')
 SELECT coalesce(cu.template_id, im.template_id) AS template_id, coalesce(im.samples, cu.samples) AS samples, coalesce(im.n_fields, cu.n_fields) AS n_fields,
  CASE WHEN im.template_id IS NULL THEN 'kept' WHEN cu.template_id IS NULL THEN 'added' ELSE 'replaced' END AS change FROM cu FULL JOIN im ON cu.template_id = im.template_id""")
-def snk_template_export_import(spark, d):
+def snk_template_import(spark, d):
     t = TP.learn(typed(spark, d)).templates
     new = t.filter("doc_type <> 'invoice'").withColumn("samples", F.col("samples") * 10)
     return MP.merge_imported(t.filter("doc_type <> 'receipt'"), new, ["template_id"], ["samples", "n_fields"])
+
+
+@query("snk_template_export", f"WITH {LEARN2} SELECT template_id, doc_type, samples, n_fields FROM tn")
+def snk_template_export(spark, d):
+    path = table_path(spark, "templates_out", d)
+    TP.learn(typed(spark, d)).templates.select("template_id", "doc_type", "samples", "n_fields").write.mode("overwrite").parquet(path)
+    return spark.read.schema("template_id string, doc_type string, samples bigint, n_fields bigint").parquet(path)

@@ -43,10 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table_path(spark: SparkSession, name: str, source: str) -> str:
+    tag = hashlib.md5(source.encode()).hexdigest()[:12]
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}_{tag}"
+
+
 def materialized(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Write ``build()`` once per application and source, then read it back (columnar, prunable, no lineage)."""
-    tag = hashlib.md5(source.encode()).hexdigest()[:12]
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}_{tag}"
+    path = table_path(spark, name, source)
     jvm = spark.sparkContext._jvm
     done = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
