@@ -182,8 +182,8 @@ def relational_features(boxes: DataFrame, row: float = 20, col: float = 50, widt
     s = boxes.select(*PAGE, "entity_seq", "x", "width", b.cx.alias("cx"), b.cy.alias("cy"))
     met = block_join(s, ["entity_seq", "x", "width", "cx", "cy"])
     cx, cy = F.col("cx"), F.col("cy")
-    # Partners in order of entity_seq: float sums then do not depend on the order rows arrive in.
-    met = met.withColumn("others", F.array_sort(F.filter("others", lambda o: o["entity_seq"] != F.col("entity_seq"))))
+    # Blocks are sorted by entity_seq, so float sums do not depend on the order rows arrive in.
+    met = met.withColumn("others", F.filter("others", lambda o: o["entity_seq"] != F.col("entity_seq")))
     met = met.withColumn("dist", F.transform("others", lambda o: F.sqrt(F.pow(o["cx"] - cx, F.lit(2)) + F.pow(o["cy"] - cy, F.lit(2)))))
     met = met.withColumn("in_row", F.filter("others", lambda o: F.abs(o["cy"] - cy) < row))
     met = met.withColumn("in_col", F.filter("others", lambda o: F.abs(o["cx"] - cx) < col))

@@ -236,12 +236,12 @@ def layout_templates(boxes: DataFrame, layouts: DataFrame, templates: Mapping[st
     return best.select(*PAGE, F.col("b.score").alias("score"), F.when(F.col("b.score") > above, F.col("b.template")).alias("template"))
 
 
-def signature_templates(signatures: DataFrame, vendor: str, min_share: float) -> DataFrame:
+def signature_templates(signatures: DataFrame, vendor: str, min_share: float, min_pages: int = 2) -> DataFrame:
     """Layout templates of vendors: signatures shared by at least ``min_share`` of all pages, with their most frequent vendor."""
     total = signatures.agg(F.count("*").alias("_total"))
     per = signatures.groupBy("signature", vendor).agg(F.count("*").alias("n")).groupBy("signature").agg(
         F.max_by(vendor, F.struct("n", vendor)).alias("vendor"), F.sum("n").alias("samples"))
-    return per.crossJoin(F.broadcast(total)).filter(F.col("samples") >= F.col("_total") * min_share).drop("_total")  # one row
+    return per.crossJoin(F.broadcast(total)).filter((F.col("samples") >= F.col("_total") * min_share) & (F.col("samples") >= min_pages)).drop("_total")  # one row
 
 
 def suggest(signatures: DataFrame, templates: DataFrame, above: float = 0.6, top: int = 5) -> DataFrame:
@@ -258,9 +258,9 @@ def suggest(signatures: DataFrame, templates: DataFrame, above: float = 0.6, top
 
     from ..functions.signature import similarity
 
-    found = prefix(signatures, "_mine").join(prefix(templates, "template"), ["_n", "_part"]).drop("_n", "_part").distinct()
+    found = prefix(signatures, "_mine").join(prefix(templates, "template"), ["_n", "_part"]).drop("_n", "_part")
     close = found.withColumn("similarity", similarity(F.col("_mine"), F.col("template"))).filter(F.col("similarity") > above)
-    return topk(close.drop("_mine"), PAGE, [F.col("similarity").desc(), "template"], top)
+    return topk(close.drop("_mine").distinct(), PAGE, [F.col("similarity").desc(), "template"], top)
 
 
 def presence(known: Templates, labels: Sequence[str]) -> DataFrame:

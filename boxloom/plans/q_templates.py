@@ -172,7 +172,7 @@ def match_layout_template(spark, d):
 
 
 VENDOR_SQL = f"""{GRID_SIG}, gv AS (SELECT doc_id, signature, o_custkey AS vendor FROM grid JOIN orders ON o_orderkey = doc_id),
-vt AS (SELECT signature, arg_max(vendor, n * 10000000 + vendor) AS vendor, CAST(sum(n) AS BIGINT) AS samples FROM (SELECT signature, vendor, count(*) AS n FROM gv GROUP BY ALL) GROUP BY signature HAVING sum(n) >= (SELECT count(*) FROM gv) * 0.0005E0)"""
+vt AS (SELECT signature, arg_max(vendor, n * 10000000 + vendor) AS vendor, CAST(sum(n) AS BIGINT) AS samples FROM (SELECT signature, vendor, count(*) AS n FROM gv GROUP BY ALL) GROUP BY signature HAVING sum(n) >= (SELECT count(*) FROM gv) * 0.0005E0 AND sum(n) >= 2)"""
 
 
 def vendor_signatures(spark, d):

@@ -144,10 +144,10 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
 
 def blocks(df: DataFrame, fields: Sequence[Column | str], keys: Sequence[str] = tuple(PAGE), seq: str = "entity_seq",
            name: str = "others", size: int = BLOCK) -> DataFrame:
-    """Rows of a page as arrays of at most ``size`` structs (``seq`` is unique inside a page)."""
+    """Rows of a page as sorted arrays of at most ``size`` structs (``seq`` is unique inside a page)."""
     return (
         df.groupBy(*keys, F.expr(f"{seq} div {size}").alias("block_no"))
-        .agg(F.collect_list(F.struct(*fields)).alias(name))
+        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
         .drop("block_no")
     )
 

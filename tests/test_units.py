@@ -278,3 +278,24 @@ def test_checked_broadcast_falls_back(spark):
 def test_position_ranges_of_one_box(spark):
     r = P.position_ranges(page(spark, [("A", "t", 3, 4, 10, 20)]), ["label"]).first()
     assert (r.x_min, r.x_max, r.y_min, r.height_max, r.n) == (3, 3, 4, 20, 1)
+
+
+def test_one_page_with_most_boxes(spark):
+    """A page far beyond the usual size goes through the row, pair, cluster and order operators whole."""
+    n = 6000
+    hot = spark.range(n).select(
+        F.lit(1).cast("long").alias("doc_id"), F.lit(1).alias("page_number"), F.col("id").alias("entity_seq"), F.element_at(F.array(F.lit("A"), F.lit("Item number"), F.lit("Quantity")), (F.col("id") % 3 + 1).cast("int")).alias("label"),
+        F.col("id").cast("string").alias("text"), (F.col("id") * 7919 % 2400).alias("x"), (F.col("id") * 104729 % 3400).alias("y"), F.lit(30).cast("long").alias("width"), F.lit(12).cast("long").alias("height"))
+    cold = hot.filter("entity_seq < 20").withColumn("doc_id", F.lit(2).cast("long"))
+    boxes = hot.unionByName(cold).cache()
+    assert G.band_groups(boxes).count() == n + 20
+    assert CL.clusters(boxes, 100).count() == n + 20
+    counts = R.near_entities(boxes, 20, 5)
+    assert counts.count() == n + 20
+    order = SC.ranked(boxes, SC.PAGE, ["y", "x", "entity_seq"], [F.col("y"), F.col("x")], "place")
+    assert order.filter("doc_id = 1").agg(F.max("place"), F.count_distinct("place")).first() == (n, n)
+    assert SQ.row_sequences(G.band_groups(boxes)).agg(F.sum("n")).first()[0] <= n + 20
+    ys = sorted(r.y for r in hot.collect())
+    some = counts.filter("doc_id = 1").orderBy("entity_seq").limit(50).collect()
+    for r in some:
+        assert r.same_row_count == sum(1 for y in ys if abs(y - r.y) < 5)
