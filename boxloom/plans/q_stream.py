@@ -88,6 +88,5 @@ def stream_feedback(spark, d):
     note = F.struct(F.col("id").alias("annotation_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("page_number").cast("bigint").alias("page_number"), F.col("ocr_original").alias("text_value"), F.lit(1.0).alias("confidence_score"))
     drops = e.filter("was_corrected").groupBy("doc_id", F.expr("entity_seq div 10000").alias("part")).agg(F.collect_list(note).alias("reviewed_annotations"))
     drops.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("2024-01-01T00:00:00").alias("feedback_timestamp"), "reviewed_annotations").write.mode("overwrite").json(f"{path}/in")
-    q = J.merge_feedback(J.feedback_source(spark, f"{path}/in", files_per_batch=3), e.select("id", "text", F.col("ocr_confidence").alias("confidence")), f"{path}/table", f"{path}/state")
-    q.awaitTermination()
-    return spark.read.parquet(f"{path}/table/v={q.lastProgress['batchId'] + 1}")
+    J.merge_feedback(J.feedback_source(spark, f"{path}/in", files_per_batch=3), f"{path}/table", f"{path}/state").awaitTermination()
+    return J.current(e.select("id", "text", F.col("ocr_confidence").alias("confidence")), f"{path}/table")

@@ -73,17 +73,20 @@ def reviews(drops: DataFrame) -> DataFrame:
         "feedback_timestamp", F.col("a.annotation_id").alias("id"), F.col("a.text_value").alias("text"), F.col("a.confidence_score").alias("confidence"))
 
 
-def merge_feedback(drops: DataFrame, base: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Merge each batch of reviews into a versioned table: batch n reads version n and writes version n + 1.
+def merge_feedback(drops: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Write the latest review per annotation of each batch as ``batch=n`` of a change table.
 
-    A batch that is run again reads and writes the same versions, so the result does not change.
+    The base table is not rewritten per batch; a batch that is run again overwrites its own folder.
     """
-    spark = drops.sparkSession
-    base.select("id", "text", "confidence").write.mode("overwrite").parquet(f"{table}/v=0")
-
     def step(batch: DataFrame, number: int) -> None:
-        current = spark.read.parquet(f"{table}/v={number}")
-        merged = upsert(current, reviews(batch), "id", F.col("feedback_timestamp"), ["text", "confidence"]).drop("source")
-        merged.write.mode("overwrite").parquet(f"{table}/v={number + 1}")
+        latest = reviews(batch).groupBy("id").agg(F.max_by(F.struct("text", "confidence"), "feedback_timestamp").alias("r"), F.max("feedback_timestamp").alias("at"))
+        latest.select("id", "r.text", "r.confidence", "at").write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return drops.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(base: DataFrame, table: str) -> DataFrame:
+    """The base with all changes merged in; the latest review (by time, then by batch) wins."""
+    schema = "id string, text string, confidence double, at string, batch int"
+    changes = base.sparkSession.read.schema(schema).parquet(table)
+    return upsert(base, changes, "id", F.struct("at", "batch"), ["text", "confidence"]).drop("source")
