@@ -35,7 +35,7 @@ FROM pages""")
 def page_flags(spark, d):
     h = F.col("html")
     images = F.regexp_count(h, F.lit("<img")).cast("long")
-    size = F.length(F.trim(h))
+    size = F.length(F.trim(h)).cast("long")
     return table(spark, d, "pages").select(
         "page_id", size.alias("text_length"), (size > 0).alias("has_text"), images.alias("image_count"),
         (~(size > 0) & (images == 0) & ~h.contains("<table")).alias("is_blank"), (F.lit(2480) / F.lit(3508)).alias("aspect"))
@@ -163,6 +163,8 @@ def text_features(spark, d):
     f = T.features(F.col("text"))
     for name in ("digit_ratio", "upper_ratio"):
         f[name] = F.round(f[name], 6)
+    for name in ("text_length", "space_count", "dash_count", "dot_count", "comma_count"):
+        f[name] = f[name].cast("long")
     return entities(spark, d).select(*KEY, *[c.alias(n) for n, c in f.items()])
 
 

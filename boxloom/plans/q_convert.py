@@ -47,7 +47,7 @@ SELECT e.doc_id, e.entity_seq, CASE WHEN y + height / 2 < 3508 * 0.15E0 THEN 'he
  regexp_matches(text, '[A-Z]') AND NOT regexp_matches(text, '[a-z]') AS is_uppercase, width * height AS area, label IN ('Quantity', 'Unit price', 'Net amount', 'Total') AS means_quantity,
  coalesce(sr, 0) + coalesce(dr, 0) AS relations, coalesce(rr, 0) AS row_relations, coalesce(dr, 0) AS detail_relations, ocr_original FROM po_entities e LEFT JOIN r USING (doc_id, entity_seq)""")
 def v2_repair(spark, d):
-    return V.repaired(entities(spark, d)).select(*KEY, "region", "quadrant", "text_length", "is_numeric", "is_date", "is_uppercase", "area", "means_quantity", "relations", "row_relations", "detail_relations", "ocr_original")
+    return V.repaired(entities(spark, d)).select(*KEY, "region", "quadrant", F.col("text_length").cast("long").alias("text_length"), "is_numeric", "is_date", "is_uppercase", "area", "means_quantity", "relations", "row_relations", "detail_relations", "ocr_original")
 
 
 @query("bboxdata_to_items", """

@@ -92,7 +92,7 @@ def learning_status(spark, d):
 
 @query("history_cap", f"""WITH {CORR_SQL} SELECT doc_id, entity_seq, label, age FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id DESC, entity_seq DESC) AS age FROM corr) WHERE age <= 100""")
 def history_cap(spark, d):
-    return C.history_cap(corr(spark, d), 100).select(*KEY, "label", "age")
+    return C.history_cap(corr(spark, d), 100).select(*KEY, "label", F.col("age").cast("long").alias("age"))
 
 
 @query("correct_text")

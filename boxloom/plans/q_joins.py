@@ -195,11 +195,11 @@ ty AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_type ORDER B
 
 @query("typical_positions", f"""WITH {TYPICAL_SQL} SELECT doc_type, label, round("left", 8) AS "left", round("top", 8) AS "top", frequency, rank FROM ty""")
 def typical_positions(spark, d):
-    return P.typical_positions(entities(spark, d).withColumn("doc_type", doc_type())).withColumn("left", F.round("left", 8)).withColumn("top", F.round("top", 8))
+    return P.typical_positions(entities(spark, d).withColumn("doc_type", doc_type())).withColumn("left", F.round("left", 8)).withColumn("top", F.round("top", 8)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("predict_from_pattern", f"""WITH {TYPICAL_SQL}, dd AS (SELECT DISTINCT doc_id, doc_type FROM t)
-SELECT doc_id, label, CAST(trunc("left" * 2480) AS BIGINT) AS x, CAST(trunc("top" * 3508) AS BIGINT) AS y, 150 AS width, 30 AS height, 0.7E0 AS confidence FROM dd JOIN ty USING (doc_type)""")
+SELECT doc_id, label, CAST(trunc("left" * 2480) AS BIGINT) AS x, CAST(trunc("top" * 3508) AS BIGINT) AS y, CAST(150 AS BIGINT) AS width, CAST(30 AS BIGINT) AS height, 0.7E0 AS confidence FROM dd JOIN ty USING (doc_type)""")
 def predict_from_pattern(spark, d):
     e = entities(spark, d).withColumn("doc_type", doc_type())
     return P.predict_from_pattern(e.select("doc_id", "page_number", "doc_type").distinct(), P.typical_positions(e)).drop("page_number")

@@ -254,7 +254,7 @@ def split_sizes(spark, d):
 
 
 @query("validation_report", f"""WITH {SCORES_SQL}, {CONS_SQL}, n AS (SELECT count(*) AS c FROM it)
-SELECT total_items, 0 AS missing_fields, true AS basic_passed, round(completeness, 8) AS completeness, round(accuracy, 8) AS accuracy, round(consistency, 8) AS consistency, round(overall, 8) AS overall, total_errors,
+SELECT total_items, CAST(0 AS BIGINT) AS missing_fields, true AS basic_passed, round(completeness, 8) AS completeness, round(accuracy, 8) AS accuracy, round(consistency, 8) AS consistency, round(overall, 8) AS overall, total_errors,
  round(greatest(0.0E0, 1 - total_errors / items), 8) AS consistency_score, greatest(0.0E0, 1 - total_errors / items) >= 0.85E0 AS consistency_passed, CAST(floor(c * 0.7E0) AS BIGINT) AS train_size, CAST(floor(c * 0.2E0) AS BIGINT) AS validation_size,
  CAST(floor(c * 0.1E0) AS BIGINT) AS test_size, c >= 143 AS split_valid, overall >= 0.8E0 AS quality_passed, false AS validation_passed, concat_ws('; ', 'improve data quality', CASE WHEN overall < 0.8E0 THEN 'check annotation accuracy' END, CASE WHEN total_errors > 0 THEN 'review preprocessing' END) AS advice
 FROM qq, ce, n""")

@@ -32,7 +32,7 @@ def label_cube(spark, d):
 @query("decimals_mode", f"""WITH t AS (SELECT {DOC_TYPE_SQL} AS doc_type, length(regexp_extract(text, '\\.([0-9]+)', 1)) AS dec FROM po_entities WHERE label = 'Quantity' AND ocr_confidence > 0.9E0),
 c AS (SELECT doc_type, dec, count(*) AS n FROM t WHERE dec > 0 GROUP BY ALL) SELECT doc_type, arg_max(dec, n * 100 - dec) AS decimals, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY doc_type""")
 def decimals_mode(spark, d):
-    return S.decimals_mode(typed(spark, d))
+    return S.decimals_mode(typed(spark, d)).withColumn("decimals", F.col("decimals").cast("long"))
 
 
 @query("date_format_vote", f"""WITH t AS (SELECT {DOC_TYPE_SQL} AS doc_type, text FROM po_entities WHERE label = 'Delivery date' AND ocr_confidence > 0.9E0)
@@ -98,7 +98,7 @@ def box_statistics(spark, d):
     return s
 
 
-@query("document_text", "SELECT conv_id, 0 AS part, string_agg(text, '\n\n' ORDER BY turn) AS full_text, count(*) AS pages FROM conversations GROUP BY conv_id")
+@query("document_text", "SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(text, '\n\n' ORDER BY turn) AS full_text, count(*) AS pages FROM conversations GROUP BY conv_id")
 def document_text(spark, d):
     return S.document_text(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
@@ -249,13 +249,13 @@ b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY confidenc
 c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, entity_seq) AS rank FROM b WHERE label_rank <= 2)
 SELECT doc_id, entity_seq, label, confidence, label_rank, rank FROM c WHERE rank <= 10""")
 def suggest_topk(spark, d):
-    return K.suggest_topk(predictions(spark, d)).select(*KEY, "label", "confidence", "label_rank", "rank")
+    return K.suggest_topk(predictions(spark, d)).select(*KEY, "label", "confidence", F.col("label_rank").cast("long").alias("label_rank"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("suggest_top30", f"""WITH {PRED_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, y, x, entity_seq) AS rank FROM pred WHERE confidence >= 0.5E0 AND label <> 'unknown' AND (label IN {IMP} OR confidence > 0.8E0))
 SELECT doc_id, entity_seq, label, confidence, rank FROM c WHERE rank <= 30""")
 def suggest_top30(spark, d):
-    return K.suggest_top(predictions(spark, d)).select(*KEY, "label", "confidence", "rank")
+    return K.suggest_top(predictions(spark, d)).select(*KEY, "label", "confidence", F.col("rank").cast("long").alias("rank"))
 
 
 @query("suggest_label_rules", """

@@ -192,7 +192,7 @@ SELECT doc_id, template, vendor, samples, similarity, rank FROM (SELECT *, row_n
 def suggest_template(spark, d):
     sigs = vendor_signatures(spark, d)
     known_ = TP.signature_templates(sigs, "vendor", 0.0005)
-    return TP.suggest(sigs.drop("vendor"), known_).drop("page_number")
+    return TP.suggest(sigs.drop("vendor"), known_).drop("page_number").withColumn("rank", F.col("rank").cast("long"))
 
 
 def spoken(spark, d):
