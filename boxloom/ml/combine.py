@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import PAGE, first_per
+from ..scale import PAGE, beside, first_per
 from ..operators.grouping import band_groups
 from ..operators.relations import key_value_pairs
 
@@ -72,7 +72,7 @@ def evaluate(matched: DataFrame) -> DataFrame:
     r = F.when(F.coalesce("support", F.lit(0)) > 0, hit / F.col("support")).otherwise(0.0)
     rows = truth.join(guess, "label", "full_outer").select("label", F.coalesce("support", F.lit(0)).alias("support"), p.alias("precision"), r.alias("recall"))
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
-    return rows.withColumn("f1", f1).crossJoin(F.broadcast(total))  # one row
+    return rows.withColumn("f1", f1).transform(beside, total)
 
 
 def relation_boost(predictions: DataFrame, boxes: DataFrame) -> DataFrame:

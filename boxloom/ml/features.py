@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import bbox as B, text as T
 from ..functions.bbox import Box
 from ..operators.relations import relational_features
-from ..scale import PAGE
+from ..scale import PAGE, beside
 from ..schema import PAGE_HEIGHT, PAGE_WIDTH
 
 RELATION = ["same_row_count", "same_col_count", "is_leftmost", "is_rightmost", "is_topmost", "is_bottommost", "min_distance", "avg_distance", "within_100", "within_200",
@@ -64,7 +64,7 @@ def scaling(values: DataFrame, columns: list[str]) -> DataFrame:
 def scale(values: DataFrame, columns: list[str]) -> DataFrame:
     """Centered columns over their population deviation (a constant column stays 0)."""
     row = scaling(values, columns)
-    out = values.crossJoin(F.broadcast(row))  # one row
+    out = values.transform(beside, row)
     for c in columns:
         out = out.withColumn(c, F.when(F.col(f"{c}_std") > 0, (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std")).otherwise(0.0))
     return out.drop(*row.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import PAGE, entity_levels, ranked, topk
+from ..scale import PAGE, beside, entity_levels, ranked, topk
 
 BLOCK = 512
 NEIGHBOURS = "label int, vec_id bigint, other bigint, distance double"
@@ -15,7 +15,7 @@ def contiguous_folds(rows: DataFrame, k: int = 5) -> DataFrame:
     placed = ranked(rows, [], [*PAGE, "entity_seq"], entity_levels(), "_rn")
     total = rows.agg(F.count("*").alias("_n"))
     size = F.greatest(F.expr(f"_n div {k}"), F.lit(1))
-    return placed.crossJoin(F.broadcast(total)).withColumn("fold", F.least(F.floor((F.col("_rn") - 1) / size), F.lit(k - 1))).drop("_rn", "_n")  # one row
+    return placed.transform(beside, total).withColumn("fold", F.least(F.floor((F.col("_rn") - 1) / size), F.lit(k - 1))).drop("_rn", "_n")
 
 
 def fold_quality(rows: DataFrame, k: int = 5) -> DataFrame:
@@ -43,7 +43,7 @@ def split_in_order(pages: DataFrame, train: float = 0.8) -> DataFrame:
     """First part of the pages by key for training."""
     placed = ranked(pages, [], PAGE, [F.expr("doc_id div 65536"), F.struct("doc_id", "page_number")], "_rn")
     total = pages.agg(F.count("*").alias("_n"))
-    return placed.crossJoin(F.broadcast(total)).withColumn("split", F.when(F.col("_rn") <= F.floor(F.col("_n") * train), "train").otherwise("test")).drop("_rn", "_n")  # one row
+    return placed.transform(beside, total).withColumn("split", F.when(F.col("_rn") <= F.floor(F.col("_n") * train), "train").otherwise("test")).drop("_rn", "_n")
 
 
 def split_by_hash(rows: DataFrame, key: str, train: float = 0.8) -> DataFrame:
@@ -90,7 +90,7 @@ def smote(vectors: DataFrame, k: int = 5) -> DataFrame:
     """
     sizes = vectors.groupBy("label").agg(F.count("*").alias("n"))
     top = sizes.agg(F.max("n").alias("m"))
-    short = sizes.crossJoin(F.broadcast(top)).filter((F.col("n") < F.col("m")) & (F.col("n") > 1)).withColumn("need", F.col("m") - F.col("n"))  # one row
+    short = sizes.transform(beside, top).filter((F.col("n") < F.col("m")) & (F.col("n") > 1)).withColumn("need", F.col("m") - F.col("n"))
     minor = vectors.join(short.select("label", "n", "need"), "label")
     h = hash_of("label", "vec_id")
     bases = ranked(minor.withColumn("_h", h), ["label"], ["_h"], [F.substring("_h", 1, 2), F.substring("_h", 1, 4)], "rn").drop("_h")

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..scale import beside
+
 from ..functions.bbox import Box
 from ..schema import PAGE_HEIGHT, PAGE_WIDTH
 
@@ -59,7 +61,7 @@ def statistics(base: DataFrame, made: DataFrame, failed: str = "failed") -> Data
     """Originals, variants, errors and the ratio, per technique and in total."""
     n = base.agg(F.count("*").alias("originals"))
     per = made.groupingSets([["technique"], []], "technique").agg(F.count("*").alias("made"), F.count_if(failed).alias("errors"))
-    return per.crossJoin(F.broadcast(n)).select(F.coalesce("technique", F.lit("all")).alias("technique"), "originals", "made", "errors", (F.col("made") / F.col("originals")).alias("ratio"))  # one row
+    return per.transform(beside, n).select(F.coalesce("technique", F.lit("all")).alias("technique"), "originals", "made", "errors", (F.col("made") / F.col("originals")).alias("ratio"))
 
 
 # Sample values of made-up labels.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.normalize import error_type, fix_common_ocr, fix_order_number
-from ..scale import checked_broadcast, entity_levels, ranked, sliding, topk
+from ..scale import beside, checked_broadcast, entity_levels, ranked, sliding, topk
 
 ORDER = ["doc_id", "page_number", "entity_seq"]
 
@@ -80,7 +80,7 @@ def learning_status(corr: DataFrame) -> DataFrame:
     """Progress per label with the overall mean and whether all labels are done."""
     per = by_label(corr).withColumn("accuracy", accuracy(F.col("n")))
     whole = per.agg(F.avg("accuracy").alias("overall"), F.bool_and(F.col("accuracy") >= 0.95).alias("complete"), F.sum("n").alias("total"))
-    return per.crossJoin(F.broadcast(whole))  # one row
+    return per.transform(beside, whole)
 
 
 def learning_report(boxes: DataFrame, corr: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import normalize as N
 from ..functions.bbox import Box, errors as box_errors
 from ..functions.scores import quality_band
-from ..scale import PAGE
+from ..scale import PAGE, beside
 from .relations import overlap_pairs, overlap_penalty
 
 # Accepted states and the share of each part in the overall score.
@@ -82,7 +82,7 @@ def quality_scores(items: DataFrame, fields: DataFrame) -> DataFrame:
     first = checks.agg(F.min_by("keys", "doc_id").alias("expected"))
     names = fields.agg(F.count_distinct("field_name").alias("all_names"))
     used = fields.groupBy("doc_id").agg(F.count_distinct("field_name").alias("used_names"))
-    rows = checks.join(used, "doc_id", "left").crossJoin(F.broadcast(first)).crossJoin(F.broadcast(names))  # one row each
+    rows = checks.join(used, "doc_id", "left").transform(beside, first).transform(beside, names)
     got = rows.agg(
         _share("is_complete").alias("completeness"), _share("is_accurate").alias("accuracy"), _share(F.col("keys") == F.col("expected")).alias("schema_consistency"),
         F.lit(1.0).alias("annotation_consistency"), _share("named").alias("naming_consistency"),
@@ -177,7 +177,7 @@ def consistency_score(items: DataFrame, fields: DataFrame, minimum: float = CRIT
     """max(0, 1 - problems / items) and whether it passes."""
     problems = consistency_errors(fields).agg(F.count("*").alias("total_errors"))
     score = F.greatest(F.lit(0.0), 1 - F.col("total_errors") / F.col("items"))
-    return items.agg(F.count("*").alias("items")).crossJoin(F.broadcast(problems)).select("items", "total_errors", score.alias("score"), (score >= minimum).alias("passed"))
+    return items.agg(F.count("*").alias("items")).transform(beside, problems).select("items", "total_errors", score.alias("score"), (score >= minimum).alias("passed"))
 
 
 def annotation_quality(fields: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def validation_report(items: DataFrame, fields: DataFrame, criteria: Mapping[str
     scores = quality_scores(items, fields).select("completeness", "accuracy", "consistency", "overall")
     agree = consistency_score(items, fields, c["min_consistency_score"]).select("total_errors", F.col("score").alias("consistency_score"), F.col("passed").alias("consistency_passed"))
     split = split_sizes(items).select("train_size", "validation_size", "test_size", "split_valid")
-    row = basic.crossJoin(F.broadcast(scores)).crossJoin(F.broadcast(agree)).crossJoin(F.broadcast(split))  # one row each
+    row = basic.transform(beside, scores).transform(beside, agree).transform(beside, split)
     quality = F.col("overall") >= c["min_quality_score"]
     passed = F.col("basic_passed") & quality & F.col("consistency_passed") & F.col("split_valid")
     advice = F.concat_ws("; ", F.when(~passed, "improve data quality"), F.when(F.col("overall") < 0.8, "check annotation accuracy"),

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import PAGE
+from ..scale import PAGE, beside
 from .grouping import band_groups, bin_rows
 
 
@@ -27,7 +27,7 @@ def label_sequences(boxes: DataFrame, threshold: float = 20, share: float = 0.3)
     rows = band_groups(boxes.select(*PAGE, "entity_seq", "label", "x", "y", "height"), threshold=threshold)
     counted = row_sequences(rows).groupBy("sequence", F.col("n").alias("boxes")).agg(F.count("*").alias("n"))
     pages = boxes.select(*PAGE).distinct().agg(F.count("*").alias("pages"))
-    return counted.crossJoin(F.broadcast(pages)).withColumn("frequent", F.col("n") >= F.col("pages") * share)  # one row
+    return counted.transform(beside, pages).withColumn("frequent", F.col("n") >= F.col("pages") * share)
 
 
 def bin_sequences(boxes: DataFrame, *extra: str, size: int = 30) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.bbox import Box, region
-from ..scale import PAGE
+from ..scale import PAGE, beside
 from ..schema import PAGE_HEIGHT, PAGE_WIDTH
 
 
@@ -49,7 +49,7 @@ def document_statistics(pages: DataFrame) -> DataFrame:
         F.count("*").alias("total_pages"), F.sum(size).alias("total_text_length"), F.count_if(size == 0).alias("blank_pages"),
         F.avg(q).alias("avg_quality"), F.min(q).alias("min_quality"), F.max(q).alias("max_quality"),
         F.count_if("noise").alias("pages_with_noise"), F.count_if(F.col("errors") > 0).alias("pages_with_errors"), F.sum("errors").alias("total_errors"))
-    return whole.crossJoin(F.broadcast(main))  # one row each
+    return whole.transform(beside, main)
 
 
 def _spread(c: str | Column, name: str) -> list[Column]:
@@ -135,7 +135,7 @@ def error_report(errors: DataFrame) -> DataFrame:
     """Errors by category with the most common one."""
     per = errors.groupBy("category").agg(F.count("*").alias("n"))
     top = per.agg(F.max_by("category", F.struct("n", "category")).alias("most_common"), F.sum("n").alias("total"))
-    return per.crossJoin(F.broadcast(top))  # one row
+    return per.transform(beside, top)
 
 
 def duplicate_ids(rows: DataFrame, *key: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.bbox import Box
 from ..functions.signature import label_grid_signature
-from ..scale import PAGE, checked_broadcast, cut, entity_levels, ranked, topk
+from ..scale import PAGE, beside, checked_broadcast, cut, entity_levels, ranked, topk
 from ..schema import PAGE_HEIGHT, PAGE_WIDTH
 from . import sequences as SQ
 from .grouping import bin_rows, table_regions
@@ -40,7 +40,7 @@ def page_signatures(boxes: DataFrame) -> DataFrame:
 def _groups(signed: DataFrame, min_pages: int, min_share: float) -> DataFrame:
     total = signed.agg(F.count("*").alias("_total"))
     counted = signed.groupBy(*TKEY).agg(F.count("*").alias("samples"))
-    return counted.crossJoin(F.broadcast(total)).filter((F.col("samples") >= min_pages) & (F.col("samples") >= F.col("_total") * min_share)).drop("_total")  # one row
+    return counted.transform(beside, total).filter((F.col("samples") >= min_pages) & (F.col("samples") >= F.col("_total") * min_share)).drop("_total")
 
 
 def _normal(boxes: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def signature_templates(signatures: DataFrame, vendor: str, min_share: float, mi
     total = signatures.agg(F.count("*").alias("_total"))
     per = signatures.groupBy("signature", vendor).agg(F.count("*").alias("n")).groupBy("signature").agg(
         F.max_by(vendor, F.struct("n", vendor)).alias("vendor"), F.sum("n").alias("samples"))
-    return per.crossJoin(F.broadcast(total)).filter((F.col("samples") >= F.col("_total") * min_share) & (F.col("samples") >= min_pages)).drop("_total")  # one row
+    return per.transform(beside, total).filter((F.col("samples") >= F.col("_total") * min_share) & (F.col("samples") >= min_pages)).drop("_total")
 
 
 def suggest(signatures: DataFrame, templates: DataFrame, above: float = 0.6, top: int = 5) -> DataFrame:

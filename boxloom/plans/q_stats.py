@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import grouping as G, layout as L, positions as P, ranking as K, rules as RU, sequences as SQ, sets as ST, stats as S
+from ..scale import beside
 from .fixture import DOC_TYPE_SQL, doc_type, entities, table
 from .q_grouping import ROWS20, chain_sql
 from .q_joins import RANGES_SQL
@@ -175,7 +176,7 @@ def mapping_confidence(spark, d):
 def daily_processing(spark, d):
     ev = table(spark, d, "events")
     total = ev.agg(F.count("*").alias("t"))
-    return S.daily(ev, "ts", "event_type").crossJoin(F.broadcast(total)).withColumn("percent", F.round(F.col("n") * 100 / F.col("t"), 8)).drop("t")  # one row
+    return S.daily(ev, "ts", "event_type").transform(beside, total).withColumn("percent", F.round(F.col("n") * 100 / F.col("t"), 8)).drop("t")
 
 
 @query("run_metrics", """SELECT user_id, count(*) FILTER (event_type <> 'error') AS processed, count(*) FILTER (event_type = 'error') AS failed,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.signature import reading_grid_signature
 from ..ml import cluster as MC
 from ..operators import layout as L, mapping as MP, stats as S, templates as TP
-from ..scale import table_path
+from ..scale import beside, table_path
 from ..schema import LABELS
 from .fixture import DOC_TYPE_SQL, doc_type, entities, table
 from .q_columns import GRID_SIG, LABEL_SIG
@@ -143,7 +143,7 @@ def field_coverage(spark, d):
     k = TP.learn(typed(spark, d))
     total = k.templates.agg(F.count("*").alias("t"))
     per = k.fields.groupBy("label").agg(F.count_distinct("template_id").alias("templates"))
-    return per.crossJoin(F.broadcast(total)).select("label", "templates", F.round(F.col("templates") / F.col("t"), 8).alias("share"))  # one row
+    return per.transform(beside, total).select("label", "templates", F.round(F.col("templates") / F.col("t"), 8).alias("share"))
 
 
 @query("cluster_templates")

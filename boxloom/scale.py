@@ -65,6 +65,11 @@ def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
 
 
+def beside(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Put the one row of a global aggregate beside every row (``limit`` states the bound)."""
+    return df.crossJoin(F.broadcast(row.limit(1)))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
