@@ -46,15 +46,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     )
     unlike = offered.select("name", "chunk").distinct().withColumn("texts", F.count("*").over(W.partitionBy("name"))).filter("texts > 1")
     ranks = cut(unlike.select("name", "chunk", F.row_number().over(W.partitionBy("name").orderBy("chunk")).alias("rank")))
-    told_apart = (
-        offered.join(ranks, ["name", "chunk"])
-        .groupBy("doc_id", "text_sha256").agg(F.sort_array(F.collect_set(F.struct("seq", "rank"))).alias("ranks"))
-        .select(F.col("doc_id").alias("told_id"), F.col("text_sha256").alias("told_sha"), "ranks")
-    )
-    verified = (
-        listed.join(told_apart, F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("text_sha256") == F.col("told_sha")), "left")
-        .select("doc_id", "text_sha256", F.struct("recipe", F.coalesce("ranks", F.array().cast("array<struct<seq:int,rank:int>>")).alias("ranks")).alias("ids"))
-    )
+    if ranks.isEmpty():  # every name stands for one text
+        verified = listed.select("doc_id", "text_sha256", F.col("recipe").alias("ids"))
+    else:
+        told_apart = (
+            offered.join(ranks, ["name", "chunk"])
+            .groupBy("doc_id", "text_sha256").agg(F.sort_array(F.collect_set(F.struct("seq", "rank"))).alias("ranks"))
+            .select(F.col("doc_id").alias("told_id"), F.col("text_sha256").alias("told_sha"), "ranks")
+        )
+        verified = (
+            listed.join(told_apart, F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("text_sha256") == F.col("told_sha")), "left")
+            .select("doc_id", "text_sha256", F.struct("recipe", F.coalesce("ranks", F.array().cast("array<struct<seq:int,rank:int>>")).alias("ranks")).alias("ids"))
+        )
     groups = cut(verified.groupBy("ids", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
                  .filter("group_size > 1").select(F.col("text_sha256").alias("sha"), "keep_id", "group_size"))
     # A verified list and the text have the same digest, so the short digest carries the answer back.

@@ -126,42 +126,53 @@ def count_texts(data: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> np
     return total
 
 
-def statistics(counts: np.ndarray) -> np.ndarray:
-    """Logarithms of shares, near to normal within a class."""
+SHARES = [("upper", "char"), ("digit", "char"), ("shout", "char"), ("symbol", "char"), ("stop", "char"), ("line", "char"), ("wide", "char"), ("char", "words"),
+          ("upper_words", "words"), ("repeat", "words"), ("long_words", "words"), ("marked_words", "words"), ("distinct", "words")]
+PRIOR = {"char": 60.0, "words": 10.0}  # a short text is taken to go on like the usual good text for so many characters or words
+
+
+def usual_rates(counts: np.ndarray) -> np.ndarray:
+    """Overall shares, the starting point for short texts."""
+    c = {name: counts[:, k].sum() for k, name in enumerate(COUNTS)}
+    return np.array([(c[a] + 1e-3) / (c[b] + 1.0) for a, b in SHARES])
+
+
+def statistics(counts: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Logarithms of shares and of the length, near to normal within a class."""
     c = {name: counts[:, k] for k, name in enumerate(COUNTS)}
-    share = lambda a, b, eps=0.5: np.log((c[a] + eps) / (c[b] + 1.0))
-    return np.stack([
-        np.log1p(c["words"]), np.log((c["char"] - c["space"] + 1) / (c["words"] + 1)), share("upper", "char"), share("digit", "char"), share("shout", "char"),
-        share("symbol", "char"), share("stop", "char"), share("line", "char"), share("wide", "char"), share("upper_words", "words"), share("repeat", "words"),
-        share("long_words", "words"), share("marked_words", "words"), np.log((c["distinct"] + 1) / (c["words"] + 1)),
-    ], 1)
+    shares = [np.log((c[a] + max(rate * PRIOR[b], 0.05)) / (c[b] + PRIOR[b])) for (a, b), rate in zip(SHARES, rates, strict=True)]
+    return np.stack([np.log(c["words"] + PRIOR["words"]), *shares], 1)
 
 
 @dataclass
 class Discriminant:
     """Per class: log prior minus half the log determinant, mean, inverse Cholesky factor."""
 
+    rates: np.ndarray
     middle: np.ndarray
     scale: np.ndarray
     parts: list[tuple[float, np.ndarray, np.ndarray]]
     constant: float | None = None
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, counts: np.ndarray) -> np.ndarray:
         if self.constant is not None:
-            return np.full(len(x), self.constant)
+            return np.full(len(counts), self.constant)
+        x = statistics(counts, self.rates)
         z = np.clip((x - self.middle) / self.scale, -30, 30)
         logs = [c - 0.5 * (((z - mean) @ inverse.T) ** 2).sum(1) for c, mean, inverse in self.parts]
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, shrink: float = 0.1, ridge: float = 0.05) -> Discriminant:
+def fit(counts: np.ndarray, y: np.ndarray, shrink: float = 0.1, ridge: float = 0.05) -> Discriminant:
     """Class covariances shrunk by ``shrink`` to the pooled covariance, with ``ridge`` of its mean variance on the diagonal.
 
     Without rows of both classes the score is the share of label 1, and 1 where there is no label at all.
     """
-    d = x.shape[1] if x.ndim == 2 else 0
     if len(y) == 0 or min((y == 0).sum(), (y == 1).sum()) < 2:
-        return Discriminant(np.zeros(d), np.ones(d), [], float(y.mean()) if len(y) else 1.0)
+        return Discriminant(np.zeros(0), np.zeros(0), np.ones(0), [], float(y.mean()) if len(y) else 1.0)
+    rates = usual_rates(counts[y == 1])
+    x = statistics(counts, rates)
+    d = x.shape[1]
     middle, scale = x.mean(0), x.std(0) + 1e-6
     z = np.clip((x - middle) / scale, -30, 30)
     each = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
@@ -171,7 +182,7 @@ def fit(x: np.ndarray, y: np.ndarray, shrink: float = 0.1, ridge: float = 0.05)
         s = (1 - shrink) * own + shrink * pooled + ridge * np.trace(pooled) / d * np.eye(d)
         factor = np.linalg.cholesky(s)
         parts.append((float(np.log((y == k).mean()) - np.log(np.diag(factor)).sum()), z[y == k].mean(0), np.linalg.inv(factor)))
-    return Discriminant(middle, scale, parts)
+    return Discriminant(rates, middle, scale, parts)
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +196,7 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for batch in batches:
         data, offsets = _bytes_of(batch.column(batch.schema.get_field_index("body")))
-        yield batch, statistics(count_texts(data, offsets))
+        yield batch, count_texts(data, offsets)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",

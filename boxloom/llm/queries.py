@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents
+from .common import documents, table
 from .exact_dedup import exact_dedup
 from .license_scan import NOTICES, PHRASES, license_scan
 from .mixing import domain_of, mix
+from .pieces import Vocabulary, sentencepiece
+from .quality import quality_scores, train
+from .warc import warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +76,12 @@ SELECT doc_id, domain, lang, source, n_tokens, epochs, greatest(0, least(n_token
   epochs * n_tokens + greatest(0, least(n_tokens, prefix - (upto - n_tokens))) AS taken_tokens FROM placed"""
 
 
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
@@ -115,3 +124,21 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op8_exact_dedup"] = f"""SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM (SELECT doc_id, {LOWER_SQL} AS norm FROM documents)"""
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op9_warc"] = """WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+named AS (SELECT page_id, body, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '') AS digest,
+  max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to FROM named"""
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece(documents(spark, sf_dir), Vocabulary.load())
