@@ -12,6 +12,7 @@ from .license_scan import NOTICES, PHRASES, license_scan
 from .mixing import domain_of, mix
 from .pieces import Vocabulary, sentencepiece
 from .quality import quality_scores, train
+from .simhash import simhash_dedup
 from .warc import warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(documents(spark, sf_dir))
+
+
 # Mixing: target weights of the production run.
 MIX_WEIGHTS = {"domain": {"web": 4, "books": 3, "news": 2, "code": 1}, "lang": {"en": 4, "de": 2}, "source": {}}
 MIX_PART, MIX_EPOCHS, MIX_SEED = (3, 5), 2, 7
