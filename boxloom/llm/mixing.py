@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from ..scale import running
+from ..scale import checked_broadcast, running
 from .common import cut, whole_text
 
 LEVELS = ("domain", "lang", "source")
@@ -87,7 +87,7 @@ def mix(df: DataFrame, levels: Sequence[Column], weights: Mapping[str, Mapping[s
     docs = cut(docs)
     names = list(names)
     leaves = docs.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
-    plan = cut(budgets(cut(leaves), names, weights, part, max_epochs).select(
+    plan = checked_broadcast(budgets(cut(leaves), names, weights, part, max_epochs).select(
         *names, F.expr("budget DIV greatest(tokens, 1)").alias("epochs"), F.expr("budget % greatest(tokens, 1)").alias("prefix")))
     placed = docs.join(plan, names).withColumn(
         "place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
