@@ -20,6 +20,7 @@ from .common import crc_mod, narrow, whole_text
 BLOCK = 2 << 20  # bytes counted at a time
 FIT_ROWS = 20_000  # labelled rows the classifier learns from at most, half of them per class
 CLASSES = {"space": b" \t\n\r\x0b\x0c", "digit": b"0123456789", "shout": b"!?", "symbol": b"#$%&*+<=>@\\^_`{|}~/[]", "stop": b".,;:'\"()-", "line": b"\n"}
+STRETCH = 1 << 20  # bytes hashed at a time
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
@@ -36,7 +37,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each byte span ``data[start:end]``."""
+    """A 64-bit polynomial hash of each byte span ``data[start:end]`` (rising, apart), a stretch of the data at a time."""
+    if len(data) > 2 * STRETCH and len(start) > 1:
+        cuts = np.unique(np.concatenate([np.searchsorted(start, np.arange(0, len(data), STRETCH)), [len(start)]]))
+        return np.concatenate([span_hashes(data[start[a]:end[b - 1]], start[a:b] - start[a], end[a:b] - start[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])

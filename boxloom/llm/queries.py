@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import documents, table
 from .embeddings import embedding_dedup
 from .exact_dedup import exact_dedup
+from .katz import katz_scores
 from .license_scan import NOTICES, PHRASES, license_scan
 from .mixing import domain_of, mix
 from .pieces import Vocabulary, sentencepiece
@@ -38,6 +39,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(documents(spark, sf_dir))
 
 
+@query
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(documents(spark, sf_dir))
+
+
 # Mixing: target weights of the production run.
 MIX_WEIGHTS = {"domain": {"web": 4, "books": 3, "news": 2, "code": 1}, "lang": {"en": 4, "de": 2}, "source": {}}
 MIX_PART, MIX_EPOCHS, MIX_SEED = (3, 5), 2, 7

@@ -268,6 +268,24 @@ def as_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), SENT, strict=True)] if rows else [pa.array([], k.type) for k in SENT], schema=SENT)
 
 
+def passage_keys(data: np.ndarray, at: np.ndarray, passage: int) -> np.ndarray:
+    """A 64-bit polynomial hash of the passage at each of the rising starts, a stretch of the data at a time."""
+    keys = np.empty(len(at), np.uint64)
+    cuts = np.searchsorted(at, np.arange(0, len(data) + (1 << 20), 1 << 20))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if a == b:
+            continue
+        low, place = int(at[a]), at[a:b] - at[a]
+        part = data[low:int(at[b - 1]) + passage]
+        up, down = powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        keys[a:b] = (sums[place + passage] - sums[place]) * down[place]
+    keys ^= keys >> np.uint64(31)
+    keys *= np.uint64(0x94D049BB133111EB)
+    return keys ^ (keys >> np.uint64(29))
+
+
 def across_shards(blobs: list[bytes], passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts of one bucket whose passage a smaller document of any shard holds: ids, tags, first and last start."""
     columns, texts = [], []
@@ -282,14 +300,7 @@ def across_shards(blobs: list[bytes], passage: int) -> tuple[np.ndarray, np.ndar
     stretch = np.repeat(np.arange(len(ids)), counts)
     inside = np.arange(len(stretch)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = head[stretch] + inside
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    keys = (sums[at + passage] - sums[at]) * down[at]
-    keys ^= keys >> np.uint64(31)
-    keys *= np.uint64(0x94D049BB133111EB)
-    keys ^= keys >> np.uint64(29)
-    del sums
+    keys = passage_keys(data, at, passage)
     # The keys that occur again, sorted; a small table tells most others apart before the search.
     ordered = np.sort(keys)
     again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
