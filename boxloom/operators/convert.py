@@ -6,9 +6,10 @@ boxes, so no row grows without bound; ordinary pages are part 0 only.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import bbox as B, text as T
 from ..functions.bbox import Box
@@ -37,7 +38,7 @@ def entity_rows(boxes: DataFrame) -> DataFrame:
 
 
 def page_documents(rows: DataFrame) -> DataFrame:
-    """Nested entity pages: entities, groups and mean confidence per page part."""
+    """Nested entity pages in parts: entities, groups, and the mean confidence of the whole page."""
     b = F.struct("x", "y", "width", "height")
     entity = F.struct(
         "place", "entity_id", b.alias("bbox"), F.struct(F.col("text").alias("value"), F.col("ocr_confidence").alias("confidence")).alias("text"),
@@ -45,8 +46,9 @@ def page_documents(rows: DataFrame) -> DataFrame:
         F.struct("x_normalized", "y_normalized").alias("position"),
         F.struct(F.col("ocr_original").alias("tesseract_raw"), F.col("ocr_confidence").alias("tesseract_confidence"), F.col("text").alias("corrected_value"), "was_corrected").alias("ocr_results"),
         "group_id")
-    docs = rows.groupBy(*PAGE, F.expr(f"place div {PART}").alias("part")).agg(F.array_sort(F.collect_list(entity)).alias("entities"), F.avg("ocr_confidence").alias("overall_confidence"))
-    return docs.withColumn("annotation_version", F.lit("2.0"))
+    means = rows.groupBy(*PAGE).agg(F.avg("ocr_confidence").alias("overall_confidence"))
+    docs = rows.groupBy(*PAGE, F.expr(f"place div {PART}").alias("part")).agg(F.array_sort(F.collect_list(entity)).alias("entities"))
+    return docs.join(means, PAGE).withColumn("annotation_version", F.lit("2.0"))
 
 
 def entity_groups(rows: DataFrame) -> DataFrame:
@@ -125,18 +127,27 @@ def any_box(df: DataFrame, nested: str = "bbox") -> DataFrame:
         "bw", F.coalesce(F.col(f"{nested}.width"), F.col("width"), F.lit(100))).withColumn("bh", F.coalesce(F.col(f"{nested}.height"), F.col("height"), F.lit(30)))
 
 
-def words_to_entities(pages: DataFrame) -> DataFrame:
-    """Words with text and box as entities ``ent_NNN``, numbered from 0 per page."""
+def words_to_entities(pages: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
+    """Words with text and box as entities ``ent_NNN``, numbered from 0 per page, on through its parts (``part``, if any)."""
     usable = F.filter("words", lambda w: (F.coalesce(w["text"], F.lit("")) != "") & w["bbox"].isNotNull())
-    rows = pages.select(*[c for c in pages.columns if c != "words"], F.posexplode(usable).alias("pos", "w"))
-    return rows.withColumn("entity_id", F.format_string("ent_%03d", "pos")).select("*", F.col("w.text").alias("text"), "w.bbox.*").drop("w")
+    kept = pages.withColumn("words", usable)
+    if "part" in pages.columns:  # a row per PART boxes: few enough to be summed up page by page
+        before = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        first = F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("int").alias("_first")
+        sizes = kept.select(*keys, "part", F.size("words").alias("_n")).select(*keys, "part", first)
+        kept = kept.join(sizes, [*keys, "part"])
+    else:
+        kept = kept.withColumn("_first", F.lit(0))
+    rows = kept.select(*[c for c in pages.columns if c != "words"], "_first", F.posexplode("words").alias("pos", "w"))
+    return rows.withColumn("pos", F.col("pos") + F.col("_first")).drop("_first").withColumn("entity_id", F.format_string("ent_%03d", "pos")).select("*", F.col("w.text").alias("text"), "w.bbox.*").drop("w")
 
 
 def pack_ocr(words: DataFrame, block: str, threshold: float = 0.0) -> DataFrame:
     """Lines of text per block (words in order) for words above the confidence threshold."""
     kept = words.filter((F.col("ocr_confidence") > threshold) & (F.trim("text") != ""))
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entity_seq", F.trim("text").alias("t")))), lambda s: s["t"]), " ")
-    return kept.groupBy(*PAGE, block, F.expr(f"entity_seq div {PART}").alias("part")).agg(line.alias("line"), F.count("*").alias("words"))
+    joined = lambda key, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, F.col(text).alias("t")))), lambda s: s["t"]), " ")
+    parts = kept.withColumn("_t", F.trim("text")).groupBy(*PAGE, block, F.expr(f"entity_seq div {PART}").alias("part")).agg(joined("entity_seq", "_t").alias("line"), F.count("*").alias("words"))
+    return parts.groupBy(*PAGE, block).agg(joined("part", "line").alias("line"), F.sum("words").alias("words"))
 
 
 def ocr_statistics(words: DataFrame, lines: DataFrame) -> DataFrame:
@@ -152,7 +163,7 @@ def label_lookup(requests: DataFrame, files: DataFrame) -> DataFrame:
     ``requests``: request_id, stem, page; ``files``: name. Each way is one equi join on its own key.
     """
     page = F.lpad(F.col("page").cast("string"), 3, "0")
-    core = F.array_join(F.slice(F.split("stem", "_"), 3, 100), "_")
+    core = F.array_join(F.slice(F.split("stem", "_"), F.lit(3), F.greatest(F.size(F.split("stem", "_")), F.lit(0))), "_")
     has_core = F.size(F.split("stem", "_")) >= 3
     asked = requests.select(
         "request_id", F.concat("stem", F.lit("_page"), page, F.lit("_label.json")).alias("k1"), F.concat("stem", F.lit("_page_"), page, F.lit("_label.json")).alias("k2"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.normalize import error_type, fix_common_ocr, fix_order_number
-from ..scale import beside, checked_broadcast, entity_levels, ranked, sliding, topk
+from ..scale import beside, checked_broadcast, cut, entity_levels, ranked, sliding, topk
 
 ORDER = ["doc_id", "page_number", "entity_seq"]
 
@@ -101,18 +101,31 @@ def replace_learned(texts: DataFrame, learned: DataFrame, column: str, out: str)
     """Replace every learned reading of the label that the text contains, longest first, each on the result so far.
 
     The learned table may be as large as the corrections, so it is not collected: a text offers its substrings of the
-    learned lengths and meets the table in an equi join. Equal texts are handled once.
+    learned lengths and meets the table in an equi join. Equal texts are handled once. A round applies the next reading
+    in order to every text that still holds one, also one that an earlier reading put there; texts without a hit drop out.
     """
-    sizes = learned.groupBy("label").agg(F.sort_array(F.collect_set(F.length("ocr_original"))).alias("_sizes"))
-    distinct = texts.select("label", F.col(column).alias("_t")).distinct()
-    parts = F.array_distinct(F.flatten(F.transform(
-        F.filter("_sizes", lambda n: (n > 0) & (n <= F.length("_t"))),
-        lambda n: F.transform(F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i: F.substring("_t", i, n)))))
-    offered = distinct.join(checked_broadcast(sizes), "label").select("label", "_t", F.explode(parts).alias("ocr_original"))
-    pair = F.struct((-F.length("ocr_original")).alias("o"), "ocr_original", "corrected")
-    hits = offered.join(learned.select("label", "ocr_original", "corrected"), ["label", "ocr_original"]).groupBy("label", "_t").agg(
-        F.array_sort(F.collect_list(pair)).alias("_pairs"))  # at most one pair per substring of the text
-    done = hits.select("label", "_t", F.aggregate("_pairs", F.col("_t"), lambda acc, p: F.replace(acc, p["ocr_original"], p["corrected"])).alias(out))
+    sizes = checked_broadcast(learned.groupBy("label").agg(F.sort_array(F.collect_set(F.length("ocr_original"))).alias("_sizes")))
+    pairs = cut(learned.select("label", "ocr_original", "corrected"))
+    start = F.struct(F.lit(-(1 << 30)).alias("o"), F.lit("").alias("ocr_original"))
+    state = cut(texts.select("label", F.col(column).alias("_t")).distinct()).withColumn("_now", F.col("_t")).withColumn("_last", start)
+    rounds = None
+    while True:
+        parts = F.array_distinct(F.flatten(F.transform(
+            F.filter("_sizes", lambda n: (n > 0) & (n <= F.length("_now")) & (n <= -F.col("_last.o"))),
+            lambda n: F.transform(F.sequence(F.lit(1), F.length("_now") - n + 1), lambda i: F.substring("_now", i, n)))))
+        offered = state.join(sizes, "label").select("label", "_t", "_now", "_last", F.explode(parts).alias("ocr_original"))
+        place = F.struct((-F.length("ocr_original")).alias("o"), "ocr_original")
+        hits = offered.filter(place > F.col("_last")).join(pairs, ["label", "ocr_original"])
+        first = hits.groupBy("label", "_t", "_now").agg(F.min(F.struct((-F.length("ocr_original")).alias("o"), "ocr_original", "corrected")).alias("_hit"))
+        state = cut(first.select(
+            "label", "_t", F.replace("_now", F.col("_hit.ocr_original"), F.col("_hit.corrected")).alias("_now"), F.struct("_hit.o", "_hit.ocr_original").alias("_last")))
+        if state.isEmpty():
+            break
+        reached = state.select("label", "_t", F.struct("_last", "_now").alias("_at"))
+        rounds = reached if rounds is None else rounds.unionByName(reached)
+    if rounds is None:
+        return texts.withColumn(out, F.col(column))
+    done = rounds.groupBy("label", "_t").agg(F.max("_at").alias("_at")).select("label", "_t", F.col("_at._now").alias(out))
     return texts.withColumn("_t", F.col(column)).join(done, ["label", "_t"], "left").withColumn(out, F.coalesce(out, "_t")).drop("_t")
 
 

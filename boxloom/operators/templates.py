@@ -20,6 +20,7 @@ from . import sequences as SQ
 from .grouping import bin_rows, table_regions
 
 TKEY = ["doc_type", "signature"]
+PLACES = 1 << 32  # over any field number; with at most 10**9 points above it, both fit in 63 bits
 
 
 @dataclass(frozen=True)
@@ -176,9 +177,9 @@ def predict(boxes: DataFrame, matched: DataFrame, known: Templates, above: float
     points = F.round((position * 0.6 + pattern * 0.4) * 1_000_000_000).cast("long")
     narrow = boxes.select(*PAGE, "entity_seq", "text", (F.col("x") / PAGE_WIDTH).alias("xn"), (F.col("y") / PAGE_HEIGHT).alias("yn"))
     met = narrow.join(matched.select(*PAGE, "template_id", F.col("score").alias("match_score")), PAGE).join(table, "template_id")
-    best = met.groupBy(*PAGE, "entity_seq", "template_id", "match_score").agg(F.max(points * 1_000_000 + 999_999 - F.col("idx")).alias("_best"))
-    score = F.expr("_best div 1000000") / 1_000_000_000
-    found = best.withColumn("score", score).filter(F.col("score") > above).withColumn("idx", (999_999 - F.pmod("_best", F.lit(1_000_000))).cast("int"))
+    best = met.groupBy(*PAGE, "entity_seq", "template_id", "match_score").agg(F.max(points * PLACES + (PLACES - 1) - F.col("idx")).alias("_best"))
+    score = F.expr(f"_best div {PLACES}") / 1_000_000_000
+    found = best.withColumn("score", score).filter(F.col("score") > above).withColumn("idx", (PLACES - 1 - F.pmod("_best", F.lit(PLACES))).cast("int"))
     return found.join(table.select("template_id", "idx", F.col("label").alias("predicted")), ["template_id", "idx"]).select(
         *PAGE, "entity_seq", "template_id", "predicted", (F.col("score") * F.col("match_score")).alias("confidence"))
 

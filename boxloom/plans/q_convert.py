@@ -100,7 +100,7 @@ def bbox_normalize_input(spark, d):
 def words_to_entities(spark, d):
     w = F.struct("entity_seq", F.col("ocr_original").alias("text"), F.struct("x", "y", "width", "height").alias("bbox"))
     pages = entities(spark, d).groupBy("doc_id", F.expr("entity_seq div 10000").alias("part")).agg(F.array_sort(F.collect_list(w)).alias("words"))
-    return V.words_to_entities(pages).select("doc_id", "entity_id", "text", "x", "y", "width", "height")
+    return V.words_to_entities(pages, ["doc_id"]).select("doc_id", "entity_id", "text", "x", "y", "width", "height")
 
 
 @query("ocr_pack", """WITH l AS (SELECT doc_id, line_no, string_agg(trim(ocr_original), ' ' ORDER BY entity_seq) AS line FROM po_entities WHERE ocr_confidence > 0.3E0 AND trim(ocr_original) <> '' GROUP BY doc_id, line_no),
@@ -113,7 +113,7 @@ def ocr_pack(spark, d):
 
 @query("ocr_lines", "SELECT doc_id, line_no, string_agg(trim(ocr_original), ' ' ORDER BY entity_seq) AS line, count(*) AS words FROM po_entities WHERE ocr_confidence > 0.3E0 AND trim(ocr_original) <> '' GROUP BY doc_id, line_no")
 def ocr_lines(spark, d):
-    return V.pack_ocr(entities(spark, d).withColumn("text", F.col("ocr_original")), "line_no", 0.3).drop("page_number", "part")
+    return V.pack_ocr(entities(spark, d).withColumn("text", F.col("ocr_original")), "line_no", 0.3).drop("page_number")
 
 
 LOOK_SQL = """

@@ -66,7 +66,7 @@ li AS (
          2171, 1900 + 100 * m, 83, 58 FROM tot
 ), h AS (
   SELECT *, (k * 31 + seq * 17) % 97 AS hx FROM raw
-), po_entities AS (
+), po_entities AS MATERIALIZED (
   SELECT k AS doc_id, 1 AS page_number, CAST(seq AS BIGINT) AS entity_seq, CAST(line_no AS BIGINT) AS line_no, label, text,
          CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height,
          CASE WHEN hx % 6 = 0 THEN replace(text, '0', 'O')
@@ -86,7 +86,7 @@ def with_entities(sql: str) -> str:
     text = sql.strip()
     match = re.match(r"(?is)^with\s+(recursive\s+)?", text)
     rest = ", " + text[match.end():] if match else text
-    return "WITH RECURSIVE " + PO_ENTITIES.strip() + "\n" + rest
+    return ("WITH RECURSIVE " if match and match.group(1) else "WITH ") + PO_ENTITIES.strip() + "\n" + rest
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 from collections.abc import Callable, Sequence
 
@@ -22,13 +23,20 @@ PAGE = ["doc_id", "page_number"]
 BLOCK = 1024  # rows of one page that may meet inside one array
 
 _own_dir: dict[str, str] = {}
+_written: set[str] = set()  # paths hold the application's id
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary folder only where none is configured (tests)."""
+    """The shared folder that spark.checkpoint.dir names.
+
+    Executors on other machines cannot see a folder of the driver, so a cluster must name one. Only in local mode, where
+    there are no other machines, an unset folder is replaced by a temporary one.
+    """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="spark-boxloom-")
@@ -51,11 +59,9 @@ def table_path(spark: SparkSession, name: str, source: str) -> str:
 def materialized(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Write ``build()`` once per application and source, then read it back (columnar, prunable, no lineage)."""
     path = table_path(spark, name, source)
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(done):
+    if path not in _written:
         build().write.mode("overwrite").parquet(path)
+        _written.add(path)
     return spark.read.parquet(path)
 
 

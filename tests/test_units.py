@@ -171,6 +171,37 @@ def test_learned_replacements_brute_force(spark):
         assert r.out == want, r.t
 
 
+def test_learned_replacements_follow_each_other(spark):
+    """A reading that an earlier replacement put into the text is replaced as well, later in the order."""
+    rng = random.Random(7)
+    learned = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): "".join(rng.choice("abcd") for _ in range(rng.randint(0, 3))) for _ in range(14)}
+    learned |= {"XY": "Z", "Z": "W"}
+    texts = ["xXY", *["".join(rng.choice("abcd") for _ in range(rng.randint(0, 9))) for _ in range(150)]]
+    pairs = sorted(learned.items(), key=lambda p: (-len(p[0]), p[0]))
+    table = spark.createDataFrame([("A", a, b) for a, b in pairs], "label string, ocr_original string, corrected string")
+    got = C.replace_learned(spark.createDataFrame([(i, "A", t) for i, t in enumerate(texts)], "id int, label string, t string"), table, "t", "out")
+    for r in got.collect():
+        want = r.t
+        for a, b in pairs:
+            want = want.replace(a, b)
+        assert r.out == want, r.t
+
+
+def test_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, getConf = "spark://somewhere:7077", staticmethod(Conf)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        SC.shared_dir(Session())
+
+
 def test_prediction_groups_brute_force(spark):
     rng = random.Random(4)
     ys = rng.sample(range(0, 1500), 40)
@@ -299,3 +330,18 @@ def test_one_page_with_most_boxes(spark):
     some = counts.filter("doc_id = 1").orderBy("entity_seq").limit(50).collect()
     for r in some:
         assert r.same_row_count == sum(1 for y in ys if abs(y - r.y) < 5)
+
+
+def test_page_parts_go_on(spark):
+    """A page of more boxes than a part holds: one numbering, one line, one mean."""
+    from boxloom.operators import convert as V
+
+    n = 25_000
+    boxes = spark.range(n).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page_number"), (F.col("id") + 1).alias("entity_seq"), F.lit(1).alias("line_no"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"),
+                                  F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(1).alias("width"), F.lit(1).alias("height"), (F.col("id") % 100 / 100).alias("ocr_confidence"))
+    line = V.pack_ocr(boxes, "line_no", -1).collect()
+    assert len(line) == 1 and line[0].words == n and line[0].line == " ".join(f"w{i}" for i in range(n))
+    word = F.struct("entity_seq", "text", F.struct("x", "y", "width", "height").alias("bbox"))
+    pages = boxes.groupBy("doc_id", F.expr("entity_seq div 10000").alias("part")).agg(F.array_sort(F.collect_list(word)).alias("words"))
+    ids = V.words_to_entities(pages, ["doc_id"]).select("entity_id", "text").collect()
+    assert {(r.entity_id, r.text) for r in ids} == {(f"ent_{i:03d}", f"w{i}") for i in range(n)}
