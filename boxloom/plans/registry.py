@@ -81,12 +81,24 @@ li AS (
 """
 
 
+def recursive(sql: str) -> bool:
+    """Whether a common table of ``sql`` reads itself."""
+    for found in re.finditer(r"\b(\w+)\s+AS\s+(?:MATERIALIZED\s+)?\(", sql):
+        depth, at = 1, found.end()
+        while depth and at < len(sql):
+            depth += {"(": 1, ")": -1}.get(sql[at], 0)
+            at += 1
+        if re.search(rf"\b(FROM|JOIN|,)\s+{found.group(1)}\b", sql[found.end():at]):
+            return True
+    return False
+
+
 def with_entities(sql: str) -> str:
     """Put the box view in front of ``sql`` (which may start with its own WITH)."""
     text = sql.strip()
     match = re.match(r"(?is)^with\s+(recursive\s+)?", text)
     rest = ", " + text[match.end():] if match else text
-    return ("WITH RECURSIVE " if match and match.group(1) else "WITH ") + PO_ENTITIES.strip() + "\n" + rest
+    return ("WITH RECURSIVE " if recursive(text) else "WITH ") + PO_ENTITIES.strip() + "\n" + rest
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
