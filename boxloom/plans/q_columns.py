@@ -289,7 +289,16 @@ def format_quantity(spark, d):
     return entities(spark, d).filter("label = 'Quantity'").select(*KEY, N.format_quantity(F.col("text"), 2).alias("text"))
 
 
-@query("fix_common_ocr")
+def _common_sql() -> str:
+    """One replacement behind a digit, then one before a digit, for every confusable character."""
+    out = "ocr_original"
+    for right, wrong in N.CONFUSIONS.items():
+        for ch in wrong:
+            out = f"regexp_replace(regexp_replace({out}, '([0-9])[{ch}]', '\\1{right}', 'g'), '[{ch}]([0-9])', '{right}\\1', 'g')"
+    return out
+
+
+@query("fix_common_ocr", f"SELECT doc_id, entity_seq, CASE WHEN regexp_matches(ocr_original, '[0-9]') THEN {_common_sql()} ELSE ocr_original END AS text FROM po_entities")
 def fix_common_ocr(spark, d):
     return entities(spark, d).select(*KEY, N.fix_common_ocr(F.col("ocr_original")).alias("text"))
 

@@ -202,9 +202,15 @@ def src_csv_stats(spark, d):
     return spark.read.schema("label string, n bigint, corrected bigint, run int").option("header", "true").csv(path)
 
 
-@query("src_file_catalog")
+@query("src_file_catalog", """SELECT concat('source=', source) AS folder, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS size, 'unknown' AS kind, md5(string_agg(concat(coalesce(text, ''), chr(10)), '' ORDER BY doc_id)) AS hash
+FROM documents GROUP BY source""")
 def src_file_catalog(spark, d):
-    return RD.file_catalog(spark, d, [".parquet"]).select("name", "size", "kind", "stem")
+    """The documents as one text file per source, listed with the hash of the content; other names are not listed."""
+    path = folder(spark, d, "catalog")
+    docs = table(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("text", "source").write.mode("overwrite").partitionBy("source").text(path)
+    files = RD.file_catalog(spark, path, [".txt"], hashed=True, glob="part-*")
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "size", "kind", "hash")
 
 
 def export_rows(spark, d):

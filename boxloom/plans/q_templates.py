@@ -67,7 +67,20 @@ def template_relations(spark, d):
     return TP.template_relations(typed(spark, d))
 
 
-@query("template_areas")
+AREAS_SQL = f"""{LABEL_SIG}, sd AS (SELECT doc_id, signature, {DOC_TYPE_SQL} AS doc_type FROM sig),
+fp AS (SELECT *, row_number() OVER (PARTITION BY doc_type, signature ORDER BY doc_id) AS nth FROM sd),
+b AS (SELECT doc_id, CAST(floor((y + height / 2) / 50) AS BIGINT) AS bin, count(*) AS n, min(x) AS x0, max(x + width) AS x1, min(y) AS y0, max(y + height) AS y1 FROM po_entities GROUP BY ALL),
+j AS (SELECT *, CASE WHEN bin = lag(bin) OVER o + 1 AND abs(n - lag(n) OVER o) <= 1 THEN 0 ELSE 1 END AS brk FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY bin)),
+r AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS run FROM j),
+m AS (SELECT *, max(run) OVER (PARTITION BY doc_id) AS last_run FROM r),
+tr AS (SELECT doc_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM m WHERE run < last_run GROUP BY doc_id, run HAVING count(*) >= 3),
+ta AS (SELECT doc_type, signature, count(*) AS tables, min(x0) AS tx0, min(y0) AS ty0, max(x1) AS tx1, max(y1) AS ty1 FROM tr JOIN fp USING (doc_id) WHERE nth <= 3 GROUP BY doc_type, signature),
+ze AS (SELECT fp.doc_type, fp.signature, e.*, CASE WHEN y < 3508 * 0.15E0 THEN 'header' WHEN y > 3508 * 0.85E0 THEN 'footer' END AS zone FROM po_entities e JOIN fp USING (doc_id) WHERE nth = 1),
+ed AS (SELECT doc_type, signature, """ + ", ".join(
+    f"{f}({v}) FILTER (zone = '{z}') AS {z}_{n}" for z in ("header", "footer") for n, f, v in (("x0", "min", "x"), ("y0", "min", "y"), ("x1", "max", "x + width"), ("y1", "max", "y + height"))) + """ FROM ze GROUP BY doc_type, signature)"""
+
+
+@query("template_areas", f"WITH {AREAS_SQL} SELECT ed.*, coalesce(tables, 0) AS tables, tx0, ty0, tx1, ty1 FROM ed LEFT JOIN ta USING (doc_type, signature)")
 def template_areas(spark, d):
     return TP.template_areas(typed(spark, d))
 
