@@ -29,7 +29,7 @@ PASSAGE = 50
 INDEX = 21  # bits of a position in a shard; three of them fill a sort key
 SHARD = (1 << INDEX) - 2
 FLUSH = 16 << 20  # bytes of text whose stretches are sent together
-BUCKET = 1 << 20  # bytes of text per bucket, about
+BUCKET = 4 << 20  # bytes of text per bucket, about
 PART = 4 << 20  # bytes of documents that are finished together, about
 GRAM = 16
 SPREAD = 1_000_003  # deals ids evenly whatever their step
@@ -260,6 +260,24 @@ def mark_rows(ids: np.ndarray, tags: np.ndarray, low: np.ndarray, high: np.ndarr
         yield MARKS, int(part[order[a]]), squeeze.compress(pack(np.diff(ids[rows], prepend=0), tags[rows], low[rows], high[rows] - low[rows]))
 
 
+NO_ID = np.iinfo(np.int64).min
+
+
+def text_rows(held: list[tuple[int, int, bytes]], parts: int) -> Iterator[tuple[int, int, bytes]]:
+    if not held:
+        return
+    ids = np.array([r[0] for r in held], np.int64)
+    part = np.where(ids == NO_ID, 0, part_of(ids, parts))
+    order = np.argsort(part, kind="stable")
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for a, b in runs(part[order]):
+        rows = order[a:b].tolist()
+        with np.errstate(over="ignore"):
+            steps = np.diff(ids[order[a:b]], prepend=0)
+        body = [held[r][2] for r in rows]
+        yield TEXTS, int(part[rows[0]]), squeeze.compress(pack(steps, np.array([held[r][1] for r in rows], np.int64), np.array([len(x) for x in body], np.int64)) + b"".join(body))
+
+
 SENT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 SENT_DDL = "kind int, part int, blob binary"
 
@@ -339,7 +357,7 @@ def across_shards(blobs: list[bytes], passage: int) -> tuple[np.ndarray, np.ndar
     return ids[own], tags[own], starts[own] + inside[a], starts[own] + inside[b]
 
 
-def finish(text: bytes, low: np.ndarray, high: np.ndarray, passage: int) -> tuple[int, int, str]:
+def finish(text: memoryview, low: np.ndarray, high: np.ndarray, passage: int) -> tuple[int, int, str]:
     """Removed bytes, removed runs and the digest of what is left."""
     if not len(low):
         return 0, 0, hashlib.sha256(text).hexdigest()
@@ -349,11 +367,10 @@ def finish(text: bytes, low: np.ndarray, high: np.ndarray, passage: int) -> tupl
     first = low[opens]
     last = end[np.concatenate([np.flatnonzero(opens)[1:] - 1, [len(end) - 1]])]
     digest, at = hashlib.sha256(), 0
-    view = memoryview(text)
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        digest.update(view[at:a])
+        digest.update(text[at:a])
         at = b
-    digest.update(view[at:])
+    digest.update(text[at:])
     return int((last - first).sum()), len(first), digest.hexdigest()
 
 
@@ -405,6 +422,19 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     kinds = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)))
 
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole texts by part, packed: they move once, to be finished."""
+        held: list[tuple[int, int, bytes]] = []
+        size = 0
+        for batch in batches:
+            for doc_id, tag, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held.append((NO_ID if doc_id is None else doc_id, tag, body))
+                size += len(body)
+                if size >= FLUSH:
+                    yield as_batch(list(text_rows(held, parts)))
+                    held, size = [], 0
+        yield as_batch(list(text_rows(held, parts)))
+
     def clean(key, texts: pa.Table, marks: pa.Table) -> pa.Table:
         columns = []
         for blob in marks.column("blob").to_pylist():
@@ -415,13 +445,17 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ids, tags, low, high = ids[order], tags[order], low[order], high[order]
         spans = {(int(ids[a]), int(tags[a])): (a, b) for a, b in runs(ids, tags)}
         rows = []
-        for doc_id, tag, body in zip(texts.column("doc_id").to_pylist(), texts.column("tag").to_pylist(), texts.column("body").to_pylist(), strict=True):
-            a, b = spans.get((doc_id, tag), (0, 0))
-            rows.append((doc_id, len(body), *finish(body, low[a:b], high[a:b], passage)))
+        for blob in texts.column("blob").to_pylist():
+            raw = memoryview(zstandard.ZstdDecompressor().decompress(blob))
+            (steps, own_tags, size), at = unpack(raw, 3)
+            for doc_id, tag, n in zip(np.cumsum(steps).tolist(), own_tags.tolist(), size.tolist(), strict=True):
+                a, b = spans.get((doc_id, tag), (0, 0))
+                rows.append((None if doc_id == NO_ID else doc_id, n, *finish(raw[at:at + n], low[a:b], high[a:b], passage)))
+                at += n
         return pa.Table.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds) if rows else kinds.empty_table()
 
     sent = docs.mapInArrow(shards, SENT_DDL)
     marks = sent.groupBy("kind", "part").applyInArrow(merge, SENT_DDL)
-    home = F.coalesce((F.pmod(F.pmod("doc_id", F.lit(SPREAD)), F.lit(parts))).cast("int"), F.lit(0))
-    return docs.withColumn("part", home).groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(
+    texts = docs.mapInArrow(ship, SENT_DDL)
+    return texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(
         clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
