@@ -170,16 +170,21 @@ def ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut + 1])] if len(starts) else starts, starts[np.concatenate([cut, [len(starts) - 1]])] if len(starts) else starts
 
 
+def heads_of(*columns: np.ndarray) -> np.ndarray:
+    """Where each run of equal rows of sorted columns begins."""
+    n = len(columns[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = columns[0][1:] != columns[0][:-1]
+        for c in columns[1:]:
+            new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 def runs(*columns: np.ndarray) -> list[tuple[int, int]]:
     """Begin and end of each run of equal rows of sorted columns."""
-    n = len(columns[0])
-    if not n:
-        return []
-    new = np.zeros(n - 1, bool)
-    for c in columns:
-        new |= c[1:] != c[:-1]
-    heads = [0, *(np.flatnonzero(new) + 1).tolist()]
-    return list(zip(heads, [*heads[1:], n], strict=True))
+    heads = heads_of(*columns).tolist()
+    return list(zip(heads, [*heads[1:], len(columns[0])][:len(heads)], strict=True))
 
 
 def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
@@ -312,49 +317,64 @@ def across_shards(blobs: list[bytes], passage: int) -> tuple[np.ndarray, np.ndar
         meta, at = unpack(raw, 4)
         columns.append((np.cumsum(meta[0]), *meta[1:]))
         texts.append(np.frombuffer(raw, np.uint8, offset=at))
+    lists = np.cumsum([len(c[0]) for c in columns])
     ids, tags, starts, counts = (np.concatenate(c) for c in zip(*columns, strict=True))
     data = np.concatenate(texts)
-    head = np.concatenate([[0], np.cumsum(counts + passage - 1)])
-    stretch = np.repeat(np.arange(len(ids)), counts)
-    inside = np.arange(len(stretch)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = head[stretch] + inside
+    del columns, texts
+    nothing = tuple(np.zeros(0, np.int64) for _ in range(4))
+    ends = np.cumsum(counts)
+    head = np.concatenate([[0], np.cumsum(counts + passage - 1)])[:-1]
+    at = np.arange(ends[-1]) + np.repeat(head - (ends - counts), counts)
     keys = passage_keys(data, at, passage)
     # The keys that occur again, sorted; a small table tells most others apart before the search.
     ordered = np.sort(keys)
     again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     del ordered
     if not len(again):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return nothing
     table = np.zeros(1 << 20, bool)
     table[(again >> np.uint64(44)).astype(np.int64)] = True
     hit = np.flatnonzero(table[(keys >> np.uint64(44)).astype(np.int64)])
-    place = np.minimum(np.searchsorted(again, keys[hit]), len(again) - 1)
-    ok = again[place] == keys[hit]
+    found = keys[hit]
+    del keys
+    place = np.empty(len(hit), np.int64)
+    borders = np.searchsorted(hit, np.concatenate([[0], ends[lists - 1]]))
+    for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):  # the list of one shard
+        order = np.argsort(found[a:b])
+        place[a:b][order] = np.searchsorted(again, found[a:b][order])
+    place = np.minimum(place, len(again) - 1)
+    ok = again[place] == found
     hit, place = hit[ok], place[ok]
-    owner = ids[stretch[hit]]
-    order = np.lexsort((owner, place))
-    hit, place, owner = hit[order], place[order], owner[order]
-    heads = np.flatnonzero(np.diff(place, prepend=-1))
-    lead = np.repeat(heads, np.diff(np.append(heads, len(place))))
-    marked = owner > owner[lead]
-    # Verified: the bytes of each start against those of the first in its group.
-    for low in range(0, len(hit), 1 << 16):
-        part = slice(low, low + (1 << 16))
-        mine = data[at[hit[part]][:, None] + np.arange(passage)]
-        first = data[at[hit[lead[part]]][:, None] + np.arange(passage)]
-        for k in np.flatnonzero((mine != first).any(1)) + low:  # different passages under one key: settle them alone
-            marked[k] = False
-            group = np.flatnonzero(lead == lead[k])
-            body = data[at[hit[k]]:at[hit[k]] + passage]
-            same = [g for g in group.tolist() if (data[at[hit[g]]:at[hit[g]] + passage] == body).all()]
-            marked[k] = owner[k] > owner[same].min()
-    gone = np.sort(hit[marked])
+    own = np.searchsorted(ends, hit, "right")
+    owners, owner = np.unique(ids, return_inverse=True)
+    owner = owner[own]
+    # The smallest document of each key, and one place where it has the passage.
+    least = np.full(len(again), np.iinfo(np.int64).max)
+    np.minimum.at(least, place, owner << 32 | np.arange(len(hit)))
+    least = least[place]
+    marked = np.flatnonzero(owner > least >> 32)
+    # Verified word by word against that place.
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    mine, first = at[hit[marked]], at[hit[least[marked] & 0xFFFFFFFF]]
+    same = np.ones(len(marked), bool)
+    for step in (*range(0, passage - 8, 8), passage - 8):
+        same &= words[mine + step] == words[first + step]
+    if not same.all():  # different passages under one key: settle those keys by the passages themselves
+        wrong = np.isin(place, place[marked[~same]])
+        text = lambda k: data[at[hit[k]]:at[hit[k]] + passage].tobytes()
+        best: dict[bytes, int] = {}
+        for k in np.flatnonzero(wrong).tolist():
+            best[text(k)] = min(best.get(text(k), len(owners)), int(owner[k]))
+        settled = [k for k in np.flatnonzero(wrong).tolist() if owner[k] > best[text(k)]]
+        marked = np.union1d(marked[~wrong[marked]], np.array(settled, np.int64))
+    gone, own = hit[marked], own[marked]
     if not len(gone):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    cut = np.flatnonzero((np.diff(gone) != 1) | (np.diff(stretch[gone]) != 0))
-    a, b = gone[np.concatenate([[0], cut + 1])], gone[np.concatenate([cut, [len(gone) - 1]])]
-    own = stretch[a]
-    return ids[own], tags[own], starts[own] + inside[a], starts[own] + inside[b]
+        return nothing
+    cut = np.flatnonzero((np.diff(gone) != 1) | (np.diff(own) != 0))
+    a, b = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(gone) - 1]])
+    stretch = own[a]
+    inside = gone - (ends - counts)[own]
+    return ids[stretch], tags[stretch], starts[stretch] + inside[a], starts[stretch] + inside[b]
 
 
 def finish(text: memoryview, low: np.ndarray, high: np.ndarray, passage: int) -> tuple[int, int, str]:
