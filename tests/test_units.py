@@ -345,3 +345,12 @@ def test_page_parts_go_on(spark):
     pages = boxes.groupBy("doc_id", F.expr("entity_seq div 10000").alias("part")).agg(F.array_sort(F.collect_list(word)).alias("words"))
     ids = V.words_to_entities(pages, ["doc_id"]).select("entity_id", "text").collect()
     assert {(r.entity_id, r.text) for r in ids} == {(f"ent_{i:03d}", f"w{i}") for i in range(n)}
+
+
+def test_long_page_is_decoded_whole(spark):
+    """Chunks tied at their borders give the labels of the unsplit page."""
+    boxes, _ = random_page(spark, 330, seed=11, docs=2, side=900)
+    boxes = boxes.withColumn("text", F.when(F.col("entity_seq") % 5 == 0, F.concat("label", "text")).otherwise(F.col("text")))
+    split = {(r.doc_id, r.entity_seq): r.predicted for r in TR.decode_sequences(boxes, chunk=40).collect()}
+    whole = {(r.doc_id, r.entity_seq): r.predicted for r in TR.decode_sequences(boxes, chunk=10_000).collect()}
+    assert split == whole and len(split) == 660 and len(set(split.values())) > 1
