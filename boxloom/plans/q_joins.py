@@ -56,12 +56,12 @@ def file_label_status(spark, d):
 
 
 @query("feedback_merge", """
-WITH b AS (SELECT doc_id * 10000 + entity_seq AS id, text, ocr_confidence AS confidence FROM po_entities WHERE label = 'Quantity'),
-c AS (SELECT * FROM (SELECT doc_id * 10000 + entity_seq - CASE WHEN doc_id % 9 = 0 THEN 1000000000 ELSE 0 END AS id, ocr_original AS text, 1.0E0 AS confidence FROM po_entities WHERE label = 'Quantity' AND was_corrected))
+WITH b AS (SELECT doc_id * 10000 + entity_seq AS id, text, ocr_confidence AS confidence FROM po_entities),
+c AS (SELECT * FROM (SELECT doc_id * 10000 + entity_seq - CASE WHEN doc_id % 9 = 0 THEN 1000000000 ELSE 0 END AS id, ocr_original AS text, 1.0E0 AS confidence FROM po_entities WHERE was_corrected))
 SELECT coalesce(b.id, c.id) AS id, coalesce(c.text, b.text) AS text, coalesce(c.confidence, b.confidence) AS confidence,
  CASE WHEN c.id IS NULL THEN 'base' WHEN b.id IS NULL THEN 'new' ELSE 'review' END AS source FROM b FULL JOIN c ON b.id = c.id""")
 def feedback_merge(spark, d):
-    e = entities(spark, d).filter("label = 'Quantity'").withColumn("id", F.col("doc_id") * 10000 + F.col("entity_seq"))
+    e = entities(spark, d).withColumn("id", F.col("doc_id") * 10000 + F.col("entity_seq"))
     base = e.select("id", "text", F.col("ocr_confidence").alias("confidence"))
     fixed = e.filter("was_corrected").select(
         (F.col("id") - F.when(F.col("doc_id") % 9 == 0, 1000000000).otherwise(0)).alias("id"), "ocr_original", "ocr_confidence")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..scale import shared_dir
 from ..streaming import jobs as J
@@ -68,25 +68,27 @@ SELECT *, round(least(0.5E0 + n * 0.01E0, 0.99E0), 6) AS accuracy, least(0.5E0 +
 def stream_corrections(spark, d):
     boxes = entities(spark, d)
     path = run_dir(spark, d, "corrections")
-    source = spark.readStream.schema(boxes.schema).option("maxFilesPerTrigger", 2).parquet(entities_path(spark, d))
+    source = spark.readStream.schema(boxes.schema).parquet(entities_path(spark, d))
     state = J.correction_state(source)
 
     def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{path}/v={number}")
+        """The labels that a batch has changed."""
+        batch.write.mode("overwrite").parquet(f"{path}/changes/v={number}")
 
-    q = state.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = q.lastProgress["batchId"]
-    return spark.read.schema(state.schema).parquet(f"{path}/v={last}").withColumn("accuracy", F.round("accuracy", 6))
+    changes = spark.read.schema(T.StructType([*state.schema.fields, T.StructField("v", T.IntegerType())])).parquet(f"{path}/changes")
+    last = changes.groupBy("label").agg(F.max_by(F.struct(*[c for c in changes.columns if c not in ("label", "v")]), "v").alias("r")).select("label", "r.*")
+    return last.withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("stream_feedback", """WITH b AS (SELECT concat(CAST(doc_id AS VARCHAR), '-', CAST(entity_seq AS VARCHAR)) AS id, text, ocr_confidence AS confidence, ocr_original, was_corrected FROM po_entities WHERE label = 'Quantity')
+@query("stream_feedback", """WITH b AS (SELECT concat(CAST(doc_id AS VARCHAR), '-', CAST(entity_seq AS VARCHAR)) AS id, text, ocr_confidence AS confidence, ocr_original, was_corrected FROM po_entities)
 SELECT id, CASE WHEN was_corrected THEN ocr_original ELSE text END AS text, CASE WHEN was_corrected THEN 1.0E0 ELSE confidence END AS confidence FROM b""")
 def stream_feedback(spark, d):
     path = run_dir(spark, d, "feedback")
-    e = entities(spark, d).filter("label = 'Quantity'").withColumn("id", F.concat_ws("-", "doc_id", "entity_seq"))
+    e = entities(spark, d).withColumn("id", F.concat_ws("-", "doc_id", "entity_seq"))
     note = F.struct(F.col("id").alias("annotation_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("page_number").cast("bigint").alias("page_number"), F.col("ocr_original").alias("text_value"), F.lit(1.0).alias("confidence_score"))
     drops = e.filter("was_corrected").groupBy("doc_id", F.expr("entity_seq div 10000").alias("part")).agg(F.collect_list(note).alias("reviewed_annotations"))
     drops.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("2024-01-01T00:00:00").alias("feedback_timestamp"), "reviewed_annotations").write.mode("overwrite").json(f"{path}/in")
-    J.merge_feedback(J.feedback_source(spark, f"{path}/in", files_per_batch=3), f"{path}/table", f"{path}/state").awaitTermination()
+    J.merge_feedback(J.feedback_source(spark, f"{path}/in"), f"{path}/table", f"{path}/state").awaitTermination()
     return J.current(e.select("id", "text", F.col("ocr_confidence").alias("confidence")), f"{path}/table")
