@@ -237,31 +237,45 @@ def layout_templates(boxes: DataFrame, layouts: DataFrame, templates: Mapping[st
     return best.select(*PAGE, F.col("b.score").alias("score"), F.when(F.col("b.score") > above, F.col("b.template")).alias("template"))
 
 
-def signature_templates(signatures: DataFrame, vendor: str, min_share: float, min_pages: int = 2) -> DataFrame:
-    """Layout templates of vendors: signatures shared by at least ``min_share`` of all pages, with their most frequent vendor."""
-    total = signatures.agg(F.count("*").alias("_total"))
+def signature_templates(signatures: DataFrame, vendor: str, min_pages: int = 2) -> DataFrame:
+    """Layout templates of vendors: signatures shared by at least ``min_pages`` pages, with their most frequent vendor."""
     per = signatures.groupBy("signature", vendor).agg(F.count("*").alias("n")).groupBy("signature").agg(
         F.max_by(vendor, F.struct("n", vendor)).alias("vendor"), F.sum("n").alias("samples"))
-    return per.transform(beside, total).filter((F.col("samples") >= F.col("_total") * min_share) & (F.col("samples") >= min_pages)).drop("_total")
+    return per.filter(F.col("samples") >= min_pages)
 
 
 def suggest(signatures: DataFrame, templates: DataFrame, above: float = 0.6, top: int = 5) -> DataFrame:
     """Templates whose signature shares more than ``above`` of its parts with the page, best ``top`` per page.
 
-    Signatures of n parts must agree in more than above x n of them, so they agree in one of the first n - need + 1:
-    those parts are the join key, the rest is checked on the pairs found.
+    Pages with equal signatures are compared once. Signatures of n parts must agree in more than above x n of them, so
+    with the parts of both in one order they agree in one of the first n - need + 1. The order is by rarity: those parts
+    are the join key, the rest is checked on the pairs found.
     """
-    def prefix(df: DataFrame, name: str) -> DataFrame:
-        parts = F.split("signature", "[|]")
-        n = F.size(parts)
-        need = F.floor(n * above) + 1
-        return df.withColumn("_n", n).withColumn("_part", F.explode(F.slice(parts, 1, (n - need + 1).cast("int")))).withColumnRenamed("signature", name)
-
-    from ..functions.signature import similarity
-
-    found = prefix(signatures, "_mine").join(prefix(templates, "template"), ["_n", "_part"]).drop("_n", "_part")
-    close = found.withColumn("similarity", similarity(F.col("_mine"), F.col("template"))).filter(F.col("similarity") > above)
-    return topk(close.drop("_mine").distinct(), PAGE, [F.col("similarity").desc(), "template"], top)
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        return cut(df.withColumn(name, F.monotonically_increasing_id()).withColumn("_all", F.split("signature", "[|]")))
+
+    mine, known = numbered(signatures.select("signature").distinct(), "_m"), numbered(templates, "_t")
+    parts = mine.select("_all").unionByName(known.select("_all")).select(F.explode("_all").alias("_part"))
+    often = cut(parts.groupBy("_part").agg(F.count("*").alias("_often")).withColumn("_word", F.monotonically_increasing_id()))
+
+    def words(df: DataFrame, name: str) -> DataFrame:
+        """Parts as numbers, the rarest first."""
+        listed = df.select(name, F.explode("_all").alias("_part")).join(often, "_part").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("_often", "_word"))).alias("_l"))
+        return cut(listed.select(name, F.transform("_l", lambda s: s["_word"]).alias(f"{name}_words")))
+
+    def rare(df: DataFrame, name: str) -> DataFrame:
+        n = F.size(f"{name}_words")
+        first = F.slice(f"{name}_words", F.lit(1), F.greatest(n - F.floor(n * above), F.lit(0)).cast("int"))
+        return df.select(name, n.alias("_n"), F.explode(first).alias("_word"))
+
+    own, other = words(mine, "_m"), words(known, "_t")
+    met = rare(own, "_m").join(rare(other, "_t"), ["_n", "_word"]).select("_m", "_t").distinct()
+    # The parts of a signature are numbered, so they are all different: shared ones can be counted as a set.
+    both = met.join(own, "_m").join(other, "_t").select("_m", "_t", (F.size(F.array_intersect("_m_words", "_t_words")) / F.size("_m_words")).alias("similarity"))
+    close = both.filter(F.col("similarity") > above).join(known.drop("_all").withColumnRenamed("signature", "template"), "_t").drop("_t")
+    best = topk(close, ["_m"], [F.col("similarity").desc(), "template"], top)
+    pages = signatures.select(*PAGE, "signature").join(mine.select("signature", "_m"), "signature").drop("signature")
+    return pages.join(best, "_m").drop("_m")
 
 
 def presence(known: Templates, labels: Sequence[str]) -> DataFrame:

@@ -185,7 +185,7 @@ def match_layout_template(spark, d):
 
 
 VENDOR_SQL = f"""{GRID_SIG}, gv AS (SELECT doc_id, signature, o_custkey AS vendor FROM grid JOIN orders ON o_orderkey = doc_id),
-vt AS (SELECT signature, arg_max(vendor, n * 10000000 + vendor) AS vendor, CAST(sum(n) AS BIGINT) AS samples FROM (SELECT signature, vendor, count(*) AS n FROM gv GROUP BY ALL) GROUP BY signature HAVING sum(n) >= (SELECT count(*) FROM gv) * 0.0005E0 AND sum(n) >= 2)"""
+vt AS (SELECT signature, arg_max(vendor, n * 10000000 + vendor) AS vendor, CAST(sum(n) AS BIGINT) AS samples FROM (SELECT signature, vendor, count(*) AS n FROM gv GROUP BY ALL) GROUP BY signature HAVING sum(n) >= 2)"""
 
 
 def vendor_signatures(spark, d):
@@ -195,16 +195,18 @@ def vendor_signatures(spark, d):
 
 @query("learn_field_template", f"WITH {VENDOR_SQL} SELECT signature, vendor, samples FROM vt")
 def learn_field_template(spark, d):
-    return TP.signature_templates(vendor_signatures(spark, d), "vendor", 0.0005)
+    return TP.signature_templates(vendor_signatures(spark, d), "vendor")
 
 
 @query("suggest_template", f"""WITH {VENDOR_SQL},
-pr AS (SELECT g.doc_id, v.signature AS template, v.vendor, v.samples, len(list_filter(list_zip(string_split(g.signature, '|'), string_split(v.signature, '|')), lambda p: p[1] = p[2])) / len(string_split(g.signature, '|')) AS similarity
- FROM gv g JOIN vt v ON len(string_split(g.signature, '|')) = len(string_split(v.signature, '|')))
-SELECT doc_id, template, vendor, samples, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, template) AS rank FROM pr WHERE similarity > 0.6E0) WHERE rank <= 5""")
+ps AS (SELECT signature, unnest(string_split(signature, '|')) AS part, len(string_split(signature, '|')) AS n FROM (SELECT DISTINCT signature FROM gv)),
+ts AS (SELECT signature AS template, vendor, samples, unnest(string_split(signature, '|')) AS part, len(string_split(signature, '|')) AS n FROM vt),
+pr AS (SELECT signature, template, any_value(vendor) AS vendor, any_value(samples) AS samples, count(*) / any_value(n) AS similarity FROM ps JOIN ts USING (part, n) GROUP BY signature, template HAVING count(*) / any_value(n) > 0.6E0),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY similarity DESC, template) AS rank FROM pr) WHERE rank <= 5)
+SELECT doc_id, template, rk.vendor, samples, similarity, rank FROM gv JOIN rk USING (signature)""")
 def suggest_template(spark, d):
     sigs = vendor_signatures(spark, d)
-    known_ = TP.signature_templates(sigs, "vendor", 0.0005)
+    known_ = TP.signature_templates(sigs, "vendor")
     return TP.suggest(sigs.drop("vendor"), known_).drop("page_number").withColumn("rank", F.col("rank").cast("long"))
 
 
