@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .common import whole_text
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 200_000  # parts remembered by a task; the memory starts anew beyond it
+CACHE = 400_000  # parts remembered by a task; the memory starts anew beyond it
 WIDE = 48  # longer parts go through the window search one by one
 
 
@@ -44,7 +45,7 @@ class Vocabulary:
         self.score = score.tolist()
         self.unknown = float(score[own].min()) - 10.0
         self.longest = max(map(len, self.pieces), default=1)
-        self.text = [p.replace(SPACE, " ").encode() for p in pieces]
+        self.text = np.array([p.replace(SPACE, " ").encode() for p in pieces], object)
         for value, i in enumerate(self.bytes_at):
             self.text[i] = bytes([value])
         # Cutting before a run of spaces is exact when no piece has a space behind another character.
@@ -128,7 +129,8 @@ class Searcher:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.codes: dict[str, int] = {}  # part -> number; with table = flat, starts its ids are flat[starts[number]:starts[number + 1]]
+        self.table = np.zeros(0, np.int32), np.zeros(1, np.int64)
         # The prefix tree as sorted (state, character) keys; a state is a row of ``ends`` (piece id or -1).
         heads = sorted(vocabulary.heads, key=len)
         number = {"": 0} | {h: i + 1 for i, h in enumerate(heads)}
@@ -139,98 +141,114 @@ class Searcher:
         self.ends = np.array([-1] + [vocabulary.pieces.get(h, -1) for h in heads], np.int64)
         self.scores = np.array(vocabulary.score)
 
-    def many(self, parts: Sequence[str]) -> list[tuple[int, ...]]:
-        """Column-wise search; the same result as ``window_search`` part by part."""
-        text = "".join(parts)
-        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-        chars = np.where(chars == 0x20, 0x2581, np.where(chars == 0x2581, 0, chars))
-        size = np.array([len(p) for p in parts])
-        start = np.concatenate([[0], np.cumsum(size)])[:-1]
+    def many(self, parts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Column-wise search: ids of all parts in one array, and how many each has; as ``window_search`` part by part."""
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        chars = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes = np.where(chars == 0x20, 0x2581, np.where(chars == 0x2581, 0, chars))
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        start = np.cumsum(size) - size
         end_of = np.repeat(start + size, size)
-        n, longest = len(chars), self.vocabulary.longest
-        match = np.full((longest, n), -1, np.int32)
+        n, longest = len(codes), self.vocabulary.longest
+        match = np.full((n, longest), -1, np.int32)
         at, state = np.arange(n), np.zeros(n, np.int64)
         for step in range(longest):
-            key = (state << 21) | chars[at + step]
+            key = (state << 21) | codes[at + step]
             place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             ok = self.keys[place] == key
             at, state = at[ok], self.states[place[ok]]
-            match[step, at] = self.ends[state]
+            match[at, step] = self.ends[state]
             more = at + step + 1 < end_of[at]
             at, state = at[more], state[more]
             if not len(at):
                 break
         best = np.full(n + len(parts), -np.inf)
-        last = np.zeros(n + len(parts), np.int64)  # length of the edge that reaches a boundary
-        head = start + np.arange(len(parts))
-        best[head] = 0
+        last = np.zeros(n + len(parts), np.int32)  # length of the edge that reaches a boundary
         lanes = np.arange(len(parts))
+        best[start + lanes] = 0
         for column in range(int(size.max())):
             lanes = lanes[size[lanes] > column]
             where = start[lanes] + column
             bound = where + lanes
             base = best[bound]
-            for step in range(longest):
-                found = match[step, where]
+            rows = match[where]
+            for step in np.flatnonzero((rows >= 0).any(0) | (np.arange(longest) == 0)).tolist():
+                found = rows[:, step]
                 ok = found >= 0
-                if step == 0:
-                    value = np.where(ok, self.scores[found], self.vocabulary.unknown)
-                    ok = np.ones(len(lanes), bool)
+                new = base + np.where(ok, self.scores[found], self.vocabulary.unknown)
+                if step:  # only a single character has an edge of its own
+                    own = np.flatnonzero(ok)
+                    target, new = bound[own] + step + 1, new[own]
                 else:
-                    if not ok.any():
-                        continue
-                    value = self.scores[found]
-                new = base + value
-                target = bound + step + 1
-                ok &= new > best[np.minimum(target, len(best) - 1)]
-                best[target[ok]] = new[ok]
-                last[target[ok]] = step + 1
-        last_list, match_rows = last.tolist(), match
-        out = []
-        char_ids = self.vocabulary.char_ids
-        for lane, part in enumerate(parts):
-            ids: list[int] = []
-            here, low = len(part), int(start[lane])
-            while here:
-                length = last_list[low + lane + here]
-                here -= length
-                found = int(match_rows[length - 1, low + here])
-                if found >= 0:
-                    ids.append(found)
-                else:
-                    ids.extend(reversed(char_ids(part[here])))
-            out.append(tuple(reversed(ids)))
-        return out
+                    target = bound + 1
+                better = new > best[target]
+                target = target[better]
+                best[target] = new[better]
+                last[target] = step + 1
+        # Back from every end at once; the pieces fall into their places in the text.
+        piece = np.full(n, -2, np.int32)
+        lanes = np.arange(len(parts))
+        here = start + size
+        while len(lanes):
+            length = last[here + lanes]
+            here = here - length
+            piece[here] = match[here, length - 1]
+            more = here > start[lanes]
+            lanes, here = lanes[more], here[more]
+        at = np.flatnonzero(piece > -2)
+        ids = piece[at]
+        lane = np.searchsorted(start, at, "right") - 1
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):
+            spelled = [self.vocabulary.char_ids(chr(c)) for c in chars[at[unknown]].tolist()]
+            width = np.ones(len(ids), np.int64)
+            width[unknown] = [len(x) for x in spelled]
+            first = np.cumsum(width) - width
+            out = np.repeat(ids, width)
+            for k, x in zip(first[unknown].tolist(), spelled, strict=True):
+                out[k:k + len(x)] = x
+            return out, np.bincount(lane, width, len(parts)).astype(np.int64)
+        return ids, np.bincount(lane, minlength=len(parts))
 
     def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.memory]
-        if len(self.memory) + len(new) > CACHE:
-            self.memory.clear()
-            new = list(parts)
-        short = sorted((p for p in new if len(p) <= WIDE), key=len)
+        """Search the parts that are not known yet; a full memory starts anew."""
+        new = [p for p in parts if p not in self.codes]
+        if len(self.codes) + len(new) > CACHE:
+            self.codes.clear()
+            self.table, new = (np.zeros(0, np.int32), np.zeros(1, np.int64)), list(parts)
+        short, long = sorted((p for p in new if len(p) <= WIDE), key=len), [p for p in new if len(p) > WIDE]
+        ids, sizes = [self.table[0]], [np.diff(self.table[1])]
         for i in range(0, len(short), 50_000):
-            group = short[i:i + 50_000]
-            self.memory.update(zip(group, self.many(group), strict=True))
-        for p in new:
-            if len(p) > WIDE:
-                self.memory[p] = tuple(window_search(p, self.vocabulary))
+            for into, x in zip((ids, sizes), self.many(short[i:i + 50_000]), strict=True):
+                into.append(x)
+        for p in long:
+            ids.append(np.fromiter(window_search(p, self.vocabulary), np.int32))
+            sizes.append([len(ids[-1])])
+        self.codes.update(zip(short + long, range(len(self.codes), len(self.codes) + len(new)), strict=True))
+        self.table = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
-    def encode(self, texts: Sequence[str]) -> list[list[int]]:
-        parts = [self.vocabulary.parts.findall(" " + t) if t else [] for t in texts]
-        self.learn(set().union(*parts))
-        memory = self.memory
-        out = []
-        for found in parts:
-            ids: list[int] = []
-            for p in found:
-                ids.extend(memory[p])
-            out.append(ids)
-        return out
+    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text's ids begin and end in it."""
+        findall = self.vocabulary.parts.findall
+        parts = [findall(" " + t) if t else [] for t in texts]
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        line = list(chain.from_iterable(parts))
+        codes = np.fromiter(map(self.codes.get, line, repeat(-1)), np.int64, len(line))
+        if (codes < 0).any():
+            held = len(self.codes)
+            self.learn({line[i] for i in np.flatnonzero(codes < 0).tolist()} if held < CACHE // 2 else set(line))
+            codes = np.fromiter(map(self.codes.__getitem__, line), np.int64, len(line)) if line else codes
+        flat, starts = self.table
+        low, size = starts[codes], starts[codes + 1] - starts[codes]
+        ends = np.cumsum(size)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - size), size)] if len(ends) else flat[:0]
+        return ids, np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(count)]])
 
 
-def decode(ids: Sequence[int], vocabulary: Vocabulary) -> str:
-    table = vocabulary.text
-    return b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:]
+def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
+    """The text in UTF-8: the pieces' bytes without the space in front."""
+    return b"".join(vocabulary.text[ids].tolist())[1:]
 
 
 def sentencepiece(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,11 +274,11 @@ def sentencepiece(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id",
                 part = batch.slice(low, i + 1 - low)
                 low, size = i + 1, 0
                 plain = part.column(1).to_pylist()
-                ids = searcher.encode(plain)
-                back = [decode(x, known).encode() for x in ids]
+                ids, cuts = searcher.encode(plain)
+                back = [decode(ids[a:b], known) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 body = [t.encode() for t in plain]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([len(b) for b in body], pa.int64()),
+                    part.column(0), pa.array(np.diff(cuts)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)), pa.array([len(b) for b in body], pa.int64()),
                     pa.array([hashlib.sha256(b).hexdigest() for b in back]), pa.array([a == b for a, b in zip(body, back, strict=True)])],
                     ["doc_id", "n_ids", "ids", "n_bytes", "decoded_sha256", "round_trip"])
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from boxloom.llm import pieces as PC
@@ -19,7 +20,9 @@ def test_window_and_columns_agree(vocabulary):
     r = random.Random(1)
     searcher = PC.Searcher(vocabulary)
     words = ["".join(r.choice(ALPHABET) for _ in range(r.randint(1, 14))) for _ in range(1500)]
-    assert searcher.many(words) == [tuple(PC.window_search(w, vocabulary)) for w in words]
+    ids, sizes = searcher.many(words)
+    assert ids.tolist() == [i for w in words for i in PC.window_search(w, vocabulary)]
+    assert sizes.tolist() == [len(list(PC.window_search(w, vocabulary))) for w in words]
 
 
 def test_same_paths_as_the_public_encoder(vocabulary):
@@ -55,13 +58,13 @@ def test_window_stays_small(vocabulary):
             return str.__getitem__(self, k)
 
     part = Part("".join(r.choice("abcdefgh") for _ in range(20_000)))
-    ids, behind = [], 0
+    ids, settled, behind = [], 0, 0
     for i in PC.window_search(part, vocabulary):
         ids.append(i)
-        behind = max(behind, Part.furthest - sum(len(vocabulary.text[j]) for j in ids[-1:]) - 0 * behind)
-    assert PC.decode(ids, vocabulary) == str(part).encode()[1:]
-    first = next(PC.window_search(part, vocabulary))
-    assert first == ids[0]
+        behind = max(behind, Part.furthest - settled)
+        settled += len(vocabulary.text[i])
+    assert PC.decode(np.array(ids), vocabulary) == str(part).encode()[1:]
+    assert behind < 40 * vocabulary.longest
 
 
 def test_round_trip(spark, vocabulary):
