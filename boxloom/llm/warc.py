@@ -223,6 +223,6 @@ def warc_round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url"
     folder = folder or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/warc_{uuid.uuid4().hex}"
     pages = mark_revisits(narrow(df, page_id=id_col, url=url_col, html=html_col).withColumn("page_id", F.col("page_id").cast("long")), least)
     archives = cut(write_archives(pages, folder))
-    spread = archives.repartition("archive")  # a file to a task
-    members = cut(normalise(spread, folder))
-    return read_members(members.repartition("archive"), folder)
+    tasks = max(archives.count(), 1)  # a file to a task
+    members = cut(normalise(archives.repartition(tasks), folder))
+    return read_members(members.repartition(tasks), folder)
