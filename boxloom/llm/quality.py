@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
     got = texts.mapInArrow(rows, "label int, x array<double>").toPandas()
-    x = np.array(got["x"].tolist()).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), float).reshape(len(got), len(COUNTS))
     order = np.lexsort(x.T[::-1]) if len(got) else np.zeros(0, int)
     return fit(x[order], got["label"].to_numpy(int)[order])
 
