@@ -62,8 +62,8 @@ def hits(df: DataFrame, phrases: Mapping[str, list[str]] = PHRASES, notices: Map
         .withColumn("diagonal", F.col("p") - F.col("t"))
     )
     # Votes are a set of template positions (templates have at most 63 pairs), so a repeated row cannot vote twice.
-    lines = votes.groupBy("row_id", "template", "label", "exact", "size", "diagonal").agg(
-        F.bit_or(F.expr("shiftleft(1L, t)")).alias("votes"), F.min("p").alias("low"), (F.max("p") + K - 1).alias("high"))
+    lines = cut(votes.groupBy("row_id", "template", "label", "exact", "size", "diagonal").agg(
+        F.bit_or(F.expr("shiftleft(1L, t)")).alias("votes"), F.min("p").alias("low"), (F.max("p") + K - 1).alias("high")))
     # A phrase allows no other word: its own diagonal must hold all of its pairs.
     whole = lines.filter("exact AND bit_count(votes) = size - 1").select(
         "row_id", "label", "exact", F.col("low").alias("first_word"), F.col("high").alias("last_word"), F.lit(1.0).alias("cover"))
