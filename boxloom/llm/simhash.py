@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, whole_text
+from .common import cut, partitions, whole_text
 from .components import components
 
 BITS = 3
@@ -145,7 +145,7 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other ids. Repeated rows have equal fingerprints, so they fall together. An empty table gives no rows.
     """
     prints = cut(fingerprints(df, id_col, text_col))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).repartition(partitions(df.sparkSession)))
     labels = components(links(nodes.select("fp"), bits, group))
     named = cut(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component_id", "fp").alias("label")))
     least = cut(named.groupBy("label").agg(F.min("least").alias("component_id")))
