@@ -1,8 +1,8 @@
 """Rows, columns, tables, regions and line items on a page.
 
-Rows and columns depend only on the distinct positions of a page, and those are bounded by the page size in pixels.
-Every grouping therefore collects the distinct positions (deduplicated map-side), finds the group starts of the page as
-one short array, and joins that array back; the boxes themselves are never collected.
+Rows and columns depend only on the distinct positions of a page, as many as the page is long in pixels at most. Every
+grouping therefore collects the distinct positions (deduplicated map-side), finds the group starts of the page as one
+array, and joins that array back; the boxes themselves are never collected. An endless page makes the array endless.
 """
 
 from __future__ import annotations

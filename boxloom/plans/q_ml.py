@@ -213,7 +213,13 @@ def train_test_split(spark, d):
     return SP.split_by_hash(ordered, "doc_id").select("doc_id", "in_order", F.col("split").alias("by_hash"))
 
 
-@query("smote")
+@query("smote", """WITH v AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sz AS (SELECT label, count(*) AS n FROM v GROUP BY label), sh AS (SELECT label, n, (SELECT max(n) FROM sz) - n AS need FROM sz WHERE n > 1 AND n < (SELECT max(n) FROM sz)),
+ba AS (SELECT v.label, vec_id, n, need, row_number() OVER (PARTITION BY v.label ORDER BY md5(concat(CAST(v.label AS VARCHAR), '-', CAST(vec_id AS VARCHAR)))) AS rn FROM v JOIN sh ON v.label = sh.label),
+ma AS (SELECT label, vec_id, unnest(range(0, CAST(floor((need - rn) / n) AS BIGINT) + 1)) AS t FROM ba WHERE rn <= need),
+ds AS (SELECT a.label, a.vec_id, b.vec_id AS other, list_distance(a.e, b.e) AS far FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.label IN (SELECT label FROM sh)),
+nr AS (SELECT *, row_number() OVER (PARTITION BY label, vec_id ORDER BY far, other) AS nth, least(5, count(*) OVER (PARTITION BY label, vec_id)) AS near FROM ds)
+SELECT ma.label, ma.vec_id, nr.other, t, 64 AS size FROM ma JOIN nr ON nr.label = ma.label AND nr.vec_id = ma.vec_id AND nr.nth = t % near + 1""")
 def smote(spark, d):
     made = SP.smote(table(spark, d, "embeddings").select("label", "vec_id", "embedding"))
     return made.select("label", "vec_id", "other", "t", F.size("embedding").alias("size"))
