@@ -167,25 +167,30 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
 
-def fit(counts: np.ndarray, y: np.ndarray, shrink: float = 0.1, ridge: float = 0.05) -> Discriminant:
+def fit(counts: np.ndarray, y: np.ndarray, shrink: float = 0.1, ridge: float = 0.05, shares: tuple[float, float] | None = None) -> Discriminant:
     """Class covariances shrunk by ``shrink`` to the pooled covariance, with ``ridge`` of its mean variance on the diagonal.
 
+    ``shares`` are the shares of the labels 0 and 1 among all training rows, where the rows given are a sample with others.
     Without rows of both classes the score is the share of label 1, and 1 where there is no label at all.
     """
+    if len(y) and shares is None:
+        shares = (float((y == 0).mean()), float((y == 1).mean()))
     if len(y) == 0 or min((y == 0).sum(), (y == 1).sum()) < 2:
-        return Discriminant(np.zeros(0), np.zeros(0), np.ones(0), [], float(y.mean()) if len(y) else 1.0)
+        return Discriminant(np.zeros(0), np.zeros(0), np.ones(0), [], shares[1] if len(y) else 1.0)
     rates = usual_rates(counts[y == 1])
     x = statistics(counts, rates)
     d = x.shape[1]
-    middle, scale = x.mean(0), x.std(0) + 1e-6
+    weight = np.where(y == 1, shares[1] / (y == 1).sum(), shares[0] / (y == 0).sum())  # rows count as in the whole table
+    middle = weight @ x
+    scale = np.sqrt(weight @ (x - middle) ** 2) + 1e-6
     z = np.clip((x - middle) / scale, -30, 30)
     each = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
-    pooled = sum(s * (y == k).mean() for k, s in enumerate(each))
+    pooled = sum(s * shares[k] for k, s in enumerate(each))
     parts = []
     for k, own in enumerate(each):
         s = (1 - shrink) * own + shrink * pooled + ridge * np.trace(pooled) / d * np.eye(d)
         factor = np.linalg.cholesky(s)
-        parts.append((float(np.log((y == k).mean()) - np.log(np.diag(factor)).sum()), z[y == k].mean(0), np.linalg.inv(factor)))
+        parts.append((float(np.log(shares[k]) - np.log(np.diag(factor)).sum()), z[y == k].mean(0), np.linalg.inv(factor)))
     return Discriminant(rates, middle, scale, parts)
 
 
@@ -207,7 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           fit_rows: int = FIT_ROWS) -> Discriminant:
     """Learn from at most ``fit_rows`` rows with a 0/1 label whose crc32(id) mod 4 is not 2, chosen by a hash of the id.
 
-    The bound makes the fit independent of the size of the input; the sample's statistics are all that reaches the driver.
+    The sample gives the mean and covariance of each class. How the classes share the rows is counted over all labelled
+    training rows, so a bounded sample has no effect on the prior; counts and the sample's statistics reach the driver.
     """
     known = narrow(labels, id=id_col, label=label_col).filter(F.col("label").isin(0, 1) & (crc_mod("id", 4) != 2)).distinct()
     halves = [known.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(fit_rows // 2) for k in (0, 1)]
@@ -221,7 +227,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = texts.mapInArrow(rows, "label int, x array<double>").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(COUNTS))
     order = np.lexsort(x.T[::-1]) if len(got) else np.zeros(0, int)
-    return fit(x[order], got["label"].to_numpy(int)[order])
+    size = {r["label"]: r["n"] for r in narrow(docs, id=id_col).join(known, "id").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    total = sum(size.values())
+    return fit(x[order], got["label"].to_numpy(int)[order], shares=(size.get(0, 0) / total, size.get(1, 0) / total) if total else None)
 
 
 def quality_scores(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -48,3 +48,17 @@ def test_edges(spark):
     nothing = known.filter("quality = 9")
     assert {x.score for x in Q.quality_scores(df, Q.train(df, nothing)).collect()} == {1.0}
     assert Q.quality_scores(df.limit(0), Q.train(df, known)).collect() == [] and Q.keep_good(df.limit(0), known).collect() == []
+
+
+def test_class_shares_do_not_depend_on_the_sample(spark):
+    docs = [(i, f"good words stand in this plain line of text number {i} " * (1 + i % 5) if i % 7 else "BUY!! NOW!! ### $$$ " * (2 + i % 4)) for i in range(700)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 7 > 0)) for i, _ in docs], "doc_id long, quality int")
+    rows = [int(i % 7 > 0) for i, _ in docs if zlib.crc32(str(i).encode()) % 4 != 2]
+    want = [rows.count(0) / len(rows), rows.count(1) / len(rows)]
+    assert want[1] > 0.8
+    models = [Q.train(df, known, fit_rows=n) for n in (60, 180, 20_000)]  # both classes at the bound, one of them, none
+    for model in models:
+        prior = [np.exp(c - np.log(np.diag(inverse)).sum()) for c, _, inverse in model.parts]
+        assert np.allclose(prior, want)
+    assert all(np.abs(m.middle - models[2].middle).max() < 0.1 and np.abs(m.scale - models[2].scale).max() < 0.1 for m in models)
