@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, VectorAssembler
-from pyspark.ml import Pipeline
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import bbox as B, text as T
 from ..functions.bbox import Box
 from ..operators.relations import relational_features
-from ..scale import PAGE, beside
+from ..scale import PAGE, beside, cut
 from ..schema import PAGE_HEIGHT, PAGE_WIDTH
 
 RELATION = ["same_row_count", "same_col_count", "is_leftmost", "is_rightmost", "is_topmost", "is_bottommost", "min_distance", "avg_distance", "within_100", "within_200",
@@ -39,21 +38,33 @@ def assemble(boxes: DataFrame, relations: bool = True, keep: tuple[str, ...] = (
     return VectorAssembler(inputCols=[f"f_{n}" for n in cols], outputCol="features").transform(flat).drop(*[f"f_{n}" for n in cols])
 
 
-def tfidf_model(texts: DataFrame, column: str = "text", chars: bool = True, grams: int = 3, size: int = 100) -> tuple:
-    """Character or word n-gram TF-IDF, fitted; returns (model, output column)."""
-    split = RegexTokenizer(inputCol=column, outputCol="_tokens", pattern="" if chars else r"\W+", gaps=True, toLowercase=True, minTokenLength=1)
-    stages = [split]
-    names = ["_tokens"]
-    for n in range(2, grams + 1):
-        stages.append(NGram(n=n, inputCol="_tokens", outputCol=f"_g{n}"))
-        names.append(f"_g{n}")
-    vectors = []
-    for name in names:
-        stages.append(CountVectorizer(inputCol=name, outputCol=f"{name}_tf", vocabSize=max(size // len(names), 1)))
-        stages.append(IDF(inputCol=f"{name}_tf", outputCol=f"{name}_idf"))
-        vectors.append(f"{name}_idf")
-    stages.append(VectorAssembler(inputCols=vectors, outputCol="tfidf"))
-    return Pipeline(stages=stages).fit(texts), "tfidf"
+def grams_of(text: Column, chars: bool = True, grams: int = 3) -> Column:
+    """All n-grams of a text up to ``grams`` as an array, repeats included; members are joined by a blank."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "" if chars else r"\W+"), lambda t: t != "")
+    found = []
+    for n in range(1, grams + 1):
+        last = F.size(tokens) - (n - 1)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: i <= last)
+        found.append(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+    return F.concat(*found)
+
+
+def tfidf_terms(texts: DataFrame, column: str = "text", count: str = "n", chars: bool = True, grams: int = 3, size: int = 100) -> DataFrame:
+    """``term, tf, df, idf`` of the ``size`` most frequent n-grams over all orders together; ties go to the smaller term.
+
+    Each text is listed once and stands for ``count`` documents, in the counts as in the number of documents.
+    """
+    terms = grams_of(F.col(column), chars, grams)
+    top = cut(texts.select(count, F.explode(terms).alias("term")).groupBy("term").agg(F.sum(count).alias("tf")).orderBy(F.desc("tf"), "term").limit(size))
+    seen = texts.select(count, F.explode(F.array_distinct(terms)).alias("term")).join(F.broadcast(top), "term").groupBy("term", "tf").agg(F.sum(count).alias("df"))
+    total = texts.agg(F.coalesce(F.sum(count), F.lit(0)).alias("_total"))
+    return cut(seen.transform(beside, total).withColumn("idf", F.log((F.col("_total") + 1) / (F.col("df") + 1))).drop("_total"))
+
+
+def tfidf(texts: DataFrame, terms: DataFrame, column: str = "text", count: str = "n", chars: bool = True, grams: int = 3) -> DataFrame:
+    """Sum of the TF-IDF weights per text; 0 without a term of the vocabulary (``terms``, some hundred rows)."""
+    found = texts.select(column, count, F.explode_outer(grams_of(F.col(column), chars, grams)).alias("term")).join(F.broadcast(terms.select("term", "idf")), "term", "left")
+    return found.groupBy(column, count).agg(F.sum(F.coalesce("idf", F.lit(0.0))).alias("weight"))
 
 
 def scaling(values: DataFrame, columns: list[str]) -> DataFrame:

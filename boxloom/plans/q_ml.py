@@ -27,13 +27,17 @@ def features_assemble(spark, d):
     return v.select(*KEY, "label", F.size(a).alias("n"), F.round(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), 6).alias("total"))
 
 
-@query("tfidf")
-def tfidf(spark, d):
-    from pyspark.ml.functions import vector_to_array
+TFIDF_SQL = """b AS (SELECT text, list_transform(range(1, length(text) + 1), lambda i: substr(lower(text), CAST(i AS INT), 1)) AS c FROM po_entities),
+gr AS (SELECT text, unnest(list_concat(c, list_transform(range(1, len(c)), lambda i: concat(c[i], ' ', c[i + 1])), list_transform(range(1, len(c) - 1), lambda i: concat(c[i], ' ', c[i + 1], ' ', c[i + 2])))) AS term FROM (SELECT DISTINCT text, c FROM b)),
+tn AS (SELECT text, count(*) AS n FROM po_entities GROUP BY text), tt AS (SELECT text, term, count(*) AS k FROM gr GROUP BY text, term),
+vo AS (SELECT term, sum(k * n) AS tf, sum(n) AS df FROM tt JOIN tn USING (text) GROUP BY term ORDER BY tf DESC, term LIMIT 100),
+wt AS (SELECT text, sum(k * ln((SELECT count(*) + 1 FROM po_entities) / (df + 1))) AS w FROM tt JOIN vo USING (term) GROUP BY text)"""
 
+
+@query("tfidf", f"WITH {TFIDF_SQL} SELECT text, n, round(coalesce(w, 0), 6) AS weight FROM tn LEFT JOIN wt USING (text)")
+def tfidf(spark, d):
     texts = entities(spark, d).groupBy("text").agg(F.count("*").alias("n"))
-    model, out = FE.tfidf_model(texts)
-    return model.transform(texts).select("text", "n", F.round(F.aggregate(vector_to_array(out), F.lit(0.0), lambda x, y: x + y), 6).alias("weight"))
+    return FE.tfidf(texts, FE.tfidf_terms(texts)).select("text", "n", F.round("weight", 6).alias("weight"))
 
 
 @query("scale", """WITH s AS (SELECT avg(width) AS wm, stddev_pop(width) AS ws, avg(height) AS hm, stddev_pop(height) AS hs FROM po_entities)

@@ -354,3 +354,24 @@ def test_long_page_is_decoded_whole(spark):
     split = {(r.doc_id, r.entity_seq): r.predicted for r in TR.decode_sequences(boxes, chunk=40).collect()}
     whole = {(r.doc_id, r.entity_seq): r.predicted for r in TR.decode_sequences(boxes, chunk=10_000).collect()}
     assert split == whole and len(split) == 660 and len(set(split.values())) > 1
+
+
+def test_tfidf_counts_every_document_and_ranks_all_orders_together(spark):
+    texts = [("aab", 50), ("ab", 3), ("Xb", 1), ("", 2), (None, 1)]
+    df = spark.createDataFrame(texts, "text string, n bigint")
+    split = lambda t: [" ".join(c[i:i + k]) for c in [list((t or "").lower())] for k in (1, 2, 3) for i in range(len(c) - k + 1)]
+    tf, seen = {}, {}
+    for t, n in texts:
+        for g in split(t):
+            tf[g] = tf.get(g, 0) + n
+        for g in set(split(t)):
+            seen[g] = seen.get(g, 0) + n
+    best = sorted(tf, key=lambda g: (-tf[g], g))[:5]
+    assert len({len(g) for g in best}) == 3  # single letters, pairs and triples share the places
+    terms = FE.tfidf_terms(df, size=5)
+    got = {r.term: r for r in terms.collect()}
+    assert {g: (got[g].tf, got[g].df) for g in got} == {g: (tf[g], seen[g]) for g in best}
+    idf = {g: np.log(58 / (seen[g] + 1)) for g in best}
+    weights = {r.text: (r.n, r.weight) for r in FE.tfidf(df, terms).collect()}
+    assert set(weights) == {t for t, _ in texts}
+    assert all(weights[t][0] == n and abs(weights[t][1] - sum(idf.get(g, 0) for g in split(t))) < 1e-9 for t, n in texts)
