@@ -95,7 +95,8 @@ def feature_importance(spark, d):
 
 @query("cross_val")
 def cross_val(spark, d):
-    return spark.createDataFrame([(3, TR.cross_validate(training(spark, d), 3))], "folds int, accuracy double")
+    accuracy, boxes = TR.cross_validate(entities(spark, d), FE.assemble, 3, FIT_PAGES)
+    return spark.createDataFrame([(3, accuracy, boxes)], "folds int, accuracy double, boxes bigint")
 
 
 @query("sequence_model")

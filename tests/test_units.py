@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -375,3 +376,13 @@ def test_tfidf_counts_every_document_and_ranks_all_orders_together(spark):
     weights = {r.text: (r.n, r.weight) for r in FE.tfidf(df, terms).collect()}
     assert set(weights) == {t for t, _ in texts}
     assert all(weights[t][0] == n and abs(weights[t][1] - sum(idf.get(g, 0) for g in split(t))) < 1e-9 for t, n in texts)
+
+
+def test_cross_validation_judges_every_box(spark):
+    boxes, rows = random_page(spark, 6, docs=40)
+    plain = lambda df: VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(df)
+    accuracy, judged = TR.cross_validate(boxes, plain, 3, fit_pages=5, numTrees=3, maxDepth=3)
+    assert judged == len(rows) and 0 <= accuracy <= 1
+    odd = boxes.withColumn("label", F.when(F.col("doc_id") == 7, "rare").otherwise("A"))
+    accuracy, judged = TR.cross_validate(odd, plain, 3, fit_pages=1, numTrees=3, maxDepth=3)
+    assert judged == len(rows) and 0.8 < accuracy < 1
