@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bpe import Vocabulary as ByteVocabulary, bpe_decode, bpe_encode, token_digests
 from .common import documents, table
 from .embeddings import embedding_dedup
 from .exact_dedup import exact_dedup
@@ -175,3 +176,9 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, dig
 @query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece(documents(spark, sf_dir), Vocabulary.load())
+
+
+@query
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = ByteVocabulary.load(spark.conf.get("boxloom.llm.byte_vocabulary", None))
+    return token_digests(bpe_decode(bpe_encode(documents(spark, sf_dir), vocabulary), vocabulary))
