@@ -12,6 +12,7 @@ from .embeddings import embedding_dedup
 from .exact_dedup import exact_dedup
 from .katz import katz_scores
 from .license_scan import NOTICES, PHRASES, license_scan
+from .merkle import every_seventh, merkle_manifest, verify
 from .mixing import domain_of, mix
 from .pieces import Vocabulary, sentencepiece
 from .quality import quality_scores, train
@@ -178,6 +179,48 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece(documents(spark, sf_dir), Vocabulary.load())
 
 
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify(merkle_manifest(documents(spark, sf_dir), tampered=every_seventh()))
+
+
+def _leaf_sql(chars: str) -> str:
+    values = ["doc_id", "source", "lang", chars, "text"]
+    parts = [f"CASE WHEN {v} IS NULL THEN '-' ELSE concat(CAST(octet_length(encode(CAST({v} AS VARCHAR))) AS VARCHAR), ':', CAST({v} AS VARCHAR)) END" for v in values]
+    return f"sha256(concat({', '.join(parts)}))"
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text: a byte is mixed in, then eight times a bit is shifted out."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [CAST(ascii(substr({text}, CAST(i AS BIGINT), 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    bit = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE {bit} END), 4294967295::BIGINT)"
+
+
+ORACLES["op11_merkle"] = f"""WITH RECURSIVE leaf AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS rid
+  FROM (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("(n_chars + 1)")} AS raised, {crc_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 AS hit FROM documents)),
+low(lang, level, idx, h, n) AS (SELECT lang, 0, idx, leaf, n FROM leaf
+  UNION ALL SELECT lang, any_value(level) + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 1) // 2 FROM low WHERE n > 1 GROUP BY lang, idx // 2),
+sub AS MATERIALIZED (SELECT lang, h, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+top(level, idx, h, n) AS (SELECT 0, idx, h, n FROM sub
+  UNION ALL SELECT any_value(level) + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY idx // 2),
+path AS MATERIALIZED (
+  SELECT l.rid, w.level AS step, s.h AS sibling, (l.idx >> w.level) % 2 = 1 AS in_front FROM leaf l
+    JOIN (SELECT DISTINCT lang, level FROM low WHERE n > 1) w ON w.lang IS NOT DISTINCT FROM l.lang
+    LEFT JOIN low s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = w.level AND s.idx = xor(l.idx >> w.level, 1)
+  UNION ALL
+  SELECT l.rid, u.height + w.level, s.h, (u.idx >> w.level) % 2 = 1 FROM leaf l JOIN sub u ON u.lang IS NOT DISTINCT FROM l.lang
+    CROSS JOIN (SELECT DISTINCT level FROM top WHERE n > 1) w LEFT JOIN top s ON s.level = w.level AND s.idx = xor(u.idx >> w.level, 1)),
+folded(rid, step, h) AS (SELECT rid, 0, CASE WHEN hit THEN coalesce(raised, leaf) ELSE leaf END FROM leaf
+  UNION ALL SELECT f.rid, f.step + 1, sha256(CASE WHEN in_front THEN concat(sibling, h) ELSE concat(h, sibling) END) FROM folded f JOIN path p ON p.rid = f.rid AND p.step = f.step),
+proof AS (SELECT rid, sha256(string_agg(coalesce(sibling, ''), '' ORDER BY step)) AS proof_sha256 FROM path GROUP BY rid),
+final AS (SELECT rid, arg_max(h, step) AS folded_root FROM folded GROUP BY rid)
+SELECT doc_id, leaf, u.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = (SELECT h FROM top WHERE n = 1) AS verified
+FROM leaf l JOIN sub u ON u.lang IS NOT DISTINCT FROM l.lang JOIN final f ON f.rid = l.rid LEFT JOIN proof p ON p.rid = l.rid"""
+
+
 @query
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = ByteVocabulary.load(spark.conf.get("boxloom.llm.byte_vocabulary", None))
