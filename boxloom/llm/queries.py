@@ -15,6 +15,7 @@ from .license_scan import NOTICES, PHRASES, license_scan
 from .merkle import every_seventh, merkle_manifest, verify
 from .mixing import domain_of, mix
 from .pieces import Vocabulary, sentencepiece
+from .prefix_trie import prefix_trie
 from .quality import quality_scores, train
 from .simhash import simhash_dedup
 from .suffix_dedup import suffix_dedup
@@ -225,3 +226,26 @@ FROM leaf l JOIN sub u ON u.lang IS NOT DISTINCT FROM l.lang JOIN final f ON f.r
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = ByteVocabulary.load(spark.conf.get("boxloom.llm.byte_vocabulary", None))
     return token_digests(bpe_decode(bpe_encode(documents(spark, sf_dir), vocabulary), vocabulary))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = f"""WITH turns AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS MATERIALIZED (SELECT conv_id, max(pos) AS n, {crc_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM turns GROUP BY conv_id),
+built AS (
+  SELECT c.conv_id, t.pos AS d, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 WHERE t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(b.n, 0)), t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20),
+named AS (SELECT conv_id, d, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+  string_agg(sha256(concat(length(role), ':', role, text)), '') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS key FROM built),
+member AS MATERIALIZED (SELECT conv_id, CAST(d AS BIGINT) AS d, words, key, substr(key, 1, length(key) - 64) AS parent FROM named UNION ALL SELECT conv_id, 0, 0, '', NULL FROM convs),
+node AS MATERIALIZED (SELECT key, d, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM member GROUP BY key, d),
+kids AS (SELECT parent, count(*) AS n FROM node GROUP BY parent),
+below AS (SELECT a.key, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved
+  FROM node n JOIN member a ON a.conv_id = n.conv_id AND a.d <= n.d LEFT JOIN kids k ON k.parent = n.key GROUP BY a.key),
+ends AS (SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM (SELECT conv_id, arg_max(key, d) AS key FROM member GROUP BY conv_id) GROUP BY key)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM node n LEFT JOIN node p ON p.key = n.parent LEFT JOIN kids k ON k.parent = n.key JOIN below b ON b.key = n.key LEFT JOIN ends e ON e.key = n.key"""
