@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import whole_text
+from .common import released, whole_text
 
 FILE = "byte_bpe_50k.json"
 KNOWN = 200_000  # pieces of text remembered by a task; the memory starts anew beyond it
@@ -248,7 +248,7 @@ def bpe_encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", te
                 ids, cuts = encoder.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
 
-    return texts.mapInArrow(rows, f"doc_id {dict(texts.dtypes)['doc_id']}, ids array<int>")
+    return texts.mapInArrow(released(rows), f"doc_id {dict(texts.dtypes)['doc_id']}, ids array<int>")
 
 
 def bpe_decode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -266,7 +266,7 @@ def bpe_decode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", id
                 text = [decode(flat[a:b], spelled) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), column, pa.array(text, pa.string())], ["doc_id", "ids", "text"])
 
-    return given.mapInArrow(rows, f"doc_id {dict(given.dtypes)['doc_id']}, ids array<int>, text string")
+    return given.mapInArrow(released(rows), f"doc_id {dict(given.dtypes)['doc_id']}, ids array<int>, text string")
 
 
 def token_digests(df: DataFrame) -> DataFrame:

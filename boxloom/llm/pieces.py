@@ -22,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import whole_text
+from .common import released, whole_text
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 400_000  # parts remembered by a task; the memory starts anew beyond it
+CACHE = 200_000  # parts remembered by a task; the memory starts anew beyond it
 WIDE = 48  # longer parts go through the window search one by one
 
 
@@ -219,8 +219,8 @@ class Searcher:
             self.table, new = (np.zeros(0, np.int32), np.zeros(1, np.int64)), list(parts)
         short, long = sorted((p for p in new if len(p) <= WIDE), key=len), [p for p in new if len(p) > WIDE]
         ids, sizes = [self.table[0]], [np.diff(self.table[1])]
-        for i in range(0, len(short), 50_000):
-            for into, x in zip((ids, sizes), self.many(short[i:i + 50_000]), strict=True):
+        for i in range(0, len(short), 20_000):
+            for into, x in zip((ids, sizes), self.many(short[i:i + 20_000]), strict=True):
                 into.append(x)
         for p in long:
             ids.append(np.fromiter(window_search(p, self.vocabulary), np.int32))
@@ -283,4 +283,4 @@ def sentencepiece(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id",
                     ["doc_id", "n_ids", "ids", "n_bytes", "decoded_sha256", "round_trip"])
 
     kind = dict(texts.dtypes)["doc_id"]
-    return texts.mapInArrow(rows, f"doc_id {kind}, n_ids long, ids array<int>, n_bytes long, decoded_sha256 string, round_trip boolean")
+    return texts.mapInArrow(released(rows), f"doc_id {kind}, n_ids long, ids array<int>, n_bytes long, decoded_sha256 string, round_trip boolean")

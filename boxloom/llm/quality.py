@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod, narrow, whole_text
+from .common import crc_mod, narrow, released, whole_text
 
-BLOCK = 2 << 20  # bytes counted at a time
+BLOCK = 1 << 19  # bytes counted at a time
 FIT_ROWS = 20_000  # labelled rows the classifier learns from at most, half of them per class
 CLASSES = {"space": b" \t\n\r\x0b\x0c", "digit": b"0123456789", "shout": b"!?", "symbol": b"#$%&*+<=>@\\^_`{|}~/[]", "stop": b".,;:'\"()-", "line": b"\n"}
-STRETCH = 1 << 20  # bytes hashed at a time
+STRETCH = 1 << 18  # bytes hashed at a time
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
@@ -224,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch, x in counted(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
-    got = texts.mapInArrow(rows, "label int, x array<double>").toPandas()
+    got = texts.mapInArrow(released(rows), "label int, x array<double>").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(COUNTS))
     order = np.lexsort(x.T[::-1]) if len(got) else np.zeros(0, int)
     size = {r["label"]: r["n"] for r in narrow(docs, id=id_col).join(known, "id").groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -247,7 +247,7 @@ def quality_scores(docs: DataFrame, model: Discriminant, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = dict(body.dtypes)["doc_id"]
-    return body.mapInArrow(rows, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return body.mapInArrow(released(rows), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -260,4 +260,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             yield batch.drop_columns(["body"]).filter(pa.array(model.value.score(x) >= threshold))
 
     given = docs.select(*columns, whole_text(text_col).cast("binary").alias("body"))
-    return given.mapInArrow(rows, given.drop("body").schema).toDF(*docs.columns)
+    return given.mapInArrow(released(rows), given.drop("body").schema).toDF(*docs.columns)

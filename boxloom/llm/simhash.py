@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, partitions, whole_text
+from .common import cut, partitions, released, whole_text
 from .components import components
 
 BITS = 3
@@ -54,7 +54,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return texts.mapInArrow(rows, f"doc_id {dict(texts.dtypes)['doc_id']}, fp long")
+    return texts.mapInArrow(released(rows), f"doc_id {dict(texts.dtypes)['doc_id']}, fp long")
 
 
 def wildcards(bits: Column, width: int) -> Column:
@@ -112,7 +112,7 @@ def group_links(groups: DataFrame, bits: int) -> DataFrame:
                 b += y
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return groups.select("fps").mapInArrow(rows, "a long, b long")
+    return groups.select("fps").mapInArrow(released(rows), "a long, b long")
 
 
 def links(nodes: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
