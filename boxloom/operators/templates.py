@@ -1,7 +1,7 @@
 """Page templates: learned per document type and layout signature, matched to pages, used for prediction.
 
-A template is one row of ``templates`` and one row per field in ``fields``. With ``min_share`` at most 1 / min_share
-templates exist, whatever the size of the data; that bound is what makes comparing every page with every template safe.
+A template is one row of ``templates`` and one row per field in ``fields``. Their number grows with the layouts in the data,
+so pages are not compared with all of them: ``match`` finds the best one by upper bounds of the score.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.bbox import Box
@@ -25,11 +25,12 @@ PLACES = 1 << 32  # over any field number; with at most 10**9 points above it, b
 
 @dataclass(frozen=True)
 class Templates:
-    """Learned tables: templates, their fields, their frequent rows."""
+    """Learned tables: templates, their fields, their frequent rows, the tables on their first pages."""
 
     templates: DataFrame
     fields: DataFrame
     rows: DataFrame
+    tables: DataFrame
 
 
 def page_signatures(boxes: DataFrame) -> DataFrame:
@@ -51,13 +52,13 @@ def _normal(boxes: DataFrame) -> DataFrame:
 
 
 def learn(boxes: DataFrame, min_pages: int = 2, min_share: float = 0.0, keep: float = 0.5, required: float = 0.8, row_share: float = 0.3,
-          store: bool = False) -> Templates:
+          table_pages: int = 3) -> Templates:
     """Templates of all groups of at least ``min_pages`` pages (and ``min_share`` of all pages).
 
-    A field is kept when its box count is at least ``keep`` of the pages, it is required from ``required`` on. ``store``
-    computes the learned tables once, for use in several jobs.
+    A field is kept when its box count is at least ``keep`` of the pages, it is required from ``required`` on. Signatures and
+    fields are computed once. ``tables``: table regions on the first ``table_pages`` pages of the group.
     """
-    signed = cut(page_signatures(boxes)) if store else page_signatures(boxes)
+    signed = cut(page_signatures(boxes))
     groups = checked_broadcast(_groups(signed, min_pages, min_share))
     member = signed.join(groups, TKEY)
     # The signatures of the member pages are narrow; the boxes meet them once.
@@ -67,8 +68,7 @@ def learn(boxes: DataFrame, min_pages: int = 2, min_share: float = 0.0, keep: fl
     found = own.filter("label <> ''").groupBy(*key, "samples").agg(F.count("*").alias("n"), *stats)
     shapes = SQ.text_patterns(own.filter("label <> ''"), key).drop("n")
     share = F.col("n") / F.col("samples")
-    fields = found.filter(share >= keep).withColumn("share", share).withColumn("required", share >= required).join(shapes, key)
-    fields = cut(fields) if store else fields
+    fields = cut(found.filter(share >= keep).withColumn("share", share).withColumn("required", share >= required).join(shapes, key))
     names = fields.groupBy(*TKEY, "samples").agg(F.count("*").alias("n_fields"), F.array_join(F.array_sort(F.collect_set("label")), "").alias("_names"),
                                                  F.concat_ws(">", F.transform(F.array_sort(F.collect_list(F.struct(F.round("yn_mean", 9), F.round("xn_mean", 9), "label"))), lambda s: s["label"])).alias("field_order"))
     ident = F.substring(F.md5(F.concat_ws("_", "doc_type", "signature", F.col("n_fields").cast("string"), "_names")), 1, 12)
@@ -77,7 +77,19 @@ def learn(boxes: DataFrame, min_pages: int = 2, min_share: float = 0.0, keep: fl
     rows = sequences.filter(F.col("n") >= F.col("samples") * row_share)
     ids = templates.select(*TKEY, "template_id")
     rows = rows.join(ids, TKEY).drop("samples")
-    return Templates(templates, fields.join(ids, TKEY), cut(rows) if store else rows)
+    first = topk(member.join(ids, TKEY).select("template_id", *PAGE), ["template_id"], PAGE, table_pages).drop("rank")
+    tables = page_tables(boxes).join(first, PAGE).groupBy("template_id").agg(F.sum("tables").alias("tables"))
+    return Templates(templates, fields.join(ids, TKEY), rows, tables)
+
+
+def stored(known: Templates) -> Templates:
+    """The learned tables computed once, for use in several jobs."""
+    return Templates(cut(known.templates), cut(known.fields), cut(known.rows), cut(known.tables))
+
+
+def page_tables(boxes: DataFrame) -> DataFrame:
+    """Number of table regions of the pages that have any."""
+    return table_regions(boxes).groupBy(*PAGE).agg(F.count("*").alias("tables"))
 
 
 def template_areas(boxes: DataFrame, samples: int = 3) -> DataFrame:
@@ -106,47 +118,140 @@ def template_relations(boxes: DataFrame) -> DataFrame:
     return kinds.select(*TKEY, F.inline(pairs)).distinct()
 
 
-def _candidates(pages: DataFrame, templates: DataFrame) -> DataFrame:
-    """Templates of the document type of a page; all templates when the type has none (or is unknown)."""
-    ids = templates.select("template_id", F.col("doc_type").alias("_type"))
-    kinds = pages.select("doc_type").distinct()
-    own = kinds.join(ids, F.col("doc_type") == F.col("_type"))
-    lost = kinds.join(ids.select(F.col("_type").alias("doc_type")).distinct().filter("doc_type <> 'unknown'"), "doc_type", "left_anti")
-    every = lost.join(ids, F.lit(True))  # document types without a template x templates: both bounded
-    return own.select("doc_type", "template_id").unionByName(every.select("doc_type", "template_id")).distinct()
+# Shares of the field, position, structure and pattern scores.
+WEIGHTS = (0.4, 0.3, 0.2, 0.1)
+CELL = (248, 100)  # pixels of a cell; pages with the same labels in the same cells get one bound
+EPS = 1e-6
 
 
-def match(boxes: DataFrame, known: Templates, threshold: float = 0.7) -> DataFrame:
-    """Best template of each page with its four scores: 0.4 field + 0.3 position + 0.2 structure + 0.1 pattern.
+def page_groups(boxes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages of a like layout put together: (pages with their group, groups, the cells of the groups).
 
-    Boxes meet the candidate templates' fields of their own label only; sums per (page, template) are combined map-side.
+    Pages of a group agree in document type, number of tables, and in how many boxes of each label each cell has. A group's
+    cell keeps the range of positions in it, so every box of every page of the group lies in it. Cells of a page are bounded
+    by its size, not by its boxes.
+    """
+    cells = boxes.filter("label <> ''").groupBy(*PAGE, "label", F.floor(F.col("x") / CELL[0]).alias("cx"), F.floor(F.col("y") / CELL[1]).alias("cy")).agg(
+        F.min("doc_type").alias("doc_type"), F.count("*").alias("n"), *[f(c).alias(f"{c}_{e}") for c in ("x", "y") for f, e in ((F.min, "low"), (F.max, "high"))])
+    cells = cut(cells)
+    shape = F.array_sort(F.collect_list(F.struct("label", "cx", "cy", "n")))
+    pages = cells.groupBy(*PAGE).agg(F.min("doc_type").alias("doc_type"), shape.alias("shape"), F.array_sort(F.collect_set("label")).alias("labels"))
+    pages = pages.join(page_tables(boxes), PAGE, "left").withColumn("tables", F.coalesce("tables", F.lit(0)))
+    pages = cut(pages.select(*PAGE, "doc_type", "labels", "tables", F.sha2(F.to_json(F.struct("doc_type", "tables", "shape")), 256).alias("grp")))
+    groups = cut(pages.groupBy("grp").agg(*[F.first(c).alias(c) for c in ("doc_type", "labels", "tables")]))
+    ranges = [f(f"{c}_{e}").alias(f"{c}_{e}") for c in ("x", "y") for f, e in ((F.min, "low"), (F.max, "high"))]
+    places = cells.join(pages.select(*PAGE, "grp"), PAGE).groupBy("grp", "label", "cx", "cy").agg(F.first("n").alias("n"), *ranges)
+    return pages.select(*PAGE, "grp", "tables"), groups, places
+
+
+def field_scores(groups: DataFrame, known: Templates, least: float) -> DataFrame:
+    """``labels, scope, template_id, field_score`` of label sets and templates whose field score is at least ``least``.
+
+    Templates are found by an inverted index of their labels, the rarest first: what is left behind the indexed ones could
+    not reach ``least`` without them. A label set looks among the templates of its document type; among all of them if the
+    type is unknown or has none.
     """
-    fields = checked_broadcast(known.fields.select("template_id", "label", "xn_mean", "yn_mean", "xn_std", "yn_std", "length_mean", "required", "patterns"))
-    pages = boxes.groupBy(*PAGE).agg(F.min("doc_type").alias("doc_type"), F.array_sort(F.collect_set(F.when(F.col("label") != "", F.col("label")))).alias("labels"))
-    cand = checked_broadcast(_candidates(pages, known.templates))
-    # Field score: page label sets are few, so sets meet templates, not pages.
-    sets = pages.select("doc_type", "labels").distinct().join(cand, "doc_type")
-    lists = checked_broadcast(known.fields.groupBy("template_id").agg(F.collect_set("label").alias("all"), F.collect_set(F.when(F.col("required"), F.col("label"))).alias("req")))
-    extra = F.greatest(F.lit(0.0), 1 - F.size(F.array_except("labels", "all")) * 0.05)
-    part = lambda c: F.size(F.array_intersect(F.col(c), F.col("labels"))) / F.greatest(F.size(c), F.lit(1))
-    field = sets.join(lists, "template_id").select("doc_type", "labels", "template_id", ((part("req") * 0.6 + part("all") * 0.4) * extra).alias("field_score"))
-    # Position and pattern scores per box and candidate.
+    often = known.fields.groupBy("label").agg(F.count("*").alias("_often"))
+    kinds = known.templates.select("template_id", "doc_type")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_often", "label", "required"))), lambda v: F.struct(v.label.alias("label"), v.required.alias("required")))
+    lists = cut(known.fields.join(often, "label").groupBy("template_id").agg(ordered.alias("fields")).join(kinds, "template_id"))
+    size, need = F.size("fields"), F.greatest(F.size(F.filter("fields", lambda v: v.required)), F.lit(1))
+    rest = lambda k: F.slice("fields", k + 1, F.greatest(size, F.lit(1)))
+    bound = lambda k: F.size(F.filter(rest(k), lambda v: v.required)) / need * 0.6 + F.size(rest(k)) / size * 0.4
+    enough = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), size), lambda k: bound(k) < least - EPS)), size)
+    index = lists.select("template_id", "doc_type", F.explode(F.slice("fields", F.lit(1), enough)["label"]).alias("label"))
+    index = index.select("template_id", "label", F.explode(F.array("doc_type", F.lit("*"))).alias("scope"))
+    own = known.templates.filter("doc_type <> 'unknown'").select(F.col("doc_type").alias("_type")).distinct()
+    scoped = groups.join(own, F.col("doc_type") == F.col("_type"), "left").select("labels", F.coalesce("_type", F.lit("*")).alias("scope")).distinct()
+    met = scoped.select("labels", "scope", F.explode("labels").alias("label")).join(index, ["scope", "label"]).select("labels", "scope", "template_id").distinct()
+    shared = F.filter("fields", lambda v: F.array_contains("labels", v.label))
+    extra = F.greatest(F.lit(0.0), 1 - (F.size("labels") - F.size(shared)) * 0.05)
+    score = (F.size(F.filter(shared, lambda v: v.required)) / need * 0.6 + F.size(shared) / size * 0.4) * extra
+    return met.join(lists, "template_id").select("labels", "scope", "template_id", score.alias("field_score")).filter(F.col("field_score") >= least - EPS)
+
+
+def structure_score(tables: Column, wanted_tables: Column, hits: Column, wanted: Column, has_rows: Column) -> Column:
+    """Mean of the table part and the row part, as far as template and page have them; 0.5 if there is neither."""
+    table = F.when((wanted_tables > 0) & (tables > 0), F.least(tables, wanted_tables) / wanted_tables)
+    row = F.when((wanted > 0) & has_rows, hits / wanted)
+    return F.coalesce((table + row) / 2, table, row, F.lit(0.5))
+
+
+def bounds(groups: DataFrame, places: DataFrame, lines: DataFrame, known: Templates, least: float) -> DataFrame:
+    """``grp, template_id, field_score, bound``: no page of the group scores higher than ``bound`` with the template.
+
+    ``lines``: row sequences that occur on any page of the group, and whether every page has some (``grp, sequence, all_have``).
+    """
+    own = known.templates.filter("doc_type <> 'unknown'").select(F.col("doc_type").alias("_type")).distinct()
+    scoped = groups.join(own, F.col("doc_type") == F.col("_type"), "left").withColumn("scope", F.coalesce("_type", F.lit("*"))).drop("_type")
+    pairs = cut(scoped.join(field_scores(groups, known, least), ["labels", "scope"]).select("grp", "tables", "template_id", "field_score"))
+    gap = lambda c, size: F.greatest(F.lit(0.0), F.col(f"{c}_low") / size - F.col(f"{c}n_mean"), F.col(f"{c}n_mean") - F.col(f"{c}_high") / size)
+    near = lambda c, size: F.greatest(F.lit(0.0), 1 - gap(c, size) / F.greatest(F.col(f"{c}n_std") * 3, F.lit(0.1)))
+    fields = checked_broadcast(known.fields.select("template_id", "label", "xn_mean", "yn_mean", "xn_std", "yn_std"))
+    placed = pairs.select("grp", "template_id").join(places, "grp").join(fields, ["template_id", "label"])
+    position = placed.groupBy("grp", "template_id").agg((F.sum(F.col("n") * (near("x", PAGE_WIDTH) + near("y", PAGE_HEIGHT)) / 2) / F.sum("n")).alias("position"))
+    hits = lines.select("grp", "sequence").join(known.rows.select("template_id", "sequence"), "sequence").groupBy("grp", "template_id").agg(F.count("*").alias("hits"))
+    have = lines.groupBy("grp").agg(F.min("all_have").alias("all_have"))
+    full = pairs.join(position, ["grp", "template_id"], "left").join(hits, ["grp", "template_id"], "left").join(_wanted(known), "template_id", "left").join(have, "grp", "left")
+    at = lambda rows: structure_score(F.col("tables"), F.col("wanted_tables"), F.coalesce("hits", F.lit(0)), F.col("wanted"), rows)
+    structure = F.greatest(at(F.col("all_have").isNotNull()), F.when(~F.coalesce("all_have", F.lit(False)), at(F.lit(False))))
+    f, p, s, t = WEIGHTS
+    bound = F.col("field_score") * f + F.coalesce("position", F.lit(0.0)) * p + structure * s + t
+    return full.select("grp", "template_id", "field_score", bound.alias("bound"))
+
+
+def _wanted(known: Templates) -> DataFrame:
+    rows = known.rows.groupBy("template_id").agg(F.count("*").alias("wanted"))
+    return checked_broadcast(known.templates.select("template_id").join(rows, "template_id", "left").join(known.tables.withColumnRenamed("tables", "wanted_tables"), "template_id", "left"))
+
+
+def exact_scores(boxes: DataFrame, pairs: DataFrame, sequences: DataFrame, known: Templates) -> DataFrame:
+    """The four scores and their weighted sum of given pairs (page key, tables, template_id, field_score)."""
+    fields = checked_broadcast(known.fields.select("template_id", "label", "xn_mean", "yn_mean", "xn_std", "yn_std", "length_mean", "patterns"))
     near = lambda axis: F.greatest(F.lit(0.0), 1 - F.abs(F.col(f"{axis}n") - F.col(f"{axis}n_mean")) / F.greatest(F.col(f"{axis}n_std") * 3, F.lit(0.1)))
     text = F.col("text")
     has = lambda name: F.array_contains(F.split("patterns", ","), name)
     fits = (F.abs(F.length(text) - F.round("length_mean")) < 5) | (has("numeric") & text.rlike("^[0-9]+$")) | (has("alphanumeric") & text.rlike("^[A-Za-z0-9]+$"))
-    met = _normal(boxes).join(cand, "doc_type").join(fields, ["template_id", "label"])
+    met = _normal(boxes.select(*PAGE, "label", "text", "x", "y", "width", "height")).join(pairs.select(*PAGE, "template_id"), PAGE).join(fields, ["template_id", "label"])
     sums = met.groupBy(*PAGE, "template_id").agg(F.avg((near("x") + near("y")) / 2).alias("position_score"), F.avg(F.when(text != "", F.when(fits, 1.0).otherwise(0.0))).alias("pattern_score"))
-    # Structure: share of the template's frequent rows that the page has.
-    mine = SQ.bin_sequences(boxes.select(*PAGE, "entity_seq", "label", "x", "y", "height")).select(*PAGE, "sequence").distinct()
-    wanted = known.rows.groupBy("template_id").agg(F.count("*").alias("wanted"))
-    hits = mine.join(checked_broadcast(known.rows.select("template_id", "sequence")), "sequence").groupBy(*PAGE, "template_id").agg(F.count("*").alias("hits"))
-    score = F.col("field_score") * 0.4 + F.coalesce("position_score", F.lit(0.0)) * 0.3 + F.col("structure_score") * 0.2 + F.coalesce("pattern_score", F.lit(0.5)) * 0.1
-    structure = F.when(F.col("wanted").isNull(), 0.5).otherwise(F.coalesce("hits", F.lit(0)) / F.col("wanted"))
-    every = pages.join(field, ["doc_type", "labels"]).select(*PAGE, "template_id", "field_score")
-    full = every.join(sums, [*PAGE, "template_id"], "left").join(hits, [*PAGE, "template_id"], "left").join(checked_broadcast(wanted), "template_id", "left").withColumn(
-        "structure_score", structure).withColumn("score", F.round(score, 9))
-    best = full.groupBy(*PAGE).agg(F.max_by(F.struct("template_id", "score", "field_score", "position_score", "structure_score", "pattern_score"), F.struct("score", "template_id")).alias("b"))
+    # Rows of the page that the template has; a page without any row is told apart from one without a hit.
+    listed = pairs.select(*PAGE, "template_id").join(sequences, PAGE).join(
+        checked_broadcast(known.rows.select("template_id", "sequence", F.lit(1).alias("_hit"))), ["template_id", "sequence"], "left")
+    hits = listed.groupBy(*PAGE, "template_id").agg(F.count("_hit").alias("hits"))
+    full = pairs.join(sums, [*PAGE, "template_id"], "left").join(hits, [*PAGE, "template_id"], "left").join(_wanted(known), "template_id", "left")
+    structure = structure_score(F.col("tables"), F.col("wanted_tables"), F.col("hits"), F.col("wanted"), F.col("hits").isNotNull())
+    f, p, s, t = WEIGHTS
+    score = F.col("field_score") * f + F.coalesce("position_score", F.lit(0.0)) * p + F.col("structure_score") * s + F.coalesce("pattern_score", F.lit(0.5)) * t
+    return full.withColumn("structure_score", structure).withColumn("score", F.round(score, 9)).select(
+        *PAGE, "template_id", "score", "field_score", "position_score", "structure_score", "pattern_score")
+
+
+def match(boxes: DataFrame, known: Templates, threshold: float = 0.7) -> DataFrame:
+    """Best template of each page with its four scores: 0.4 field + 0.3 position + 0.2 structure + 0.1 pattern.
+
+    Templates without a label of the page cannot reach more than 0.3, so ``threshold`` must be above that. Groups of like
+    pages get an upper bound per template; each page is scored with the template of the highest bound, and after that only
+    with those whose bound is not below the score it has already.
+    """
+    if threshold <= WEIGHTS[2] + WEIGHTS[3]:
+        raise ValueError("the threshold must be above what a template without a common label can reach")
+    least = (threshold - sum(WEIGHTS[1:])) / WEIGHTS[0]
+    pages, groups, places = page_groups(boxes)
+    sequences = cut(SQ.bin_sequences(boxes.select(*PAGE, "entity_seq", "label", "x", "y", "height")).select(*PAGE, "sequence").distinct())
+    full = sequences.select(*PAGE).distinct().withColumn("_has", F.lit(True))
+    all_have = pages.join(full, PAGE, "left").groupBy("grp").agg(F.bool_and(F.coalesce("_has", F.lit(False))).alias("all_have"))
+    lines = sequences.join(pages.select(*PAGE, "grp"), PAGE).select("grp", "sequence").distinct().join(all_have, "grp")
+    upper = cut(bounds(groups, places, lines, known, least).filter(F.col("bound") >= threshold - EPS))
+    top = upper.groupBy("grp").agg(F.max_by(F.struct("template_id", "field_score"), F.struct("bound", "template_id")).alias("t")).select("grp", "t.*")
+    seeds = cut(exact_scores(boxes, pages.join(top, "grp").drop("grp"), sequences, known))
+    # Pairs are cut by the lowest score of the group first, then by the score of each page.
+    scored = pages.join(seeds.select(*PAGE, F.col("template_id").alias("_own"), F.col("score").alias("_score")), PAGE)
+    floor = scored.groupBy("grp").agg(F.min("_score").alias("_floor"))
+    open_ = upper.join(floor, "grp").filter(F.col("bound") >= F.col("_floor") - EPS).drop("_floor")
+    more = scored.join(open_, "grp").filter((F.col("bound") >= F.col("_score") - EPS) & (F.col("template_id") != F.col("_own")))
+    rest = exact_scores(boxes, cut(more.select(*PAGE, "tables", "template_id", "field_score")), sequences, known)
+    best = seeds.unionByName(rest).groupBy(*PAGE).agg(F.max_by(
+        F.struct("template_id", "score", "field_score", "position_score", "structure_score", "pattern_score"), F.struct("score", "template_id")).alias("b"))
     return best.select(*PAGE, "b.*").filter(F.col("score") >= threshold)
 
 

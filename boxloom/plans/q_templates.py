@@ -15,7 +15,6 @@ from .q_grouping import CHAINX, GAP_SQL
 from .registry import query
 
 KEY = ["doc_id", "entity_seq"]
-SHARE = 0.01  # at most 100 templates
 
 
 def typed(spark, d):
@@ -40,7 +39,6 @@ rt AS (SELECT tn.template_id, sequence, count(*) AS n FROM br JOIN sd USING (doc
 
 
 LEARN2 = learn_sql("count(*) >= 2")
-LEARNS = learn_sql(f"count(*) >= 2 AND count(*) >= (SELECT count(*) FROM sd) * {SHARE}")
 
 
 @query("learn_templates", f"WITH {LEARN2} SELECT template_id, concat(doc_type, '_', signature) AS name, doc_type, signature, samples, n_fields, field_order FROM tn")
@@ -85,26 +83,37 @@ def template_areas(spark, d):
     return TP.template_areas(typed(spark, d))
 
 
-MATCH_SQL = f"""{LEARNS},
+# Every page against every template of its type: label sets meet templates for the field score, boxes for the others.
+MATCH_SQL = f"""{LEARN2},
 pt AS (SELECT DISTINCT doc_id, {DOC_TYPE_SQL} AS doc_type FROM po_entities),
 pl AS (SELECT DISTINCT doc_id, label FROM po_entities), pn AS (SELECT doc_id, count(*) AS labels FROM pl GROUP BY doc_id),
+ls AS (SELECT doc_id, list_sort(list(label)) AS ls FROM pl GROUP BY doc_id), sk AS (SELECT doc_type, ls, row_number() OVER () AS sid FROM (SELECT DISTINCT doc_type, ls FROM ls JOIN pt USING (doc_id))),
+ps AS (SELECT doc_id, sid FROM ls JOIN pt USING (doc_id) JOIN sk USING (doc_type, ls)), sl AS (SELECT sid, unnest(ls) AS label, len(ls) AS labels FROM sk),
 cd AS (SELECT pt.doc_id, tn.template_id FROM pt JOIN tn USING (doc_type)),
 tc AS (SELECT template_id, count(*) AS nall, count(*) FILTER (required) AS nreq FROM ff GROUP BY template_id),
-fs AS (SELECT c.doc_id, c.template_id, count(f.label) AS hit, count(f.label) FILTER (f.required) AS rhit FROM cd c JOIN pl USING (doc_id) LEFT JOIN ff f ON f.template_id = c.template_id AND f.label = pl.label GROUP BY ALL),
-fsc AS (SELECT fs.doc_id, fs.template_id, (rhit / greatest(nreq, 1) * 0.6E0 + hit / greatest(nall, 1) * 0.4E0) * greatest(0.0E0, 1 - (labels - hit) * 0.05E0) AS field_score FROM fs JOIN tc USING (template_id) JOIN pn USING (doc_id)),
+fs AS (SELECT sid, f.template_id, any_value(labels) AS labels, count(*) AS hit, count(*) FILTER (f.required) AS rhit FROM sl JOIN sk USING (sid) JOIN ff f ON f.label = sl.label AND f.doc_type = sk.doc_type GROUP BY ALL),
+fsc AS (SELECT ps.doc_id, fs.template_id, (rhit / greatest(nreq, 1) * 0.6E0 + hit / greatest(nall, 1) * 0.4E0) * greatest(0.0E0, 1 - (labels - hit) * 0.05E0) AS field_score FROM fs JOIN tc USING (template_id) JOIN ps USING (sid)),
 bx AS (SELECT e.doc_id, c.template_id, (greatest(0.0E0, 1 - abs(x / 2480 - xn_mean) / greatest(xn_std * 3, 0.1E0)) + greatest(0.0E0, 1 - abs(y / 3508 - yn_mean) / greatest(yn_std * 3, 0.1E0))) / 2 AS pos,
   CASE WHEN abs(length(text) - round(length_mean)) < 5 OR (is_num AND regexp_matches(text, '^[0-9]+$')) OR (is_aln AND regexp_matches(text, '^[A-Za-z0-9]+$')) THEN 1.0E0 ELSE 0.0E0 END AS pat
  FROM po_entities e JOIN cd c USING (doc_id) JOIN ff f ON f.template_id = c.template_id AND f.label = e.label),
 bs AS (SELECT doc_id, template_id, avg(pos) AS position_score, avg(pat) AS pattern_score FROM bx GROUP BY ALL),
-rw AS (SELECT template_id, count(*) AS wanted FROM rt GROUP BY template_id),
-rh AS (SELECT doc_id, template_id, count(*) AS hits FROM (SELECT DISTINCT doc_id, sequence FROM br) JOIN rt USING (sequence) GROUP BY ALL),
-al AS (SELECT f.doc_id, f.template_id, field_score, position_score, CASE WHEN wanted IS NULL THEN 0.5E0 ELSE coalesce(hits, 0) / wanted END AS structure_score, pattern_score FROM fsc f LEFT JOIN bs USING (doc_id, template_id) LEFT JOIN rw USING (template_id) LEFT JOIN rh USING (doc_id, template_id)),
+rw AS (SELECT template_id, count(*) AS wanted FROM rt GROUP BY template_id), pr AS (SELECT DISTINCT doc_id, sequence FROM br), hr AS (SELECT DISTINCT doc_id FROM pr),
+rh AS (SELECT doc_id, template_id, count(*) AS hits FROM pr JOIN rt USING (sequence) GROUP BY ALL),
+tb AS (SELECT doc_id, CAST(floor((y + height / 2) / 50) AS BIGINT) AS bin, count(*) AS n FROM po_entities GROUP BY ALL),
+tj AS (SELECT *, CASE WHEN bin = lag(bin) OVER o + 1 AND abs(n - lag(n) OVER o) <= 1 THEN 0 ELSE 1 END AS brk FROM tb WINDOW o AS (PARTITION BY doc_id ORDER BY bin)),
+tu AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS run FROM tj), tm AS (SELECT *, max(run) OVER (PARTITION BY doc_id) AS last_run FROM tu),
+pg AS (SELECT doc_id, count(*) AS tables FROM (SELECT doc_id, run FROM tm WHERE run < last_run GROUP BY doc_id, run HAVING count(*) >= 3) GROUP BY doc_id),
+t3 AS (SELECT template_id, sum(tables) AS wanted_tables FROM (SELECT template_id, doc_id, row_number() OVER (PARTITION BY template_id ORDER BY doc_id) AS nth FROM sd JOIN tn USING (doc_type, signature)) JOIN pg USING (doc_id) WHERE nth <= 3 GROUP BY template_id),
+st AS (SELECT f.doc_id, f.template_id, field_score, position_score, pattern_score, CASE WHEN wanted_tables > 0 AND tables > 0 THEN least(tables, wanted_tables) / wanted_tables END AS tp,
+  CASE WHEN wanted > 0 AND hr.doc_id IS NOT NULL THEN coalesce(hits, 0) / wanted END AS rp FROM fsc f LEFT JOIN bs USING (doc_id, template_id) LEFT JOIN rw USING (template_id) LEFT JOIN rh USING (doc_id, template_id)
+  LEFT JOIN hr ON hr.doc_id = f.doc_id LEFT JOIN pg ON pg.doc_id = f.doc_id LEFT JOIN t3 ON t3.template_id = f.template_id),
+al AS (SELECT *, coalesce((tp + rp) / 2, tp, rp, 0.5E0) AS structure_score FROM st),
 sc AS (SELECT *, round(field_score * 0.4E0 + coalesce(position_score, 0) * 0.3E0 + structure_score * 0.2E0 + coalesce(pattern_score, 0.5E0) * 0.1E0, 9) AS score FROM al),
 mt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template_id DESC) AS rn FROM sc) WHERE rn = 1 AND score >= 0.7E0)"""
 
 
 def known(spark, d):
-    return TP.learn(typed(spark, d), min_share=SHARE, store=True)
+    return TP.stored(TP.learn(typed(spark, d)))
 
 
 @query("match_template", f"WITH {MATCH_SQL} SELECT doc_id, template_id, score, round(field_score, 7) AS field_score, round(structure_score, 7) AS structure_score FROM mt")
@@ -136,13 +145,14 @@ def template_missing_required(spark, d):
 
 
 @query("update_template", f"""WITH {MATCH_SQL},
-nb AS (SELECT m.template_id, e.label, e.doc_id, e.entity_seq, x / 2480 AS xn, y / 3508 AS yn FROM po_entities e JOIN mt m USING (doc_id)),
+nb AS (SELECT m.template_id, e.label, e.doc_id, e.entity_seq, x / 2480 AS xn, y / 3508 AS yn, width / 2480 AS wn, height / 3508 AS hn FROM po_entities e JOIN mt m USING (doc_id)),
 ni AS (SELECT *, row_number() OVER (PARTITION BY template_id, label ORDER BY doc_id, entity_seq) AS i, count(*) OVER (PARTITION BY template_id, label) AS m FROM nb),
-ns AS (SELECT template_id, label, any_value(m) AS m, sum(pow(0.9E0, m - i) * 0.1E0 * xn) AS xa, sum(pow(0.9E0, m - i) * 0.1E0 * yn) AS ya FROM ni GROUP BY ALL)
-SELECT f.template_id, f.label, f.n + coalesce(m, 0) AS n, round(pow(0.9E0, coalesce(m, 0)) * xn_mean + coalesce(xa, 0), 8) AS xn_mean, round(pow(0.9E0, coalesce(m, 0)) * yn_mean + coalesce(ya, 0), 8) AS yn_mean FROM ff f LEFT JOIN ns USING (template_id, label)""")
+ns AS (SELECT template_id, label, any_value(m) AS m, sum(pow(0.9E0, m - i) * 0.1E0 * xn) AS xa, sum(pow(0.9E0, m - i) * 0.1E0 * yn) AS ya, sum(pow(0.9E0, m - i) * 0.1E0 * wn) AS wa, sum(pow(0.9E0, m - i) * 0.1E0 * hn) AS ha FROM ni GROUP BY ALL)
+SELECT f.template_id, f.label, f.n + coalesce(m, 0) AS n, round(pow(0.9E0, coalesce(m, 0)) * xn_mean + coalesce(xa, 0), 8) AS xn_mean, round(pow(0.9E0, coalesce(m, 0)) * yn_mean + coalesce(ya, 0), 8) AS yn_mean,
+ round(pow(0.9E0, coalesce(m, 0)) * widthn_mean + coalesce(wa, 0), 11) AS widthn_mean, round(pow(0.9E0, coalesce(m, 0)) * heightn_mean + coalesce(ha, 0), 11) AS heightn_mean FROM ff f LEFT JOIN ns USING (template_id, label)""")
 def update_template(spark, d):
     e, k = typed(spark, d), known(spark, d)
-    return TP.update(k, e, TP.match(e, k)).select("template_id", "label", "n", F.round("xn_mean", 8).alias("xn_mean"), F.round("yn_mean", 8).alias("yn_mean"))
+    return TP.update(k, e, TP.match(e, k)).select("template_id", "label", "n", *[F.round(f"{c}_mean", d).alias(f"{c}_mean") for c, d in (("xn", 8), ("yn", 8), ("widthn", 11), ("heightn", 11))])
 
 
 @query("template_statistics", f"""WITH {LEARN2} SELECT 'templates_per_type' AS section, doc_type AS name, count(*) AS n FROM tn GROUP BY doc_type UNION ALL SELECT 'samples_per_type', doc_type, CAST(sum(samples) AS BIGINT) FROM tn GROUP BY doc_type

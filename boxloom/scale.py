@@ -65,10 +65,11 @@ def materialized(spark: SparkSession, name: str, source: str, build: Callable[[]
     return spark.read.parquet(path)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """A learned table, computed once; broadcast only when it is counted to be small, else left to a shuffled join."""
+def checked_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """A learned table, computed once; broadcast only when rows and bytes are counted to be few, else left to a shuffled join."""
     small = cut(df)
-    return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
+    size = small.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(small) if size[0] <= max_rows and size[1] <= max_bytes else small
 
 
 def beside(df: DataFrame, row: DataFrame) -> DataFrame:
