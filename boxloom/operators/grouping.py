@@ -1,20 +1,21 @@
 """Rows, columns, tables, regions and line items on a page.
 
-Rows and columns depend only on the distinct positions of a page, as many as the page is long in pixels at most. Every
-grouping therefore collects the distinct positions (deduplicated map-side), finds the group starts of the page as one
-array, and joins that array back; the boxes themselves are never collected. An endless page makes the array endless.
+Rows and columns depend only on the distinct positions of a page. They are collected per stretch of the page (deduplicated
+map-side), so an endless page is many short arrays; a page of usual length is one stretch. What one stretch hands on to the
+next is the open group's first position, and only positions near the border can matter: a stretch is evaluated for each of
+them, and the resulting maps are composed along the page by doubling. The boxes themselves are never collected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..functions.bbox import Box
-from ..scale import PAGE, running
+from ..scale import PAGE, cut, ranked, running
 from ..schema import PAGE_HEIGHT, PAGE_WIDTH
 
 STARTS = "array<struct<a:bigint,b:bigint,p:bigint>>"
@@ -24,6 +25,9 @@ def _axis(axis: str) -> tuple[str, str]:
     return ("y", "height") if axis == "y" else ("x", "width")
 
 
+STRETCH = 8192  # doubled pixels; a page of usual length lies in one stretch
+
+
 def band_groups(
     boxes: DataFrame,
     axis: str = "y",
@@ -34,6 +38,7 @@ def band_groups(
     strict: bool = True,
     keys: Sequence[str] = PAGE,
     name: str = "row_no",
+    stretch: int = STRETCH,
 ) -> DataFrame:
     """Add the 1-based number of the row (``axis='y'``) or column (``axis='x'``) of each box.
 
@@ -45,31 +50,83 @@ def band_groups(
     top, center = F.col(pos) * 2, F.col(pos) * 2 + F.col(size)
     measured = center if by == "center" else top
     first = center if sort == "center" else top
-    limit = threshold * 2  # doubled pixels keep half-pixel centers integer
     spot = F.struct(
         first.cast("long").alias("a"),
         (F.col(size) if by == "center" and sort != "center" else F.lit(0)).cast("long").alias("b"),
         measured.cast("long").alias("p"),
     )
+    return _numbered(boxes, spot, threshold * 2, rule, strict, keys, name, stretch)  # doubled pixels keep centers integer
+
+
+def _numbered(rows: DataFrame, spot: Column, limit: float, rule: str, strict: bool, keys: Sequence[str], name: str, stretch: int) -> DataFrame:
+    """Groups of rows by their place ``spot`` (a, b, p): sorted by all three, compared by p."""
 
     def apart(v: Column, base: Column) -> Column:
         gap = F.abs(v["p"] - base["p"])
-        return gap >= limit if strict else gap > limit
-
-    spots = F.sort_array(F.collect_set(spot))
-    page = boxes.groupBy(*keys).agg(spots.alias("_spots"))
+        return F.coalesce(gap >= limit if strict else gap > limit, F.lit(True))  # nothing open: a group starts
+
+    keys = list(keys)
+    home = [*keys, "_st"]
+    marked = rows.withColumn("_spot", spot).withColumn("_st", F.floor(F.col("_spot.a") / stretch))
+    spots = marked.groupBy(*home).agg(F.sort_array(F.collect_set("_spot")).alias("_spots"))
+    ends = marked.agg(F.min("_st").alias("low"), F.max("_st").alias("high")).first()
+    several = ends["low"] != ends["high"]
+    w = W.partitionBy(*keys).orderBy("_st")  # stretches of a page, some numbers each
+    if several:
+        spots = cut(spots)
+        spots = spots.join(_chain_entries(spots, keys) if rule == "chain" else _anchor_entries(spots, keys, apart, limit, stretch), home, "left")
+    else:
+        spots = spots.withColumn("_in", F.lit(None).cast("struct<a:bigint,b:bigint,p:bigint>"))
     if rule == "chain":
-        starts = F.filter("_spots", lambda v, i: (i == 0) | apart(v, F.get("_spots", F.greatest(i - 1, F.lit(0)))))
+        starts = F.filter("_spots", lambda v, i: apart(v, F.when(i == 0, F.col("_in")).otherwise(F.get("_spots", F.greatest(i - 1, F.lit(0))))))
     else:
         starts = F.aggregate(
             "_spots", F.array().cast(STARTS),
-            lambda acc, v: F.when((F.size(acc) == 0) | apart(v, F.try_element_at(acc, F.lit(-1))), F.concat(acc, F.array(v))).otherwise(acc),
-        )
-    page = page.select(*keys, starts.alias("_starts"))
+            lambda acc, v: F.when(apart(v, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.col("_in"))), F.concat(acc, F.array(v))).otherwise(acc))
+    found = spots.select(*home, starts.alias("_starts"))
     number = F.size(F.filter("_starts", lambda s: s <= F.col("_spot")))
-    return (
-        boxes.withColumn("_spot", spot).join(page, list(keys)).withColumn(name, number.cast("long")).drop("_spot", "_starts")
-    )
+    if several:
+        found = cut(found)
+        found = found.join(found.select(*home, F.size("_starts").alias("_n")).select(
+            *home, F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before")), home)
+        number = number + F.col("_before")
+    return marked.join(found, home).withColumn(name, number.cast("long")).drop("_spot", "_st", "_starts", "_before")
+
+
+def _chain_entries(spots: DataFrame, keys: list[str]) -> DataFrame:
+    """The last place before each stretch."""
+    w = W.partitionBy(*keys).orderBy("_st")
+    return spots.select(*keys, "_st", F.element_at("_spots", -1).alias("_last")).select(*keys, "_st", F.lag("_last").over(w).alias("_in"))
+
+
+def _anchor_entries(spots: DataFrame, keys: list[str], apart: Callable[[Column, Column], Column], limit: float, stretch: int) -> DataFrame:
+    """The first place of the group that is open when a stretch begins, if it can still hold something of the stretch.
+
+    Each stretch is a map from what may be open before it to what is open behind it; the maps of a page are composed in
+    rounds of doubled reach.
+    """
+    w = W.partitionBy(*keys).orderBy("_st")
+    home = [*keys, "_st"]
+    order = cut(spots.select(*home).select(*home, F.row_number().over(w).alias("_k"), F.lead("_st").over(w).alias("_next")))
+    reach = lambda v: F.floor((v["p"] + limit) / stretch)  # noqa: E731  the last stretch it may hold something of
+    late = spots.select(*keys, F.col("_st").alias("_own"), F.explode(F.filter("_spots", lambda v: reach(v) > F.col("_st"))).alias("_c"))
+    late = late.select(*keys, "_c", F.explode(F.sequence(F.col("_own") + 1, reach(F.col("_c")))).alias("_st"))
+    placed = spots.join(order, home)
+    tried = placed.join(late, home).unionByName(placed.withColumn("_c", F.lit(None).cast("struct<a:bigint,b:bigint,p:bigint>")))
+    end = F.aggregate("_spots", F.col("_c"), lambda base, v: F.when(apart(v, base), v).otherwise(base))
+    held = F.when(F.col("_end.p") + limit >= F.col("_next") * stretch, F.col("_end"))
+    label = lambda c: F.when(c.isNull(), "-").otherwise(F.concat_ws(",", c["a"], c["b"], c["p"]))
+    maps = cut(tried.withColumn("_end", end).withColumn("_out", held).select(*keys, "_k", label(F.col("_c")).alias("_from"), label(F.col("_out")).alias("_to")))
+    last, width = maps.agg(F.max("_k")).first()[0] or 0, 1
+    while width < last:
+        earlier = maps.select(*keys, (F.col("_k") + width).alias("_k"), F.col("_from").alias("_first"), F.col("_to").alias("_from"))
+        longer = earlier.join(maps, [*keys, "_k", "_from"]).select(*keys, "_k", F.col("_first").alias("_from"), "_to")
+        maps = cut(maps.filter(F.col("_k") <= width).unionByName(longer))
+        width *= 2
+    part = lambda i: F.split("_to", ",")[i].cast("long")
+    given = maps.filter((F.col("_from") == "-") & (F.col("_to") != "-")).select(
+        *keys, (F.col("_k") + 1).alias("_k"), F.struct(part(0).alias("a"), part(1).alias("b"), part(2).alias("p")).alias("_in"))
+    return order.join(given, [*keys, "_k"]).select(*home, "_in")
 
 
 def chain_totals(boxes: DataFrame, pos: Column, threshold: float, measure: Column | None = None, keys: Sequence[str] = PAGE) -> DataFrame:
@@ -85,25 +142,28 @@ def chain_totals(boxes: DataFrame, pos: Column, threshold: float, measure: Colum
     return numbered.groupBy(*keys, "g").agg(F.sum("_n").alias("n"), F.sum("_s").alias("s"))
 
 
-def first_match_rows(boxes: DataFrame, threshold: float = 30, keys: Sequence[str] = PAGE, name: str = "row_no") -> DataFrame:
+def first_match_rows(boxes: DataFrame, threshold: float = 30, keys: Sequence[str] = PAGE, name: str = "row_no", stretch: int = STRETCH) -> DataFrame:
     """A box joins the oldest row whose center is within ``threshold``; rows open in order of ``entity_seq``.
 
-    Only the first box of each distinct center can open a row, so the fold runs over distinct centers.
+    Only the first box of each distinct center can open a row, and only centers within ``threshold`` of each other have to do
+    with each other. So the centers are cut where a gap is wider, and each run is folded alone; rows are numbered over the
+    page by the box that opened them, and every center looks for the oldest row in its own and the two cells beside it.
     """
+    keys, limit = list(keys), threshold * 2
     center = (F.col("y") * 2 + F.col("height")).cast("long")
-    spots = boxes.groupBy(*keys, center.alias("_p")).agg(F.min("entity_seq").alias("_s"))
-    page = spots.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_s", "_p"))).alias("_spots"))
-    rows = F.aggregate(
-        "_spots", F.array().cast("array<bigint>"),
-        lambda acc, v: F.when(F.exists(acc, lambda c: F.abs(c - v["_p"]) < threshold * 2), acc).otherwise(F.concat(acc, F.array(v["_p"]))),
-    )
-    page = page.select(*keys, rows.alias("_rows"))
-    hits = F.filter(F.transform("_rows", lambda c, i: F.when(F.abs(c - F.col("_me")) < threshold * 2, i + 1)), lambda i: i.isNotNull())
-    return (
-        boxes.withColumn("_me", center).join(page, list(keys))
-        .withColumn(name, F.element_at(hits, 1).cast("long"))
-        .withColumn("row_center", F.element_at("_rows", F.col(name).cast("int")) / 2).drop("_me", "_rows")
-    )
+    spots = cut(boxes.groupBy(*keys, center.alias("_mid")).agg(F.min("entity_seq").alias("_s")))
+    place = F.struct(F.col("_mid").alias("a"), F.lit(0).cast("long").alias("b"), F.col("_mid").alias("p"))
+    runs = _numbered(spots, place, limit, "chain", True, keys, "_run", stretch)
+    opened = F.aggregate(
+        F.sort_array(F.collect_list(F.struct("_s", "_mid"))), F.array().cast("array<struct<_s:bigint,_mid:bigint>>"),
+        lambda acc, v: F.when(F.exists(acc, lambda c: F.abs(c["_mid"] - v["_mid"]) < limit), acc).otherwise(F.concat(acc, F.array(v))))
+    rows = runs.groupBy(*keys, "_run").agg(opened.alias("_open")).select(*keys, F.explode("_open").alias("_o")).select(*keys, "_o.*")
+    rows = ranked(rows, keys, ["_s"], [F.expr("_s div 65536")], name).select(*keys, name, F.col("_mid").alias("_row"), F.floor(F.col("_mid") / limit).alias("_cell"))
+    here = F.floor(F.col("_mid") / limit)
+    near = spots.withColumn("_cell", F.explode(F.array(here - 1, here, here + 1))).join(rows, [*keys, "_cell"]).filter(F.abs(F.col("_mid") - F.col("_row")) < limit)
+    found = near.groupBy(*keys, F.col("_mid").alias("_me")).agg(F.min(F.struct(name, "_row")).alias("_r"))
+    found = found.select(*keys, "_me", F.col(f"_r.{name}").cast("long").alias(name), (F.col("_r._row") / 2).alias("row_center"))
+    return boxes.withColumn("_me", center).join(found, [*keys, "_me"]).drop("_me")
 
 
 def bin_rows(boxes: DataFrame, size: int = 30, name: str = "bin") -> DataFrame:
