@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..functions.bbox import Box
-from ..scale import PAGE, cut, ranked, running
+from ..scale import PAGE, cut, near_pairs, ranked, running
 from ..schema import PAGE_HEIGHT, PAGE_WIDTH
 
 STARTS = "array<struct<a:bigint,b:bigint,p:bigint>>"
@@ -284,38 +284,44 @@ def suggestion_groups(boxes: DataFrame, threshold: float = 30) -> DataFrame:
     return facts.withColumn("nth", F.sum(F.when(counted, 1).otherwise(0)).over(w)).select(*PAGE, "row_no", name.alias("row_id"), "n")
 
 
-PREDICTED = "doc_id bigint, page_number int, y bigint, item string, is_item boolean, group_id string"
-
-
 def prediction_groups(boxes: DataFrame, reach: int = 50) -> DataFrame:
     """Item numbers open ``ITEM_<text>`` groups; any other box joins the oldest group with a member within ``reach`` px.
 
-    Order matters, so a page is walked in order of appearance, over its distinct (height, item text) spots only; boxes of
-    the same spot share the group of the first of them. Pages stream through the tasks, only the open page is held.
+    Boxes come in order of appearance. A group is as old as its first box, so a box takes the smallest age among the earlier
+    boxes in reach, and opens a group of its own if there are none. Of the boxes of one height only the last one before can
+    matter, since ages never rise along a height. Ages spread in rounds over all pages at once, from the item numbers and the
+    boxes that reach nothing: a step to the heights in reach, then a running minimum along each height.
     """
-    is_item = F.col("label") == "Item number"
-    item = F.when(is_item, F.col("text")).otherwise("")
-    marked = boxes.withColumn("item", item).withColumn("is_item", is_item)
-    spots = marked.groupBy(*PAGE, "y", "item", "is_item").agg(F.min("entity_seq").alias("s"))
-
-    def walk(batches):
-        page, heights = None, {}
-        for batch in batches:
-            names = []
-            for doc, number, y, text, opens in zip(batch["doc_id"], batch["page_number"], batch["y"], batch["item"], batch["is_item"]):
-                if (doc, number) != page:
-                    page, heights = (doc, number), {}
-                if opens:
-                    group = f"ITEM_{text}"
-                else:
-                    near = (g for g, ys in heights.items() if any(abs(v - y) < reach for v in ys))
-                    group = next(near, None) or f"GROUP_{len(heights) + 1}"
-                heights.setdefault(group, set()).add(y)
-                names.append(group)
-            yield batch.assign(group_id=names)[["doc_id", "page_number", "y", "item", "is_item", "group_id"]]
-
-    named = spots.repartition(*PAGE).sortWithinPartitions(*PAGE, "s").mapInPandas(walk, PREDICTED)
-    return marked.join(named, [*PAGE, "y", "item", "is_item"]).drop("item", "is_item")
+    item = F.when(F.col("label") == "Item number", F.col("text"))
+    every = boxes.select(*PAGE, "entity_seq", "y", item.alias("item"))
+    first = every.filter("item IS NOT NULL").groupBy(*PAGE, "item").agg(F.min("entity_seq").alias("age"))
+    spot = F.struct("y", "item")
+    rows = cut(every.join(first, [*PAGE, "item"], "left").withColumn("id", F.monotonically_increasing_id()).withColumn("spot", spot))
+    heights = rows.select(*PAGE, "y", "spot", "item").distinct()
+    pairs = near_pairs(heights, heights, PAGE, {"y": reach}, F.col("b_item").isNull() & (F.abs(F.col("a_y") - F.col("b_y")) < reach) & ~F.col("a_spot").eqNullSafe(F.col("b_spot")))
+    pairs = cut(pairs.select(*PAGE, F.col("a_spot").alias("source"), F.col("b_spot").alias("target")))
+    role = lambda name, give: rows.select(*PAGE, F.col("spot").alias(name), "entity_seq", "id", F.lit(give).alias("gives")).join(pairs, [*PAGE, name])
+    met = role("source", True).unionByName(role("target", False))
+    before = W.partitionBy(*PAGE, "source", "target").orderBy("entity_seq").rowsBetween(W.unboundedPreceding, -1)
+    edges = met.withColumn("u", F.last(F.when(F.col("gives"), F.col("id")), ignorenulls=True).over(before)).filter("NOT gives AND u IS NOT NULL")
+    edges = cut(edges.select("u", F.col("id").alias("t")))
+    along = W.partitionBy(*PAGE, "spot").orderBy("entity_seq")
+    alone = rows.withColumn("_first", F.row_number().over(along) == 1).filter("_first AND item IS NULL").join(edges.select(F.col("t").alias("id")), "id", "left_anti")
+    start = alone.select("id", F.col("entity_seq").alias("_own"))
+    ages = cut(rows.join(start, "id", "left").withColumn("age", F.coalesce("age", "_own")).drop("_own"))
+    least = F.when(F.col("item").isNull(), F.min("_new").over(along.rowsBetween(W.unboundedPreceding, 0))).otherwise(F.col("age"))
+    while True:
+        told = edges.join(ages.filter("age IS NOT NULL").select(F.col("id").alias("u"), F.col("age").alias("_told")), "u").groupBy(F.col("t").alias("id")).agg(F.min("_told").alias("_told"))
+        ages = cut(ages.join(told, "id", "left").withColumn("_new", F.least("age", "_told")).withColumn("_least", least).select(
+            *rows.drop("age").columns, F.col("_least").alias("age"), (~F.col("_least").eqNullSafe(F.col("age"))).alias("moved")))
+        if ages.filter("moved").isEmpty():
+            break
+        ages = ages.drop("moved")
+    groups = ages.groupBy(*PAGE, "age").agg(F.max(F.when(F.col("age") == F.col("entity_seq"), F.col("item"))).alias("_opens"))
+    groups = ranked(groups, PAGE, ["age"], [F.expr("age div 65536")], "_nth")
+    name = F.coalesce(F.concat(F.lit("ITEM_"), F.col("_opens")), F.concat(F.lit("GROUP_"), F.col("_nth").cast("string")))
+    found = ages.join(groups, [*PAGE, "age"]).select(*PAGE, "entity_seq", name.alias("group_id"))
+    return boxes.join(found, [*PAGE, "entity_seq"])
 
 
 def line_items(boxes: DataFrame, threshold: float = 10) -> DataFrame:

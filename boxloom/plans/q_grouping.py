@@ -146,7 +146,18 @@ def suggestion_groups(spark, d):
     return G.suggestion_groups(entities(spark, d)).drop("page_number")
 
 
-@query("prediction_groups")
+# Page by page: names of the groups so far, and the heights of their members.
+PRED_SQL = """
+pg_o AS (SELECT doc_id, entity_seq, y, CASE WHEN label = 'Item number' THEN concat('ITEM_', text) END AS item, row_number() OVER (PARTITION BY doc_id ORDER BY entity_seq) AS rn FROM po_entities),
+pg AS (SELECT doc_id, entity_seq, rn, [coalesce(item, 'GROUP_1')] AS names, [{'k': 1::BIGINT, 'y': y}] AS held, 1::BIGINT AS k FROM pg_o WHERE rn = 1
+ UNION ALL SELECT doc_id, entity_seq, rn, CASE WHEN k > len(names) THEN list_append(names, coalesce(item, concat('GROUP_', CAST(k AS VARCHAR)))) ELSE names END, list_append(held, {'k': k, 'y': y}), k
+ FROM (SELECT o.doc_id, o.entity_seq, o.rn, o.item, o.y, s.names, s.held,
+   coalesce(CASE WHEN o.item IS NOT NULL THEN nullif(list_position(s.names, o.item), 0) ELSE list_min(list_transform(list_filter(s.held, lambda m: abs(m.y - o.y) < 50), lambda m: m.k)) END, len(s.names) + 1)::BIGINT AS k
+  FROM pg s JOIN pg_o o ON o.doc_id = s.doc_id AND o.rn = s.rn + 1)),
+pgn AS (SELECT doc_id, arg_max(names, rn) AS names FROM pg GROUP BY doc_id)"""
+
+
+@query("prediction_groups", f"WITH {PRED_SQL} SELECT doc_id, entity_seq, pgn.names[k] AS group_id FROM pg JOIN pgn USING (doc_id)")
 def prediction_groups(spark, d):
     return G.prediction_groups(entities(spark, d)).select(*KEY, "group_id")
 

@@ -205,7 +205,21 @@ def predict_from_pattern(spark, d):
     return P.predict_from_pattern(e.select("doc_id", "page_number", "doc_type").distinct(), P.typical_positions(e)).drop("page_number")
 
 
-@query("merge_predictions")
+IOU3 = """((greatest(least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x), 0) * greatest(least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y), 0)) * 1.0E0
+ / nullif(p.w * p.h + q.w * q.h - greatest(least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x), 0) * greatest(least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y), 0), 0) > 0.3E0)"""
+# Page by page: the list of places, changed by one model prediction after the other.
+MERGE_SQL = f"""
+pb AS (SELECT doc_id, list({{'label': label, 'x': x, 'y': y, 'w': width, 'h': height, 'c': 0.7E0, 'source': 'pattern'}} ORDER BY entity_seq) AS places FROM po_entities WHERE NOT was_corrected GROUP BY doc_id),
+mb AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY entity_seq) AS rn, {{'label': label, 'x': x + 10, 'y': y, 'w': width, 'h': height, 'c': ocr_confidence, 'source': 'model'}} AS p FROM po_entities),
+st AS (SELECT d.doc_id, CAST(0 AS BIGINT) AS rn, coalesce(places, []) AS places FROM (SELECT DISTINCT doc_id FROM po_entities) d LEFT JOIN pb USING (doc_id)
+ UNION ALL SELECT doc_id, rn, CASE WHEN hit IS NULL THEN list_append(places, p) WHEN p.c > places[hit].c THEN list_concat(places[:hit - 1], [p], places[hit + 1:]) ELSE places END AS places
+ FROM (SELECT st.doc_id, mb.rn AS rn, places, p, list_min(list_filter(range(1, len(places) + 1), lambda i: {IOU3.replace("q.", "places[i].")})) AS hit FROM st JOIN mb ON mb.doc_id = st.doc_id AND mb.rn = st.rn + 1)),
+en AS (SELECT doc_id, unnest(arg_max(places, rn)) AS q FROM st GROUP BY doc_id),
+ol AS (SELECT doc_id, {{'x': x, 'y': y, 'w': width, 'h': height}} AS p FROM po_entities WHERE label = 'Order number')"""
+
+
+@query("merge_predictions", f"""WITH {MERGE_SQL}
+SELECT doc_id, q.label AS label, q.x AS x, q.y AS y, q.w AS width, q.h AS height, q.c AS confidence, q.source AS source FROM en WHERE NOT EXISTS (SELECT 1 FROM ol WHERE ol.doc_id = en.doc_id AND {IOU3})""")
 def merge_predictions(spark, d):
     e = entities(spark, d)
     patterns = e.filter("NOT was_corrected").withColumn("confidence", F.lit(0.7))
