@@ -27,12 +27,17 @@ def ensemble(predictions: DataFrame, weights: Mapping[str, float] = WEIGHTS) ->
     return per.groupBy(*BOX).agg(F.min(F.struct((-F.col("p")).alias("n"), "label")).alias("b")).select(*BOX, F.col("b.label").alias("predicted"), (-F.col("b.n")).alias("confidence"))
 
 
+def _times(share: float):
+    return lambda v: v * share
+
+
 def weighted_arrays(arrays: list[Column], weights: list[float]) -> Column:
     """Weighted mean of probability arrays of one label order (MLlib output)."""
     total = sum(weights)
-    out = F.transform(arrays[0], lambda v: v * (weights[0] / total))
-    for a, w in zip(arrays[1:], weights[1:]):
-        out = F.zip_with(out, a, lambda x, y, w=w: x + y * (w / total))
+    scaled = [F.transform(a, _times(w / total)) for a, w in zip(arrays, weights, strict=True)]
+    out = scaled[0]
+    for a in scaled[1:]:
+        out = F.zip_with(out, a, lambda x, y: x + y)
     return out
 
 

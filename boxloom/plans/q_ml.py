@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.bbox import Box
-from ..ml import combine as CB, features as FE, splits as SP, train as TR
+from ..ml import combine as CB, ensemble as EN, features as FE, splits as SP, train as TR
 from ..operators import augment as AU, positions as P
+from ..scale import materialized
 from .fixture import DOC_TYPE_SQL, doc_type, entities, table
 from .q_grouping import ROWS20
 from .q_joins import RANGES_SQL, predicted
@@ -18,11 +19,20 @@ KEY = ["doc_id", "entity_seq"]
 BOX = ["doc_id", "page_number", "entity_seq"]
 
 
+def weighted(spark, d):
+    return entities(spark, d).withColumn("weight", CB.sample_weight(F.col("ocr_confidence"), F.col("was_corrected")))
+
+
+def full(spark, d):
+    """Features of every box, written once per application and input folder."""
+    return materialized(spark, "features", d, lambda: FE.assemble(weighted(spark, d), True, ("label", "weight")))
+
+
 @query("features_assemble")
 def features_assemble(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    v = FE.assemble(entities(spark, d))
+    v = full(spark, d)
     a = vector_to_array("features")
     return v.select(*KEY, "label", F.size(a).alias("n"), F.round(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), 6).alias("total"))
 
@@ -51,26 +61,48 @@ FIT_PAGES = 600  # a classifier learns from at most so many pages, chosen by a h
 HELD_SQL = "CAST(concat('0x', substring(md5(CAST(doc_id AS VARCHAR)), 1, 4)) AS INT) >= 52428"
 
 
-def weighted(spark, d):
-    return entities(spark, d).withColumn("weight", CB.sample_weight(F.col("ocr_confidence"), F.col("was_corrected")))
+def fit_pages(spark, d):
+    """The first ``FIT_PAGES`` training pages by a hash."""
+    pages = SP.split_by_hash(entities(spark, d).select("doc_id", "page_number").distinct(), "doc_id").filter("split = 'train'").drop("split")
+    return F.broadcast(pages.orderBy(F.md5(F.concat_ws("-", "doc_id", "page_number").cast("binary"))).limit(FIT_PAGES))
 
 
 def training(spark, d):
     """Full features of the boxes of ``FIT_PAGES`` training pages."""
-    e = weighted(spark, d)
-    pages = SP.split_by_hash(e.select("doc_id", "page_number").distinct(), "doc_id").filter("split = 'train'").drop("split")
-    chosen = F.broadcast(pages.orderBy(F.md5(F.concat_ws("-", "doc_id", "page_number").cast("binary"))).limit(FIT_PAGES))
-    return TR.stable(FE.assemble(e.join(chosen, ["doc_id", "page_number"]), True, ("label", "weight")))
+    return TR.stable(full(spark, d).join(fit_pages(spark, d), ["doc_id", "page_number"]))
 
 
 def held_out(spark, d):
     """Full features of every box on the held-out pages."""
-    return FE.assemble(SP.split_by_hash(weighted(spark, d), "doc_id").filter("split = 'test'").drop("split"), True, ("label", "weight"))
+    return SP.split_by_hash(full(spark, d), "doc_id").filter("split = 'test'").drop("split")
+
+
+_fitted: dict[tuple[str, str], EN.Ensemble] = {}
+# The queries fit smaller boosted models than the library's settings: 5 rounds of depth 4 and 3.
+SMALL = ({"maxIter": 5, "maxDepth": 4}, {"maxIter": 5, "maxDepth": 3, "seed": 43})
+
+
+def fitted(spark, d) -> EN.Ensemble:
+    """The combined predictor, fitted once per application and input folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _fitted:
+        boxes = TR.stable(entities(spark, d).join(fit_pages(spark, d), ["doc_id", "page_number"]))
+        _fitted[key] = EN.fit(training(spark, d), boxes, weight="weight", boosted=SMALL)
+    return _fitted[key]
+
+
+def combined(spark, d):
+    """Predictions of the combined predictor on every held-out page."""
+    boxes = SP.split_by_hash(entities(spark, d), "doc_id").filter("split = 'test'").drop("split")
+    return EN.predict(fitted(spark, d), held_out(spark, d), boxes)
 
 
 def judged(model, rows, floor: float):
     """Held-out boxes per label, and whether the share of right predictions reaches the floor."""
-    out = TR.probabilities(model, rows)
+    return reached(TR.probabilities(model, rows), floor)
+
+
+def reached(out, floor: float):
     return out.groupBy("label").agg(F.count("*").alias("n"), (F.count_if(F.col("predicted") == F.col("label")) / F.count("*") >= floor).alias("good"))
 
 
@@ -95,7 +127,7 @@ def feature_importance(spark, d):
 
 @query("cross_val")
 def cross_val(spark, d):
-    accuracy, boxes = TR.cross_validate(entities(spark, d), FE.assemble, 3, FIT_PAGES)
+    accuracy, boxes = TR.cross_validate(full(spark, d), lambda rows: rows, 3, FIT_PAGES)
     return spark.createDataFrame([(3, accuracy, boxes)], "folds int, accuracy double, boxes bigint")
 
 
@@ -132,6 +164,21 @@ def ensemble(spark, d):
     return CB.ensemble(model_rows(spark, d)).select(*KEY, "predicted", F.round("confidence", 6).alias("confidence"))
 
 
+@query("ensemble_fitted", JUDGED_SQL)
+def ensemble_fitted(spark, d):
+    """A forest, two boosted models and the sequence model, fitted and averaged, on every held-out page."""
+    return reached(combined(spark, d).join(held_out(spark, d).select(*BOX, "label"), BOX), 0.9)
+
+
+@query("cascade_fitted", JUDGED_SQL)
+def cascade_fitted(spark, d):
+    """Combined predictor where it is sure, else the forest, else learned positions; every held-out box gets a label."""
+    hybrid = combined(spark, d).filter("confidence >= 0.8").drop("probs")
+    forest = TR.probabilities(fitted(spark, d).models["forest"], held_out(spark, d)).select(*BOX, "predicted", "confidence")
+    basic = SP.split_by_hash(predicted(spark, d), "doc_id").filter("split = 'test'").select(*BOX, "predicted", F.col("position_score").alias("confidence"))
+    return reached(CB.cascade(hybrid, forest, basic, 0.5).join(held_out(spark, d).select(*BOX, "label"), BOX), 0.9)
+
+
 @query("vote", """WITH ml AS (SELECT doc_id, entity_seq, 1 AS model, label, ocr_confidence AS p FROM po_entities UNION ALL SELECT doc_id, entity_seq, 2, CASE WHEN was_corrected THEN 'Quantity' ELSE label END, 0.75E0 FROM po_entities UNION ALL SELECT doc_id, entity_seq, 3, CASE WHEN entity_seq % 4 = 0 THEN 'other' ELSE label END, 0.5E0 FROM po_entities),
 c AS (SELECT doc_id, entity_seq, label, count(*) AS n, min(model) AS f FROM ml GROUP BY ALL), m AS (SELECT doc_id, entity_seq, round(avg(p), 8) AS confidence FROM ml GROUP BY doc_id, entity_seq)
 SELECT doc_id, entity_seq, label AS predicted, n AS votes, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_seq ORDER BY n DESC, f) AS rn FROM c) JOIN m USING (doc_id, entity_seq) WHERE rn = 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from ..ml import combine as CB, features as FE, train as TR
+from ..ml import combine as CB, ensemble as EN, features as FE, train as TR
 from ..operators import convert as V, corrections as C, positions as P, quality as Q, ranking as K
 from ..scale import PAGE
 
@@ -26,13 +26,15 @@ def train_models(boxes: DataFrame, relations: bool = True, **params) -> tuple[Pi
     return TR.train_forest(data, weight="weight", **params), P.position_ranges(boxes, ["doc_type", "label"]), C.learned_corrections(corr)
 
 
-def suggest_labels(words: DataFrame, model: PipelineModel, ranges: DataFrame, relations: bool = True) -> DataFrame:
-    """Ranked label suggestions per page: the model where it is sure, else the learned position."""
-    scored = TR.probabilities(model, FE.assemble(words, relations, ()))
+def suggest_labels(words: DataFrame, model: PipelineModel, ranges: DataFrame, relations: bool = True, ensemble: EN.Ensemble | None = None, sure_from: float = 0.8) -> DataFrame:
+    """Ranked label suggestions per page: the combined predictor where there is one and it is sure, else the model where it
+    is, else the learned position."""
+    rows = FE.assemble(words, relations, ())
+    scored = TR.probabilities(model, rows)
     sure = scored.select(*PAGE, "entity_seq", "predicted", "confidence")
     placed = P.position_predict(words, ranges).select(*PAGE, "entity_seq", "predicted", F.col("position_score").alias("confidence"))
-    nothing = sure.limit(0)
-    best = CB.cascade(nothing, sure, placed).withColumnRenamed("predicted", "label")
+    hybrid = EN.predict(ensemble, rows, words).filter(F.col("confidence") >= sure_from).drop("probs") if ensemble else sure.limit(0)
+    best = CB.cascade(hybrid, sure, placed).withColumnRenamed("predicted", "label")
     return K.suggest_topk(best.join(words.select(*PAGE, "entity_seq", "x", "y", "text"), [*PAGE, "entity_seq"]))
 
 
