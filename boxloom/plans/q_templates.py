@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.signature import reading_grid_signature
 from ..ml import cluster as MC
 from ..operators import layout as L, mapping as MP, stats as S, templates as TP
-from ..scale import beside, table_path
+from ..scale import beside, materialized, table_path
 from ..schema import LABELS
 from .fixture import DOC_TYPE_SQL, doc_type, entities, table
 from .q_columns import GRID_SIG, LABEL_SIG
@@ -43,20 +43,20 @@ LEARN2 = learn_sql("count(*) >= 2")
 
 @query("learn_templates", f"WITH {LEARN2} SELECT template_id, concat(doc_type, '_', signature) AS name, doc_type, signature, samples, n_fields, field_order FROM tn")
 def learn_templates(spark, d):
-    return TP.learn(typed(spark, d)).templates
+    return known(spark, d).templates.select("template_id", "name", *TP.TKEY, "samples", "n_fields", "field_order")
 
 
 FIELD_COLS = ["xn_mean", "yn_mean", "widthn_mean", "heightn_mean", "xn_std", "yn_std", "share"]
 
 
-@query("template_fields", f"WITH {LEARN2} SELECT template_id, label, n, required, " + ", ".join(f"round({c}, 8) AS {c}" for c in FIELD_COLS) + " FROM ff")
+@query("template_fields", f"WITH {LEARN2} SELECT template_id, label, n, required, " + ", ".join(f"round({c}, 11) AS {c}" for c in FIELD_COLS) + " FROM ff")
 def template_fields(spark, d):
-    return TP.learn(typed(spark, d)).fields.select("template_id", "label", "n", "required", *[F.round(c, 8).alias(c) for c in FIELD_COLS])
+    return known(spark, d).fields.select("template_id", "label", "n", "required", *[F.round(c, 11).alias(c) for c in FIELD_COLS])
 
 
 @query("template_rows", f"WITH {LEARN2} SELECT template_id, sequence, n FROM rt")
 def template_rows(spark, d):
-    return TP.learn(typed(spark, d)).rows.select("template_id", "sequence", "n")
+    return known(spark, d).rows.select("template_id", "sequence", "n")
 
 
 @query("template_relations", f"""WITH {LABEL_SIG}, b AS (SELECT doc_id, CAST(floor((y + height / 2) / 30) AS BIGINT) AS bin, entity_seq, label FROM po_entities)
@@ -113,13 +113,25 @@ mt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY
 
 
 def known(spark, d):
-    return TP.stored(TP.learn(typed(spark, d)))
+    """Learned templates, written once per application and input folder."""
+    built = []
+
+    def part(name):
+        if not built:
+            built.append(TP.learn(typed(spark, d)))
+        return getattr(built[0], name)
+
+    return TP.Templates(*[materialized(spark, f"templates_{n}", d, lambda n=n: part(n)) for n in ("templates", "fields", "rows", "tables")])
+
+
+def matched(spark, d):
+    """Best template per page, written once per application and input folder."""
+    return materialized(spark, "templates_matched", d, lambda: TP.match(typed(spark, d), known(spark, d)))
 
 
 @query("match_template", f"WITH {MATCH_SQL} SELECT doc_id, template_id, score, round(field_score, 7) AS field_score, round(structure_score, 7) AS structure_score FROM mt")
 def match_template(spark, d):
-    m = TP.match(typed(spark, d), known(spark, d))
-    return m.select("doc_id", "template_id", "score", *[F.round(c, 7).alias(c) for c in ("field_score", "structure_score")])
+    return matched(spark, d).select("doc_id", "template_id", "score", *[F.round(c, 7).alias(c) for c in ("field_score", "structure_score")])
 
 
 PREDICT_SQL = f"""{MATCH_SQL},
@@ -134,13 +146,13 @@ pp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_s
 @query("predict_with_template", f"WITH {PREDICT_SQL} SELECT doc_id, entity_seq, template_id, label AS predicted, round(s * score, 6) AS confidence FROM pp")
 def predict_with_template(spark, d):
     e, k = typed(spark, d), known(spark, d)
-    return TP.predict(e, TP.match(e, k), k).select(*KEY, "template_id", "predicted", F.round("confidence", 6).alias("confidence"))
+    return TP.predict(e, matched(spark, d), k).select(*KEY, "template_id", "predicted", F.round("confidence", 6).alias("confidence"))
 
 
 @query("template_missing_required", f"WITH {PREDICT_SQL} SELECT m.doc_id, m.template_id, f.label AS field FROM mt m JOIN ff f ON f.template_id = m.template_id AND f.required WHERE NOT EXISTS (SELECT 1 FROM pp WHERE pp.doc_id = m.doc_id AND pp.label = f.label)")
 def template_missing_required(spark, d):
     e, k = typed(spark, d), known(spark, d)
-    m = TP.match(e, k)
+    m = matched(spark, d)
     return TP.missing_required(m, TP.predict(e, m, k), k).select("doc_id", "template_id", "field")
 
 
@@ -148,22 +160,22 @@ def template_missing_required(spark, d):
 nb AS (SELECT m.template_id, e.label, e.doc_id, e.entity_seq, x / 2480 AS xn, y / 3508 AS yn, width / 2480 AS wn, height / 3508 AS hn FROM po_entities e JOIN mt m USING (doc_id)),
 ni AS (SELECT *, row_number() OVER (PARTITION BY template_id, label ORDER BY doc_id, entity_seq) AS i, count(*) OVER (PARTITION BY template_id, label) AS m FROM nb),
 ns AS (SELECT template_id, label, any_value(m) AS m, sum(pow(0.9E0, m - i) * 0.1E0 * xn) AS xa, sum(pow(0.9E0, m - i) * 0.1E0 * yn) AS ya, sum(pow(0.9E0, m - i) * 0.1E0 * wn) AS wa, sum(pow(0.9E0, m - i) * 0.1E0 * hn) AS ha FROM ni GROUP BY ALL)
-SELECT f.template_id, f.label, f.n + coalesce(m, 0) AS n, round(pow(0.9E0, coalesce(m, 0)) * xn_mean + coalesce(xa, 0), 8) AS xn_mean, round(pow(0.9E0, coalesce(m, 0)) * yn_mean + coalesce(ya, 0), 8) AS yn_mean,
+SELECT f.template_id, f.label, f.n + coalesce(m, 0) AS n, round(pow(0.9E0, coalesce(m, 0)) * xn_mean + coalesce(xa, 0), 11) AS xn_mean, round(pow(0.9E0, coalesce(m, 0)) * yn_mean + coalesce(ya, 0), 11) AS yn_mean,
  round(pow(0.9E0, coalesce(m, 0)) * widthn_mean + coalesce(wa, 0), 11) AS widthn_mean, round(pow(0.9E0, coalesce(m, 0)) * heightn_mean + coalesce(ha, 0), 11) AS heightn_mean FROM ff f LEFT JOIN ns USING (template_id, label)""")
 def update_template(spark, d):
     e, k = typed(spark, d), known(spark, d)
-    return TP.update(k, e, TP.match(e, k)).select("template_id", "label", "n", *[F.round(f"{c}_mean", d).alias(f"{c}_mean") for c, d in (("xn", 8), ("yn", 8), ("widthn", 11), ("heightn", 11))])
+    return TP.update(k, e, matched(spark, d)).select("template_id", "label", "n", *[F.round(f"{c}_mean", 11).alias(f"{c}_mean") for c in ("xn", "yn", "widthn", "heightn")])
 
 
 @query("template_statistics", f"""WITH {LEARN2} SELECT 'templates_per_type' AS section, doc_type AS name, count(*) AS n FROM tn GROUP BY doc_type UNION ALL SELECT 'samples_per_type', doc_type, CAST(sum(samples) AS BIGINT) FROM tn GROUP BY doc_type
 UNION ALL SELECT 'field_coverage', label, count(DISTINCT template_id) FROM ff GROUP BY label""")
 def template_statistics(spark, d):
-    return TP.statistics(TP.learn(typed(spark, d)))
+    return TP.statistics(known(spark, d))
 
 
 @query("field_coverage", f"WITH {LEARN2} SELECT label, count(DISTINCT template_id) AS templates, round(count(DISTINCT template_id) / (SELECT count(*) FROM tn), 8) AS share FROM ff GROUP BY label")
 def field_coverage(spark, d):
-    k = TP.learn(typed(spark, d))
+    k = known(spark, d)
     total = k.templates.agg(F.count("*").alias("t"))
     per = k.fields.groupBy("label").agg(F.count_distinct("template_id").alias("templates"))
     return per.transform(beside, total).select("label", "templates", F.round(F.col("templates") / F.col("t"), 8).alias("share"))
@@ -171,7 +183,7 @@ def field_coverage(spark, d):
 
 @query("cluster_templates")
 def cluster_templates(spark, d):
-    return MC.cluster_rows(TP.presence(TP.learn(typed(spark, d)), LABELS), "template_id", 5, 42)
+    return MC.cluster_rows(TP.presence(known(spark, d), LABELS), "template_id", 5, 42)
 
 
 # Two layout templates with text shapes and relative positions (x, y, tolerance).
@@ -290,7 +302,7 @@ def feedback_log(spark, d):
 SELECT coalesce(cu.template_id, im.template_id) AS template_id, coalesce(im.samples, cu.samples) AS samples, coalesce(im.n_fields, cu.n_fields) AS n_fields,
  CASE WHEN im.template_id IS NULL THEN 'kept' WHEN cu.template_id IS NULL THEN 'added' ELSE 'replaced' END AS change FROM cu FULL JOIN im ON cu.template_id = im.template_id""")
 def snk_template_import(spark, d):
-    t = TP.learn(typed(spark, d)).templates
+    t = known(spark, d).templates
     new = t.filter("doc_type <> 'invoice'").withColumn("samples", F.col("samples") * 10)
     return MP.merge_imported(t.filter("doc_type <> 'receipt'"), new, ["template_id"], ["samples", "n_fields"])
 
@@ -298,5 +310,5 @@ def snk_template_import(spark, d):
 @query("snk_template_export", f"WITH {LEARN2} SELECT template_id, doc_type, samples, n_fields FROM tn")
 def snk_template_export(spark, d):
     path = table_path(spark, "templates_out", d)
-    TP.learn(typed(spark, d)).templates.select("template_id", "doc_type", "samples", "n_fields").write.mode("overwrite").parquet(path)
+    known(spark, d).templates.select("template_id", "doc_type", "samples", "n_fields").write.mode("overwrite").parquet(path)
     return spark.read.schema("template_id string, doc_type string, samples bigint, n_fields bigint").parquet(path)
