@@ -118,14 +118,15 @@ def embedding_dedup(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
 
     Vectors with equal, not-null labels link when their cosine in double precision is at least ``cosine``. A vector that is
     null, empty, zero or holds null or non-finite parts, and one without an id or label, links with nothing, and so do
-    vectors of different lengths. ``n_links`` counts other rows, repeated vectors included. An empty table gives no rows.
+    vectors of different lengths. ``n_links`` counts other rows, repeated vectors included. An id that occurs with several
+    vectors is several rows. Other columns are not read, whatever their names. An empty table gives no rows.
     """
     if not 0 < cosine <= 1:
         raise ValueError("the join needs a cosine limit above 0 and at most 1")
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0)
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite, F.lit(False))
-    classes = cut(rows.filter(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")))
+    classes = cut(rows.filter(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")).withColumn("cid", F.monotonically_increasing_id()))
     placed = cut(place(classes, pivots_of(classes, cell, pivots), float(np.sqrt(2 - 2 * cosine))))
 
     # Blocks: members of a cell are numbered out by a hash; home blocks meet all blocks of the cell.
@@ -150,9 +151,12 @@ def embedding_dedup(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     found = cut(left.groupBy("cell", "hb", "ob").cogroup(right.groupBy("cell", "hb", "ob")).applyInArrow(join, "cid long, links long, root long"))
     labels = components(found.filter("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    # Classes go by numbers of their own, since an id may occur with two vectors; a component is named by its smallest id.
+    parts = cut(classes.select("cid", "least").join(labels.withColumnRenamed("node", "cid"), "cid").select("cid", F.col("component_id").alias("part"), "least"))
+    names = parts.select("cid", "part").join(parts.groupBy("part").agg(F.min("least").alias("component_id")), "part").drop("part")
     named = cut(
-        classes.select("label", "embedding", "cid", "n").join(counts, "cid", "left").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-        .select(F.col("label").alias("of_label"), F.col("embedding").alias("of_vector"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "cid").alias("component")))
+        classes.select("label", "embedding", "cid", "least", "n").join(counts, "cid", "left").join(names, "cid", "left")
+        .select(F.col("label").alias("of_label"), F.col("embedding").alias("of_vector"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "least").alias("component")))
     out = rows.withColumn("good", good).join(named, F.col("good") & (F.col("label") == F.col("of_label")) & (F.col("embedding") == F.col("of_vector")), "left")
     component = F.coalesce("component", F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

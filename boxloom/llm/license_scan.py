@@ -36,6 +36,7 @@ REACH, COVER, SLACK = 2, 0.75, 1.5
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), GAP), "")
+BITS = 60  # template positions in one word of votes
 
 
 def templates(spark, phrases: Mapping[str, list[str]], notices: Mapping[str, list[str]]) -> DataFrame:
@@ -61,11 +62,14 @@ def hits(df: DataFrame, phrases: Mapping[str, list[str]] = PHRASES, notices: Map
         .join(templates(df.sparkSession, phrases, notices), "gram").filter("first = t_first AND second = t_second")
         .withColumn("diagonal", F.col("p") - F.col("t"))
     )
-    # Votes are a set of template positions (templates have at most 63 pairs), so a repeated row cannot vote twice.
-    lines = cut(votes.groupBy("row_id", "template", "label", "exact", "size", "diagonal").agg(
-        F.bit_or(F.expr("shiftleft(1L, t)")).alias("votes"), F.min("p").alias("low"), (F.max("p") + K - 1).alias("high")))
+    # Votes are a set of template positions, so a repeated row cannot vote twice; the set is kept in words of 60 bits.
+    longest = max((len(t.split()) for group in (phrases, notices) for texts in group.values() for t in texts), default=0)
+    names = [f"votes{k}" for k in range(max(1, -(-longest // BITS)))]
+    masks = [F.coalesce(F.bit_or(F.when(F.expr(f"t div {BITS}") == k, F.expr(f"shiftleft(1L, t % {BITS})"))), F.lit(0).cast("long")).alias(n) for k, n in enumerate(names)]
+    lines = cut(votes.groupBy("row_id", "template", "label", "exact", "size", "diagonal").agg(*masks, F.min("p").alias("low"), (F.max("p") + K - 1).alias("high")))
+    cast = lambda found: sum((F.bit_count(c) for c in found[1:]), F.bit_count(found[0]))
     # A phrase allows no other word: its own diagonal must hold all of its pairs.
-    whole = lines.filter("exact AND bit_count(votes) = size - 1").select(
+    whole = lines.filter(F.col("exact") & (cast([F.col(n) for n in names]) == F.col("size") - 1)).select(
         "row_id", "label", "exact", F.col("low").alias("first_word"), F.col("high").alias("last_word"), F.lit(1.0).alias("cover"))
     # Neighbouring diagonals of a notice are merged while they are near on both axes.
     w = W.partitionBy("row_id", "template").orderBy("diagonal", "low")
@@ -74,7 +78,7 @@ def hits(df: DataFrame, phrases: Mapping[str, list[str]] = PHRASES, notices: Map
         lines.filter("NOT exact").withColumn("opens", F.coalesce(apart, F.lit(True)).cast("int"))
         .withColumn("run", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
         .groupBy("row_id", "template", "label", "exact", "size", "run")
-        .agg(F.bit_count(F.bit_or("votes")).alias("votes"), F.min("low").alias("first_word"), F.max("high").alias("last_word"))
+        .agg(cast([F.bit_or(n) for n in names]).alias("votes"), F.min("low").alias("first_word"), F.max("high").alias("last_word"))
         .withColumn("cover", F.least(F.lit(1.0), F.col("votes") / (F.col("size") - 1)))
         .filter((F.col("cover") >= COVER) & (F.col("last_word") - F.col("first_word") + 1 <= F.col("size") * SLACK))
     )
@@ -89,7 +93,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (null without one). ``labels`` adds those of ``notices``. ``score`` is 0 without a label, else the best share of a
     template that was found (1 for a phrase). Null and empty texts have no words. Rows with the same id and text are one
     document and get the same figures; a null id is an id like any other here. Labels are joined in sorted order, so ties
-    don't matter.
+    don't matter. Templates and texts may have any length. Other columns are not read, whatever their names.
     """
     docs = narrow(df, doc_id=id_col, text=text_col).select("doc_id", whole_text().alias("text"))
     docs = docs.withColumn("row_id", F.struct("doc_id", F.xxhash64("text").alias("digest")))

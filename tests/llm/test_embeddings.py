@@ -52,3 +52,10 @@ def test_against_all_pairs(spark, cell, block):
 
 def test_empty(spark):
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_one_id_with_two_vectors(spark):
+    """Rows are told apart by their vectors, not by their ids: both rows of the id link with each other."""
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.1], 0), (2, [0.0, 1.0], 0)]
+    got = sorted(tuple(x) for x in embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]

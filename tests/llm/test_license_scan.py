@@ -46,3 +46,13 @@ def test_notices(spark):
 
 def test_empty(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_templates_of_any_length(spark):
+    """A template of more words than a number has bits: whole, cut short, and with a word put in."""
+    words = [f"w{i}" for i in range(150)]
+    df = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[:70])), (2, " ".join([*words[:80], "odd", *words[80:]])), (3, " ".join(words[:80]))], "doc_id long, text string")
+    got = {x.doc_id: x for x in license_scan(df, phrases={"long": [" ".join(words[:80])]}, notices={"notice": [" ".join(words)]}).collect()}
+    assert [got[i].n_base for i in range(4)] == [1, 0, 1, 1]
+    assert [got[i].labels for i in range(4)] == ["long,notice", "", "long,notice", "long"]
+    assert got[2].score == 1.0
