@@ -63,9 +63,10 @@ def box_statistics(boxes: DataFrame) -> DataFrame:
 
 
 def document_text(pages: DataFrame, doc: str, page: str, text: str, part: int = 1000) -> DataFrame:
-    """Page texts joined by a blank line in page order; a document of more than ``part`` pages comes in numbered parts."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, text))), lambda s: s[text]), "\n\n")
-    return pages.groupBy(doc, F.expr(f"{page} div {part}").alias("part")).agg(joined.alias("full_text"), F.count("*").alias("pages"))
+    """Page texts joined by a blank line in page order; ``part`` pages at a time, and then the parts."""
+    joined = lambda key, t: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(t).alias("t")))), lambda s: s["t"]), "\n\n")
+    parts = pages.groupBy(doc, F.expr(f"{page} div {part}").alias("part")).agg(joined(page, text).alias("full_text"), F.count("*").alias("pages"))
+    return parts.groupBy(doc).agg(joined("part", "full_text").alias("full_text"), F.sum("pages").alias("pages"))
 
 
 def processing_summary(log: DataFrame, doc: str = "doc_id") -> DataFrame:

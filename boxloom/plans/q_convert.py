@@ -183,6 +183,25 @@ def src_annotations_grouped(spark, d):
     return RD.annotations_grouped(spark, path, None, multiline=False).drop("file")
 
 
+@query("src_annotations_regions", """SELECT concat('po_', CAST(doc_id AS VARCHAR)) AS file_name, 'purchase_order' AS document_type, CAST(1 AS BIGINT) AS page_number,
+ row_number() OVER (PARTITION BY doc_id ORDER BY entity_seq) - 1 AS pos, label, text, ocr_confidence AS confidence, x, y, width, height FROM po_entities""")
+def src_annotations_regions(spark, d):
+    """The layout with pages and regions, written a page to a line and read back a region to a row."""
+    path = folder(spark, d, "regions")
+    region = F.struct("entity_seq", "label", "text", F.array("x", "y", "width", "height").alias("bbox"), F.col("ocr_confidence").alias("confidence"))
+    pages = entities(spark, d).groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(region)).alias("regions"))
+    one = F.array(F.struct(F.col("page_number").cast("long").alias("page_number"), "regions"))
+    WR.json(pages.select(F.concat(F.lit("po_"), F.col("doc_id").cast("string")).alias("file_name"), F.lit("purchase_order").alias("document_type"), one.alias("pages")), path)
+    return RD.annotations_regions(spark, path, None, multiline=False).drop("file")
+
+
+@query("snk_coco_categories", f"""WITH c AS (SELECT {TYPE_CASE} AS name, count(*) AS n FROM po_entities GROUP BY 1),
+v(id, name) AS (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(WR.CATEGORIES, 1))}) SELECT id, name, coalesce(n, 0) AS annotations FROM v LEFT JOIN c USING (name)""")
+def snk_coco_categories(spark, d):
+    """The category list that goes with the annotations, with how many annotations each has."""
+    return WR.coco_categories(snk_coco(spark, d))
+
+
 @query("src_jsonl", "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang <> 'de'")
 def src_jsonl(spark, d):
     path = folder(spark, d, "samples")
@@ -202,15 +221,19 @@ def src_csv_stats(spark, d):
     return spark.read.schema("label string, n bigint, corrected bigint, run int").option("header", "true").csv(path)
 
 
-@query("src_file_catalog", """SELECT concat('source=', source) AS folder, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS size, 'unknown' AS kind, md5(string_agg(concat(coalesce(text, ''), chr(10)), '' ORDER BY doc_id)) AS hash
-FROM documents GROUP BY source""")
+FILE_IDS = 512  # document ids to a file: a large source is many files, written, listed and hashed each on its own
+
+
+@query("src_file_catalog", f"""SELECT concat('source=', source, '/bucket=', CAST(doc_id // {FILE_IDS} AS VARCHAR)) AS folder, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS size, 'unknown' AS kind,
+ md5(string_agg(concat(coalesce(text, ''), chr(10)), '' ORDER BY doc_id)) AS hash FROM documents GROUP BY source, doc_id // {FILE_IDS}""")
 def src_file_catalog(spark, d):
-    """The documents as one text file per source, listed with the hash of the content; other names are not listed."""
+    """The documents as text files per source and stretch of ids, listed with the hash of the content; other names are not listed."""
     path = folder(spark, d, "catalog")
     docs = table(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("text", "source").write.mode("overwrite").partitionBy("source").text(path)
+    docs = docs.withColumn("bucket", F.expr(f"doc_id div {FILE_IDS}"))
+    docs.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id").select("text", "source", "bucket").write.mode("overwrite").partitionBy("source", "bucket").text(path)
     files = RD.file_catalog(spark, path, [".txt"], hashed=True, glob="part-*")
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "size", "kind", "hash")
+    return files.select(F.array_join(F.slice(F.split("path", "/"), -3, 2), "/").alias("folder"), "size", "kind", "hash")
 
 
 def export_rows(spark, d):

@@ -195,6 +195,12 @@ def detect_tables_gap(spark, d):
     return G.gap_tables(entities(spark, d), min_boxes=2).drop("page_number")
 
 
+@query("detect_tables_three", f"WITH {GAP_SQL.replace('< 60', '< 80').replace('>= 90', '>= 120')} SELECT * FROM gt")
+def detect_tables_three(spark, d):
+    """Tables of rows of three boxes or more, the lines of an order 100 px apart."""
+    return G.gap_tables(entities(spark, d), 40).drop("page_number")
+
+
 @query("extract_po_fields", """
 WITH f AS (SELECT *, CASE WHEN y BETWEEN 70 AND 110 AND x > 2000 AND regexp_matches(text, '^[0-9]{10}$') THEN 'order_number'
   WHEN y BETWEEN 1200 AND 1600 AND (regexp_matches(trim(text), '^[A-Z][0-9]{7}$') OR (regexp_matches(trim(text), '^[A-Z0-9]{8}$') AND regexp_matches(trim(text), '[0-9]'))) THEN 'shipping_line'

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grouping as G, quality as Q, rules as RU
+from ..operators import grouping as G, process as PR, quality as Q, rules as RU
 from .fixture import DOC_TYPE_SQL, doc_type, entities, table
 from .q_grouping import chain_sql
 from .registry import query
@@ -314,3 +314,20 @@ def template_completeness(spark, d):
 def rule_registry(spark, d):
     rules = {"has_text": lambda: F.col("text") != "", "sure": lambda: F.col("ocr_confidence") >= 0.7, "wide": lambda: F.col("width") >= 100}
     return Q.rule_registry(entities(spark, d), rules, KEY).withColumn("success_rate", F.round("success_rate", 8))
+
+
+@query("process_rows", """SELECT doc_id, entity_seq, label, CASE WHEN ocr_original <> '' THEN TRY_CAST(ocr_original AS BIGINT) END AS value,
+ CASE WHEN ocr_original = '' THEN 'invalid input' WHEN TRY_CAST(ocr_original AS BIGINT) IS NULL THEN 'failed' END AS error FROM po_entities WHERE label IN ('Order number', 'Item number')""")
+def process_rows(spark, d):
+    """Numbers read from the first readings; readings that are empty or no number stay, with their error."""
+    numbers = entities(spark, d).filter(F.col("label").isin("Order number", "Item number"))
+    done = PR.process_rows(numbers, F.col("ocr_original") != "", F.col("ocr_original").try_cast("bigint"))
+    return done.select(*KEY, "label", "value", "error")
+
+
+@query("process_counts", """SELECT label, count(*) FILTER (TRY_CAST(ocr_original AS BIGINT) IS NOT NULL) AS processed, count(*) FILTER (ocr_original = '') AS invalid,
+ count(*) FILTER (ocr_original <> '' AND TRY_CAST(ocr_original AS BIGINT) IS NULL) AS failed FROM po_entities WHERE label IN ('Order number', 'Item number') GROUP BY label""")
+def process_counts(spark, d):
+    done = process_rows(spark, d)
+    return done.groupBy("label").agg(
+        F.count_if(F.col("error").isNull()).alias("processed"), F.count_if(F.col("error") == PR.INVALID).alias("invalid"), F.count_if(F.col("error") == PR.FAILED).alias("failed"))

@@ -99,7 +99,7 @@ def box_statistics(spark, d):
     return s
 
 
-@query("document_text", "SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(text, '\n\n' ORDER BY turn) AS full_text, count(*) AS pages FROM conversations GROUP BY conv_id")
+@query("document_text", "SELECT conv_id, string_agg(text, '\n\n' ORDER BY turn) AS full_text, count(*) AS pages FROM conversations GROUP BY conv_id")
 def document_text(spark, d):
     return S.document_text(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
