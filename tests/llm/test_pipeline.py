@@ -83,7 +83,7 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(names) == set(queries.QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(names) == set(queries.QUERIES)
     assert "pipeline" in entry.queries() and [n for n, _ in CP.STAGES] == ["quality", "exact_copies", "near_copies", "mixture", "pieces"]
 
 
