@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import PAGE, beside, entity_levels, ranked, topk
-
-BLOCK = 512
-NEIGHBOURS = "label int, vec_id bigint, other bigint, distance double"
+from ..scale import PAGE, beside, cut, entity_levels, ranked
+from .nearest import neighbours
 
 
 def contiguous_folds(rows: DataFrame, k: int = 5) -> DataFrame:
@@ -52,37 +50,6 @@ def split_by_hash(rows: DataFrame, key: str, train: float = 0.8) -> DataFrame:
     return rows.withColumn("split", F.when(bucket < int(65536 * train), "train").otherwise("test"))
 
 
-def neighbours(vectors: DataFrame, k: int = 5) -> DataFrame:
-    """Exact k nearest of the same class. ``vectors``: label, vec_id, embedding.
-
-    A class is cut into blocks of about ``BLOCK`` vectors; each pair of blocks is compared as matrices and gives the k
-    best per vector, and those are reduced to k again. No pair of vectors becomes a row beyond that.
-    """
-    sizes = vectors.groupBy("label").agg(F.count("*").alias("n"))
-    cells = vectors.join(sizes, "label").withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / BLOCK)))
-    blocks = cells.groupBy("label", "blk").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("rows"))
-    pairs = blocks.select("label", F.col("rows").alias("left")).join(blocks.select("label", F.col("rows").alias("right")), "label")
-
-    def nearest(batches):
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for label, left, right in zip(batch["label"], batch["left"], batch["right"]):
-                a, b = np.array([r["embedding"] for r in left], dtype=float), np.array([r["embedding"] for r in right], dtype=float)
-                ids = np.array([r["vec_id"] for r in right])
-                gap = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
-                for i, row in enumerate(left):
-                    gap[i, ids == row["vec_id"]] = np.inf
-                    best = np.lexsort((ids, gap[i]))[:k]
-                    out.extend((label, int(row["vec_id"]), int(ids[j]), float(gap[i, j])) for j in best if np.isfinite(gap[i, j]))
-            yield pd.DataFrame(out, columns=["label", "vec_id", "other", "distance"])
-
-    found = pairs.mapInPandas(nearest, NEIGHBOURS)
-    return topk(found, ["label", "vec_id"], ["distance", "other"], k, "nth")
-
-
 def smote(vectors: DataFrame, k: int = 5) -> DataFrame:
     """Balance the classes up to the largest: new vectors between a vector and one of its k nearest.
 
@@ -97,7 +64,7 @@ def smote(vectors: DataFrame, k: int = 5) -> DataFrame:
     # Base vector number i makes the samples i, i + n, i + 2n, ... up to the need of its class.
     times = F.floor((F.col("need") - F.col("rn")) / F.col("n")) + 1
     made = bases.filter("rn <= need").withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
-    near = neighbours(minor.select("label", "vec_id", "embedding"), k)
+    near = cut(neighbours(minor.select("label", "vec_id", "embedding"), k))
     count = near.groupBy("label", "vec_id").agg(F.count("*").alias("near"))
     chosen = made.join(count, ["label", "vec_id"]).withColumn("nth", (F.pmod(F.col("t"), F.col("near")) + 1).cast("int")).join(near.select("label", "vec_id", "nth", "other"), ["label", "vec_id", "nth"])
     other = vectors.select(F.col("vec_id").alias("other"), F.col("embedding").alias("_to"))
