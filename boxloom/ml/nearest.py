@@ -1,10 +1,11 @@
 """Exact k nearest neighbours of the same class, as a metric range join.
 
 Equal vectors are one: they are counted and named by their smallest ids, so a vector that fills a third of the table is
-compared once. Pivots (at most ``PIVOTS`` vectors, the smallest hashes) cut each class into cells. A vector first meets its own
-cell; the k-th distance found there is its radius. It then visits only the cells whose lower bound is within the radius:
-by the triangle inequality (distance to the other pivot less that cell's largest member distance) and by the plane half
-way between the pivots. Vectors meet in blocks of about ``BLOCK``, keyed by both block numbers, so a full cell is many tasks.
+compared once. Pivots (the smallest hashes, one for every ``BLOCK`` vectors and at most ``PIVOTS``) cut each class into
+cells. A vector first meets its own cell; the k-th distance found there is its radius. It then visits only the cells whose
+lower bound is within the radius: by the triangle inequality (distance to the other pivot less that cell's largest member
+distance) and by the plane half way between the pivots. Vectors meet in blocks of about ``BLOCK``, keyed by both block
+numbers, so a full cell is many tasks.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def placed(classes: DataFrame, pivots: int) -> tuple[DataFrame, dict]:
     for r in chosen:
         by_class.setdefault(r.label, []).append(r.embedding)
     points = {label: np.array(rows, dtype=float) for label, rows in by_class.items()}
-    schema = f"label {classes.schema['label'].dataType.simpleString()}, " + MEMBER.replace(":", "")
+    schema = f"label {classes.schema['label'].dataType.simpleString()}, ids array<bigint>, " + MEMBER.replace(":", "")
 
     def nearest_pivot(batches):
         import pandas as pd
@@ -50,9 +51,9 @@ def placed(classes: DataFrame, pivots: int) -> tuple[DataFrame, dict]:
                     far = np.sqrt(((rows - points[label][cell]) ** 2).sum(1))
                 else:
                     cell, far = np.full(len(rows), -1), np.zeros(len(rows))
-                yield pd.DataFrame({"label": part["label"], "head": part["head"], "embedding": part["embedding"], "cell": cell.astype("int32"), "far": far})
+                yield pd.DataFrame({"label": part["label"], "ids": part["ids"], "head": part["head"], "embedding": part["embedding"], "cell": cell.astype("int32"), "far": far})
 
-    members = cut(classes.select("label", "head", "embedding").mapInPandas(nearest_pivot, schema))
+    members = cut(classes.select("label", "ids", "head", "embedding").mapInPandas(nearest_pivot, schema))
     sizes = members.groupBy("label", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
     cells = {label: (p, np.zeros(len(p), dtype=int), np.zeros(len(p))) for label, p in points.items()}
     for r in sizes.filter("cell >= 0").collect():
@@ -143,31 +144,38 @@ def best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInPandas(nearest, f"label {label_type}, head bigint, other bigint, distance double")
 
 
-def steps(vectors: DataFrame, k: int, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Distinct vectors, both tables of block pairs and what the first one gave."""
-    classes = cut(distinct_vectors(vectors.filter("label IS NOT NULL"), k))
-    members, cells = placed(classes, pivots)
+def steps(vectors: DataFrame, k: int, pivots: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Distinct vectors in their cells, both tables of block pairs and what the first one gave."""
+    if pivots is None:
+        pivots = min(max(vectors.count() // BLOCK, 1), PIVOTS)
+    members, cells = placed(distinct_vectors(vectors.filter("label IS NOT NULL"), k), pivots)
     blocks = blocked(members)
     home = home_pairs(blocks)
     near = cut(topk(best(home, k), ["label", "head"], ["distance", "other"], k, "nth").drop("nth"))
-    return classes, home, far_pairs(members, blocks, cells, near, k), near
+    return members, home, far_pairs(members, blocks, cells, near, k), near
 
 
-def neighbours(vectors: DataFrame, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
-    """Exact k nearest of the same class: label, vec_id, other, distance, nth; ties go to the smaller id.
+def neighbour_lists(vectors: DataFrame, k: int = 5, pivots: int | None = None) -> DataFrame:
+    """Exact k nearest of the same class as one list per vector: label, vec_id, near (distance, other); ties go to the smaller id.
 
-    ``vectors``: label, vec_id, embedding. Rows without label or vector have no neighbours; an id that repeats with the same
-    vector counts once. A class of fewer than k + 1 vectors gives what it has.
+    ``vectors``: label, vec_id, embedding. Rows without label or vector have no neighbours and no list; an id that repeats with
+    the same vector counts once. A class of fewer than k + 1 vectors gives what it has.
     """
-    classes, _, far, near = steps(vectors, k, pivots)
+    members, _, far, near = steps(vectors, k, pivots)
     met = topk(near.unionByName(best(far, k)), ["label", "head"], ["distance", "other"], k, "nth").drop("nth")
     # Of a group of equal vectors k ids may be wanted: the nearest groups, each with its smallest ids, are put in order.
-    ids = classes.select("label", F.col("head").alias("other"), F.slice("ids", 1, k).alias("ids"))
+    ids = members.select("label", F.col("head").alias("other"), F.slice("ids", 1, k).alias("ids"))
     groups = met.join(ids, ["label", "other"]).select("label", "head", F.explode("ids").alias("other"), "distance")
     lists = topk(groups, ["label", "head"], ["distance", "other"], k, "nth").groupBy("label", "head").agg(F.collect_list(F.struct("distance", "other")).alias("out"))
-    offers = classes.join(lists, ["label", "head"], "left").select(
+    offers = members.join(lists, ["label", "head"], "left").select(
         "label", "embedding", F.concat(F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("distance"), i.alias("other"))),
                                        F.coalesce("out", F.array().cast("array<struct<distance:double,other:bigint>>"))).alias("offer"))
     rows = vectors.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("embedding")).distinct()
-    own = rows.join(offers, ["label", "embedding"]).withColumn("offer", F.slice(F.sort_array(F.filter("offer", lambda o: o["other"] != F.col("vec_id"))), 1, k))
-    return own.select("label", "vec_id", F.posexplode("offer").alias("nth", "o")).select("label", "vec_id", "o.other", "o.distance", (F.col("nth") + 1).alias("nth"))
+    others = F.filter("offer", lambda o: o["other"] != F.col("vec_id"))
+    return rows.join(offers, ["label", "embedding"]).select("label", "vec_id", F.slice(F.sort_array(others), 1, k).alias("near"))
+
+
+def neighbours(vectors: DataFrame, k: int = 5, pivots: int | None = None) -> DataFrame:
+    """``neighbour_lists`` as rows: label, vec_id, other, distance, nth."""
+    rows = neighbour_lists(vectors, k, pivots).select("label", "vec_id", F.posexplode("near").alias("nth", "o"))
+    return rows.select("label", "vec_id", "o.other", "o.distance", (F.col("nth") + 1).alias("nth"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import PAGE, beside, cut, entity_levels, ranked
-from .nearest import neighbours
+from ..scale import PAGE, beside, entity_levels, ranked
+from .nearest import neighbour_lists
 
 
 def contiguous_folds(rows: DataFrame, k: int = 5) -> DataFrame:
@@ -64,9 +64,9 @@ def smote(vectors: DataFrame, k: int = 5) -> DataFrame:
     # Base vector number i makes the samples i, i + n, i + 2n, ... up to the need of its class.
     times = F.floor((F.col("need") - F.col("rn")) / F.col("n")) + 1
     made = bases.filter("rn <= need").withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
-    near = cut(neighbours(minor.select("label", "vec_id", "embedding"), k))
-    count = near.groupBy("label", "vec_id").agg(F.count("*").alias("near"))
-    chosen = made.join(count, ["label", "vec_id"]).withColumn("nth", (F.pmod(F.col("t"), F.col("near")) + 1).cast("int")).join(near.select("label", "vec_id", "nth", "other"), ["label", "vec_id", "nth"])
+    near = neighbour_lists(minor.select("label", "vec_id", "embedding"), k)
+    nth = (F.pmod(F.col("t"), F.size("near")) + 1).cast("int")
+    chosen = made.join(near.filter(F.size("near") > 0), ["label", "vec_id"]).withColumn("other", F.element_at("near", nth)["other"]).drop("near")
     other = vectors.select(F.col("vec_id").alias("other"), F.col("embedding").alias("_to"))
     weight = F.conv(F.substring(F.md5(F.concat_ws("-", "vec_id", "t")), 1, 4), 16, 10).cast("double") / 65536
     mixed = F.zip_with("embedding", "_to", lambda a, b: a + (b - a) * F.col("w"))

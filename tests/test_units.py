@@ -13,6 +13,7 @@ from boxloom import scale as SC
 from boxloom.functions import bbox as B, normalize as N
 from boxloom.operators import clusters as CL, corrections as C, grouping as G, merge as M, positions as P, relations as R, sequences as SQ
 from boxloom.ml import splits as SP, train as TR, features as FE
+from boxloom.ml.nearest import neighbours
 from boxloom.plans.fixture import doc_type, entities
 from boxloom.plans import workflows as WF
 
@@ -255,7 +256,7 @@ def test_neighbours_brute_force_and_smote_balance(spark):
     rows = [(c, int(c * 1000 + i), [float(v) for v in rng.normal(size=4)]) for c, n in ((0, 30), (1, 12), (2, 7)) for i in range(n)]
     df = spark.createDataFrame(rows, "label int, vec_id bigint, embedding array<double>")
     got = {}
-    for r in SP.neighbours(df, 3).collect():
+    for r in neighbours(df, 3).collect():
         got.setdefault(r.vec_id, []).append((r.nth, r.other))
     for label, vid, vec in rows:
         own = sorted((float(np.linalg.norm(np.array(vec) - np.array(o))), oid) for ol, oid, o in rows if ol == label and oid != vid)[:3]
