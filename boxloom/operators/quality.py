@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import normalize as N
 from ..functions.bbox import Box, errors as box_errors
 from ..functions.scores import quality_band
-from ..scale import PAGE, beside
+from ..scale import PAGE, beside, cut
 from .relations import overlap_pairs, overlap_penalty
 
 # Accepted states and the share of each part in the overall score.
@@ -93,37 +94,58 @@ def quality_scores(items: DataFrame, fields: DataFrame) -> DataFrame:
         "overall", F.col("completeness") * WEIGHTS["completeness"] + F.col("accuracy") * WEIGHTS["accuracy"] + F.col("consistency") * WEIGHTS["consistency"])
 
 
-def _five(c: str, name: str, freq: str = "f") -> list[Column]:
-    """Mean, median, sample deviation, smallest, largest over a (value, count) table; the deviation of one value is 0.
+MIDDLE_BITS = (48, 32, 16, 0)  # each step cuts a bucket of values into at most 65,536
 
-    The moments are sums of whole numbers, so no order of rows changes them.
-    """
-    v, f = F.col(c).cast("decimal(20,0)"), F.col(freq)
-    n, s1, s2 = F.sum(f), F.sum(v * f), F.sum(v * v * f)
-    var = (s2 - s1 * s1 / n) / (n - 1)
-    return [(s1 / n).cast("double").alias(f"{name}_mean"), F.percentile(F.col(c), F.lit(0.5), f).alias(f"{name}_median"),
-            F.when(n > 1, F.sqrt(var.cast("double"))).otherwise(0.0).alias(f"{name}_std"), F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max")]
 
+def medians(counts: DataFrame) -> DataFrame:
+    """measure, median of a table measure, v (whole number), f (how often).
 
-def value_statistics(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """Five figures of a whole-number column; equal values are counted first, so only distinct values meet in one task."""
-    return df.select(value.cast("long").alias("v")).groupBy("v").agg(F.count("*").alias("f")).agg(*_five("v", "v")).select(
-        F.lit(name).alias("measure"), *[F.col(f"v_{k}").cast("double").alias(k) for k in ("mean", "median", "std", "min", "max")])
+    Selection by successive histograms: the bucket that holds the middle rank is found, then the finer bucket inside it. No
+    task ever sees more than the buckets of one step, however many distinct values there are.
+    """
+    total = counts.groupBy("measure").agg(F.sum("f").alias("n"))
+    # Lower and upper middle; they are one for an odd number of values.
+    rank = F.explode(F.array(F.expr("(n + 1) div 2"), F.expr("n div 2 + 1"))).alias("rank")
+    want = total.select("measure", rank, F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("bucket")).distinct()
+    upper = None
+    for bits in MIDDLE_BITS:
+        fine = F.shiftright("v", bits)
+        group = ["measure", *([] if upper is None else ["bucket"])]
+        rows = counts.select("measure", fine.alias("_b"), "f", *([] if upper is None else [F.shiftright("v", upper).alias("bucket")]))
+        met = rows.groupBy(*group, "_b").agg(F.sum("f").alias("f")).join(want if upper is not None else want.drop("bucket"), group)
+        w = W.partitionBy("measure", "rank").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        placed = met.withColumn("below", F.col("below") + F.coalesce(F.sum("f").over(w), F.lit(0)))
+        want = placed.filter((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("below") + F.col("f"))).select("measure", "rank", "below", F.col("_b").alias("bucket"))
+        upper = bits
+    return want.groupBy("measure").agg(F.avg("bucket").alias("median"))
+
+
+def value_statistics(values: DataFrame) -> DataFrame:
+    """Mean, median, sample deviation, smallest and largest per ``measure`` of whole numbers ``v``; nulls are left out, a measure
+    without values has no row.
+
+    Equal values are counted first. The moments are sums of whole numbers around the rounded mean, so no order of rows changes
+    them and squares of large sums do not occur; the deviation of one value is 0.
+    """
+    counts = cut(values.filter("v IS NOT NULL").groupBy("measure", "v").agg(F.count("*").alias("f")))
+    v, f = F.col("v").cast("decimal(20,0)"), F.col("f")
+    first = counts.groupBy("measure").agg(F.sum("f").alias("n"), (F.sum(v * f) / F.sum("f")).alias("m"), F.min("v").cast("double").alias("min"), F.max("v").cast("double").alias("max"))
+    off = v - F.round("m").cast("decimal(20,0)")
+    n = F.first("n")
+    s1, s2 = F.sum(off * f).cast("double"), F.sum((off * off).cast("decimal(38,0)") * f).cast("double")
+    second = counts.join(first.select("measure", "n", "m"), "measure").groupBy("measure").agg(
+        F.when(n > 1, F.sqrt((s2 - s1 * s1 / n) / (n - 1))).otherwise(0.0).alias("std"))
+    return first.join(second, "measure").join(medians(counts), "measure").select("measure", F.col("m").cast("double").alias("mean"), "median", "std", "min", "max")
 
 
 def dataset_statistics(items: DataFrame, fields: DataFrame) -> DataFrame:
     """Confidence (in hundredths), box area, fields per document, text length: mean, median, deviation, range."""
     per_doc = items.select("doc_id").join(fields.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left")
-    parts = [
-        value_statistics(fields, F.round(F.col("confidence_score") * 100), "confidence_cents"),
-        value_statistics(fields, Box.of().area, "area"),
-        value_statistics(per_doc, F.coalesce("n", F.lit(0)), "fields_per_document"),
-        value_statistics(fields, F.length("text_value"), "text_length"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    measured = {"confidence_cents": F.round(F.col("confidence_score") * 100), "area": Box.of().area, "text_length": F.length("text_value")}
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), c.cast("long").alias("v")) for name, c in measured.items()])).alias("m")
+    values = fields.select(pairs).select("m.*").unionByName(
+        per_doc.select(F.lit("fields_per_document").alias("measure"), F.coalesce("n", F.lit(0)).cast("long").alias("v")))
+    return value_statistics(values)
 
 
 def quality_bands(fields: DataFrame) -> DataFrame:
