@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import functions as F, types as T
 
 from ..scale import shared_dir
-from ..streaming import jobs as J
-from .fixture import entities, entities_path, table
+from ..streaming import jobs as J, learning as L
+from ..streaming.changes import ChangeLog, newest
+from .fixture import DOC_TYPE_SQL, doc_type, entities, entities_path, table
+from .q_corrections import CORR_SQL
 from .registry import query
 
 
@@ -71,15 +73,67 @@ def stream_corrections(spark, d):
     source = spark.readStream.schema(boxes.schema).parquet(entities_path(spark, d))
     state = J.correction_state(source)
 
+    schema = T.StructType([*state.schema.fields, T.StructField("v", T.LongType())])
+    log = ChangeLog(spark, f"{path}/changes", schema, ["label"], newest(["label"], ["v"]))
+
     def keep(batch, number):
         """The labels that a batch has changed."""
-        batch.write.mode("overwrite").parquet(f"{path}/changes/v={number}")
+        log.append(batch.withColumn("v", F.lit(number).cast("long")), number)
 
     q = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    changes = spark.read.schema(T.StructType([*state.schema.fields, T.StructField("v", T.IntegerType())])).parquet(f"{path}/changes")
-    last = changes.groupBy("label").agg(F.max_by(F.struct(*[c for c in changes.columns if c not in ("label", "v")]), "v").alias("r")).select("label", "r.*")
-    return last.withColumn("accuracy", F.round("accuracy", 6))
+    return log.read().drop("v").withColumn("accuracy", F.round("accuracy", 6))
+
+
+def box_stream(spark, d):
+    """The box table as a stream of about four batches."""
+    boxes = entities(spark, d)
+    share = max(len(boxes.inputFiles()) // 4, 1)
+    return spark.readStream.schema(boxes.schema).option("maxFilesPerTrigger", share).parquet(entities_path(spark, d))
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LEARNED_SIZES = ", ".join(f"CAST({end}({c}) AS DOUBLE) AS {c}_{end}" for c in L.SIZES for end in ("min", "max"))
+
+
+@query("stream_learning", f"""WITH {CORR_SQL}, lr_h AS (SELECT c.label, e.x, e.y, e.width, e.height, row_number() OVER (PARTITION BY c.label ORDER BY doc_id, entity_seq) AS i FROM corr c JOIN po_entities e USING (doc_id, entity_seq)),
+lr_a AS (SELECT *, least(0.5E0 + i * 0.01E0, 0.99E0) AS acc FROM lr_h), lr_f AS (SELECT *, min(acc) OVER w AS lo, max(acc) OVER w AS hi FROM lr_a WINDOW w AS (PARTITION BY label ORDER BY i ROWS 49 PRECEDING))
+SELECT label, count(*) AS n, round(max(acc), 6) AS accuracy, round(arg_max(lo, i), 6) AS recent_low, round(arg_max(hi, i), 6) AS recent_high,
+ min(i) FILTER (acc >= 0.95E0 OR (i >= 50 AND hi - lo < 0.02E0)) AS stopped_at, count(*) FILTER (acc >= 0.95E0 OR (i >= 50 AND hi - lo < 0.02E0)) = 0 AS active, {LEARNED_SIZES} FROM lr_f GROUP BY label""")
+def stream_learning(spark, d):
+    path = run_dir(spark, d, "learning")
+    state = L.learning(box_stream(spark, d))
+    schema = T.StructType([*state.schema.fields, T.StructField("v", T.LongType())])
+    log = ChangeLog(spark, f"{path}/changes", schema, ["label"], newest(["label"], ["v"]))
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        state.writeStream.outputMode("update").foreachBatch(lambda batch, number: log.append(batch.withColumn("v", F.lit(number).cast("long")), number)).option(
+            "checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    out = log.read().drop("v")
+    for c in ("accuracy", "recent_low", "recent_high"):
+        out = out.withColumn(c, F.round(c, 6))
+    return out
+
+
+@query("stream_readings", f"WITH {CORR_SQL} SELECT label, ocr_original, arg_max(corrected, doc_id * 10000 + entity_seq) AS corrected FROM corr GROUP BY label, ocr_original")
+def stream_readings(spark, d):
+    path = run_dir(spark, d, "readings")
+    J.learn_readings(box_stream(spark, d), f"{path}/table", f"{path}/state", every=2).awaitTermination()
+    return J.readings_log(spark, f"{path}/table").read().select("label", "ocr_original", "corrected")
+
+
+@query("stream_feedback_log", f"""SELECT {DOC_TYPE_SQL} AS doc_type, label, count(*) FILTER (ocr_confidence >= 0.7E0) AS accepted, count(*) FILTER (ocr_confidence < 0.7E0) AS rejected,
+ round(avg(x) FILTER (ocr_confidence >= 0.7E0), 6) AS x, round(avg(y) FILTER (ocr_confidence >= 0.7E0), 6) AS y FROM po_entities GROUP BY ALL""")
+def stream_feedback_log(spark, d):
+    path = run_dir(spark, d, "feedback_log")
+    drops = box_stream(spark, d).withColumn("doc_type", doc_type()).withColumn("accepted", F.col("ocr_confidence") >= 0.7)
+    J.log_feedback(drops, f"{path}/table", f"{path}/state", every=2).awaitTermination()
+    out = J.accepted_positions(J.accepted_log(spark, f"{path}/table"))
+    return out.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
 
 
 @query("stream_feedback", """WITH b AS (SELECT concat(CAST(doc_id AS VARCHAR), '-', CAST(entity_seq AS VARCHAR)) AS id, text, ocr_confidence AS confidence, ocr_original, was_corrected FROM po_entities)

@@ -13,6 +13,7 @@ from .. import schema as X
 from ..operators.corrections import accuracy, corrections_v1
 from ..operators.positions import position_ranges
 from ..operators.merge import upsert
+from .changes import ChangeLog, newest
 
 WATERMARK = "10 minutes"
 
@@ -73,20 +74,70 @@ def reviews(drops: DataFrame) -> DataFrame:
         "feedback_timestamp", F.col("a.annotation_id").alias("id"), F.col("a.text_value").alias("text"), F.col("a.confidence_score").alias("confidence"))
 
 
-def merge_feedback(drops: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Write the latest review per annotation of each batch as ``batch=n`` of a change table.
+def feedback_changes(spark: SparkSession, table: str, every: int = 16) -> ChangeLog:
+    """Latest review per annotation (by time, then by batch)."""
+    return ChangeLog(spark, table, "id string, text string, confidence double, at string, batch bigint", ["id"], newest(["id"], ["at", "batch"]), every)
 
-    The base table is not rewritten per batch; a batch that is run again overwrites its own folder.
-    """
+
+def merge_feedback(drops: DataFrame, table: str, checkpoint: str, every: int = 16) -> StreamingQuery:
+    """Add the reviews of each batch to a change log; the base table is not rewritten per batch."""
     def step(batch: DataFrame, number: int) -> None:
-        latest = reviews(batch).groupBy("id").agg(F.max_by(F.struct("text", "confidence"), "feedback_timestamp").alias("r"), F.max("feedback_timestamp").alias("at"))
-        latest.select("id", "r.text", "r.confidence", "at").write.mode("overwrite").parquet(f"{table}/batch={number}")
+        rows = reviews(batch).select("id", "text", "confidence", F.col("feedback_timestamp").alias("at"), F.lit(number).cast("long").alias("batch"))
+        feedback_changes(batch.sparkSession, table, every).append(rows, number)
 
     return drops.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(base: DataFrame, table: str) -> DataFrame:
-    """The base with all changes merged in; the latest review (by time, then by batch) wins."""
-    schema = "id string, text string, confidence double, at string, batch int"
-    changes = base.sparkSession.read.schema(schema).parquet(table)
+    """The base with all changes merged in."""
+    changes = feedback_changes(base.sparkSession, table).read()
     return upsert(base, changes, "id", F.struct("at", "batch"), ["text", "confidence"]).drop("source")
+
+
+def accepted_log(spark: SparkSession, table: str, every: int = 16) -> ChangeLog:
+    """Feedback per document type and label as sums: accepted, rejected, and the corners of the accepted ones.
+
+    Corners are whole pixels, so their sums do not depend on the order of batches.
+    """
+    keys, sums = ["doc_type", "label"], ["accepted", "rejected", "x", "y"]
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+    return ChangeLog(spark, table, "doc_type string, label string, accepted bigint, rejected bigint, x bigint, y bigint", keys, merge, every)
+
+
+def log_feedback(feedback: DataFrame, table: str, checkpoint: str, every: int = 16) -> StreamingQuery:
+    """Add the feedback of each batch (doc_type, label, accepted, x, y) to its log."""
+    def step(batch: DataFrame, number: int) -> None:
+        yes = F.col("accepted")
+        corner = [F.when(yes, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("x", "y")]
+        rows = batch.select("doc_type", "label", yes.cast("long").alias("accepted"), (~yes).cast("long").alias("rejected"), *corner)
+        accepted_log(batch.sparkSession, table, every).append(rows, number)
+
+    return feedback.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def accepted_positions(log: ChangeLog) -> DataFrame:
+    """Accepted and rejected feedback and the mean corner of the accepted one, from the log."""
+    mean = [(F.col(c) / F.nullif("accepted", F.lit(0))).alias(c) for c in ("x", "y")]
+    return log.read().select("doc_type", "label", "accepted", "rejected", *mean)
+
+
+READING_ORDER = ["doc_id", "page_number", "entity_seq"]
+
+
+def readings_log(spark: SparkSession, table: str, every: int = 16) -> ChangeLog:
+    """Learned reading per label and original; the last correction wins."""
+    schema = "label string, ocr_original string, corrected string, doc_id bigint, page_number int, entity_seq bigint"
+    return ChangeLog(spark, table, schema, ["label", "ocr_original"], newest(["label", "ocr_original"], READING_ORDER), every)
+
+
+def learn_readings(boxes: DataFrame, table: str, checkpoint: str, every: int = 16) -> StreamingQuery:
+    """Add the corrections of each batch to the log of learned readings."""
+    def step(batch: DataFrame, number: int) -> None:
+        log = readings_log(batch.sparkSession, table, every)
+        rows = corrections_v1(batch).select("label", "ocr_original", "corrected", "doc_id", "page_number", F.col("entity_seq").cast("long").alias("entity_seq"))
+        log.append(rows, number)
+
+    return boxes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
