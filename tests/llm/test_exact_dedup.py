@@ -56,3 +56,25 @@ def test_chunks_are_the_text(spark):
 
 def test_empty(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_recipes_decide(spark):
+    """Forged names and digests make texts of as many chunks equal: nothing beside the recipe tells them apart."""
+    df = spark.createDataFrame([(1, "one text"), (2, "another"), (3, ""), (4, "w" * 9000)], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(df, chunk_hash=lambda c: F.lit(0).cast("long"), digest=lambda c: F.lit(b"x")).collect()}
+    assert got == {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (4, 1)}
+    told = exact_dedup(df, chunk_hash=lambda c: F.lit(0).cast("long")).filter("group_size > 1")
+    assert told.count() == 0
+
+
+def test_no_text_is_shuffled(spark):
+    """Chunks are cut where the text is read: above the first checkpoint no plan holds a text."""
+    df = spark.createDataFrame(rows(), "doc_id long, text string")
+    plan = exact_dedup(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert " text#" not in plan and "chunk" in plan
+
+
+def test_large_group_is_spread(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the same text").alias("text"))
+    got = exact_dedup(df)
+    assert got.filter("keep_id = 2999 AND group_size = 3000").count() == 3000 and got.filter("kept").count() == 1
