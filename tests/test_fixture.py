@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from boxloom.operators import convert
 from boxloom.plans import fixture
 from boxloom.scale import PAGE
 
@@ -24,3 +25,8 @@ def test_heavy_orders_give_the_same_boxes(spark, sf, tmp_path, monkeypatch):
     boxes = fixture.entities(spark, str(tmp_path))
     assert "Bucketed: true" not in boxes.groupBy("doc_id").count()._jdf.queryExecution().executedPlan().toString()
     assert sorted(boxes.collect()) == want and len(want) > 35458
+
+
+def test_places_on_a_page_need_no_shuffle(spark, sf):
+    docs = convert.page_documents(convert.entity_rows(fixture.entities(spark, sf)))
+    assert "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
