@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from boxloom.ml.splits import stratified_folds
-from boxloom.operators import clusters as CL, grouping as G
+from boxloom.operators import clusters as CL, grouping as G, templates as TP
 from boxloom.plans.fixture import entities
+from boxloom.plans.q_templates import typed
 from boxloom.scale import ranked
 
 
@@ -46,3 +47,7 @@ def test_short_and_crowded_pages_agree(spark, sf):
         want = sorted(make(512).collect(), key=str)
         assert sorted(make(20).collect(), key=str) == want and sorted(make(0).collect(), key=str) == want and want
     assert all(tuple(a) == pytest.approx(tuple(b)) for a, b in zip(sorted(CL.cohesion(boxes, 100).collect()), sorted(CL.cohesion(boxes, 100, paired=3).collect()), strict=True))
+
+
+def test_templates_are_learned_without_moving_boxes(spark, sf):
+    assert "hashpartitioning(doc_id" not in unbroadcast(spark, lambda: TP.learn(typed(spark, sf)).rows)
