@@ -37,6 +37,7 @@ class ChangeLog:
     keys: Sequence[str]
     merge: Callable[[DataFrame], DataFrame]
     every: int = 16
+    merged: bool = True  # whether a batch is merged before it is written: not where it would be moved and hardly shrink
 
     def _files(self):
         jvm = self.spark.sparkContext._jvm
@@ -62,12 +63,16 @@ class ChangeLog:
     def _rows(self, folders: Sequence[str]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
 
+    def all_rows(self) -> DataFrame:
+        """What is live, not merged."""
+        return self._rows(self.live())
+
     def read(self) -> DataFrame:
-        return self.merge(self._rows(self.live()))
+        return self.merge(self.all_rows())
 
     def append(self, rows: DataFrame, number: int) -> None:
         """Write one batch; every ``every`` batches the log is compacted."""
-        self.merge(rows).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        (self.merge(rows) if self.merged else rows).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/batch={number}")
         if sum("/batch=" in f for f in self.live()) >= self.every:
             self.compact()
 
@@ -79,7 +84,7 @@ class ChangeLog:
         last, before = have["batch"][-1], have["base"][-1:]
         if before and before[0] >= last:
             return
-        self.read().repartitionByRange(*self.keys).sortWithinPartitions(*self.keys).write.mode("overwrite").parquet(f"{self.path}/base={last}")
+        self.read().repartitionByRange(*self.keys).sortWithinPartitions(*self.keys).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/base={last}")
         jvm, root, fs = self._files()
         done = before[0] if before else -1
         for kind, numbers in have.items():

@@ -70,28 +70,34 @@ def feedback_source(spark: SparkSession, path: str, archive: str | None = None,
 
 def reviews(drops: DataFrame) -> DataFrame:
     """One row per reviewed annotation; annotations without an id are dropped here and counted by the caller."""
-    return drops.select("feedback_timestamp", F.explode("reviewed_annotations").alias("a")).filter(F.col("a.annotation_id").isNotNull()).select(
-        "feedback_timestamp", F.col("a.annotation_id").alias("id"), F.col("a.text_value").alias("text"), F.col("a.confidence_score").alias("confidence"))
+    return drops.select("document_id", "feedback_timestamp", F.explode("reviewed_annotations").alias("a")).filter(F.col("a.annotation_id").isNotNull()).select(
+        "document_id", "feedback_timestamp", F.col("a.annotation_id").alias("id"), F.col("a.text_value").alias("text"), F.col("a.confidence_score").alias("confidence"))
 
 
 def feedback_changes(spark: SparkSession, table: str, every: int = 16) -> ChangeLog:
-    """Latest review per annotation (by time, then by batch)."""
-    return ChangeLog(spark, table, "id string, text string, confidence double, at string, batch bigint", ["id"], newest(["id"], ["at", "batch"]), every)
+    """Latest review per annotation of a document (by time, then by batch). Most reviews are of annotations of their own, so a
+    batch is written as it comes."""
+    schema, keys = "document_id string, id string, text string, confidence double, at string, batch bigint", ["document_id", "id"]
+    return ChangeLog(spark, table, schema, keys, newest(keys, ["at", "batch"]), every, merged=False)
 
 
 def merge_feedback(drops: DataFrame, table: str, checkpoint: str, every: int = 16) -> StreamingQuery:
     """Add the reviews of each batch to a change log; the base table is not rewritten per batch."""
     def step(batch: DataFrame, number: int) -> None:
-        rows = reviews(batch).select("id", "text", "confidence", F.col("feedback_timestamp").alias("at"), F.lit(number).cast("long").alias("batch"))
+        rows = reviews(batch).select("document_id", "id", "text", "confidence", F.col("feedback_timestamp").alias("at"), F.lit(number).cast("long").alias("batch"))
         feedback_changes(batch.sparkSession, table, every).append(rows, number)
 
     return drops.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(base: DataFrame, table: str) -> DataFrame:
-    """The base with all changes merged in."""
-    changes = feedback_changes(base.sparkSession, table).read()
-    return upsert(base, changes, "id", F.struct("at", "batch"), ["text", "confidence"]).drop("source")
+def current(base: DataFrame, table: str, home: str) -> DataFrame:
+    """The base with all changes merged in; a review changes the annotation of its document (``home``) only.
+
+    The changes go to where the rows of their document lie, so a base in buckets by ``home`` is not moved.
+    """
+    log = feedback_changes(base.sparkSession, table)
+    rows = log.all_rows().withColumn(home, F.col("document_id").cast(base.schema[home].dataType)).repartition(base.rdd.getNumPartitions(), home)
+    return upsert(base, rows, [home, "id"], F.struct("at", "batch"), ["text", "confidence"]).drop("source")
 
 
 def accepted_log(spark: SparkSession, table: str, every: int = 16) -> ChangeLog:

@@ -51,3 +51,8 @@ def test_short_and_crowded_pages_agree(spark, sf):
 
 def test_templates_are_learned_without_moving_boxes(spark, sf):
     assert "hashpartitioning(doc_id" not in unbroadcast(spark, lambda: TP.learn(typed(spark, sf)).rows)
+
+
+def test_reviews_go_to_the_boxes(spark, sf):
+    # One shuffle: the reviews. The boxes they change stay where they lie.
+    assert unbroadcast(spark, lambda: entry.queries()["stream_feedback"](spark, sf)).count("Exchange") == 1
