@@ -68,3 +68,11 @@ def test_no_templates_and_no_pages(spark):
     assert TP.match(empty, TP.stored(TP.learn(some))).collect() == []
     with pytest.raises(ValueError):
         TP.match(some, TP.stored(TP.learn(some)), 0.2)
+
+
+def test_no_table_as_long_as_the_boxes_is_cut(spark, monkeypatch):
+    boxes = spark.createDataFrame([(d, 1, s, label, "12", 200 * s, 200 * s, 90, 30, "p") for d in range(200) for s, label in enumerate("abcdefgh")], SCHEMA)
+    known, rows = TP.stored(TP.learn(boxes)), []
+    monkeypatch.setattr(TP, "cut", lambda df, cut=TP.cut: rows.append((out := cut(df)).count()) or out)
+    assert TP.match(boxes, known).count() == 200
+    assert rows and max(rows) < 200
