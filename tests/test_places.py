@@ -24,7 +24,7 @@ def unbroadcast(spark, make):
 
 
 def test_pages_are_joined_where_they_lie(spark, sf):
-    for name in ("relation_boost", "v2_repair", "row_group_first_match", "match_layout_template", "detect_tables_gap", "clusters_dbscan", "cluster_cohesion", "layout_summary", "entity_relation_features"):
+    for name in ("relation_boost", "v2_repair", "row_group_first_match", "match_layout_template", "detect_tables_gap", "clusters_dbscan", "cluster_cohesion", "layout_summary", "entity_relation_features", "merge_predictions"):
         assert "Exchange" not in unbroadcast(spark, lambda name=name: entry.queries()[name](spark, sf)), name
 
 
