@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from boxloom.ml.splits import stratified_folds
-from boxloom.operators import clusters as CL, grouping as G, templates as TP
+from boxloom.operators import clusters as CL, graph as GR, grouping as G, templates as TP
 from boxloom.plans.fixture import entities
 from boxloom.plans.q_templates import typed
 from boxloom.scale import ranked
@@ -24,7 +24,7 @@ def unbroadcast(spark, make):
 
 
 def test_pages_are_joined_where_they_lie(spark, sf):
-    for name in ("relation_boost", "v2_repair", "row_group_first_match", "match_layout_template", "detect_tables_gap", "clusters_dbscan", "cluster_cohesion", "layout_summary", "entity_relation_features", "merge_predictions"):
+    for name in ("relation_boost", "v2_repair", "row_group_first_match", "match_layout_template", "detect_tables_gap", "clusters_dbscan", "cluster_cohesion", "layout_summary", "entity_relation_features", "merge_predictions", "graph_features"):
         assert "Exchange" not in unbroadcast(spark, lambda name=name: entry.queries()[name](spark, sf)), name
 
 
@@ -56,3 +56,11 @@ def test_templates_are_learned_without_moving_boxes(spark, sf):
 def test_reviews_go_to_the_boxes(spark, sf):
     # One shuffle: the reviews. The boxes they change stay where they lie.
     assert unbroadcast(spark, lambda: entry.queries()["stream_feedback"](spark, sf)).count("Exchange") == 1
+
+
+def test_graphs_of_short_and_crowded_pages(spark):
+    boxes = spark.range(90).selectExpr("id % 3 AS doc_id", "1 AS page_number", "id AS entity_seq", "'a' AS label", "'t' AS text", "(id * 37) % 500 AS x", "(id * 91) % 700 AS y", "id % 20 AS width", "id % 9 AS height")
+    boxes = boxes.unionByName(boxes.limit(1).selectExpr("7L AS doc_id", "page_number", "entity_seq", "label", "text", "x", "y", "width", "height"))  # alone on its page
+    names = ["doc_id", "nodes", "edges", "top_nodes", "components", "largest", "density", "avg_centrality"]
+    rows = [{tuple(r[:-1]): r[-1] for r in GR.graph_features(boxes, 120, most).select(*names, F.round("avg_clustering", 9)).collect()} for most in (512, 5)]
+    assert rows[0] == rows[1] and len(rows[0]) == 4
