@@ -132,8 +132,8 @@ def replace_learned(texts: DataFrame, learned: DataFrame, column: str, out: str)
 def correct_text(boxes: DataFrame, learned: DataFrame) -> DataFrame:
     """Fix confusions of known labels, then order numbers, then apply the learned readings of the label."""
     known = learned.select("label").distinct().withColumn("_known", F.lit(True))
-    fixed = fix_common_ocr(F.col("ocr_original"))
-    fixed = F.when(F.col("label") == "Order number", fix_order_number(fixed)).otherwise(fixed)
+    once = F.array(fix_common_ocr(F.col("ocr_original")))  # made once for all that looks at it
+    fixed = F.element_at(F.transform(once, lambda t: F.when(F.col("label") == "Order number", fix_order_number(t)).otherwise(t)), 1)
     marked = boxes.join(checked_broadcast(known), "label", "left")
     prepared = marked.withColumn("fixed", F.when(F.col("_known"), fixed).otherwise(F.col("ocr_original"))).drop("_known")
     return replace_learned(prepared, learned, "fixed", "corrected")

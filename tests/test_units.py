@@ -158,6 +158,16 @@ def test_fix_common_ocr_brute_force(spark):
         assert r.f == want
 
 
+def test_readings_are_fixed_once(spark, monkeypatch):
+    """The rules stand once in the plan of ``correct_text``, not once for every place that looks at the result."""
+    boxes = spark.createDataFrame([("Order number", "45O000000l"), ("A", "B1")], "label string, ocr_original string")
+    learned = spark.createDataFrame([("A", "x", "y"), ("Order number", "x", "y")], "label string, ocr_original string, corrected string")
+    monkeypatch.setattr(C, "replace_learned", lambda texts, *_: texts)
+    got = C.correct_text(boxes, learned).select("label", "fixed")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == sum(map(len, N.CONFUSIONS.values()))
+    assert sorted(map(tuple, got.collect())) == [("A", "81"), ("Order number", "4500000001")]
+
+
 def test_learned_replacements_brute_force(spark):
     rng = random.Random(2)
     learned = {("A", "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))): str(i) for i in range(12)}
