@@ -281,9 +281,9 @@ def suggest_label_rules(spark, d):
 PROB_SQL = f"""{RANGES_SQL}, pb AS (SELECT doc_id, entity_seq, label, score / sum(score) OVER (PARTITION BY doc_id, entity_seq) AS p FROM sc WHERE score > 0)"""
 
 
-def label_probs(spark, d):
+def label_probs(spark, d, **also):
     e = typed(spark, d)
-    return P.label_probabilities(e, P.position_ranges(e.filter("was_corrected"), ["doc_type", "label"]))
+    return P.label_probabilities(e, P.position_ranges(e.filter("was_corrected"), ["doc_type", "label"]), also=also)
 
 
 @query("alternatives", f"""WITH {PROB_SQL} SELECT doc_id, entity_seq, label, round(p, 8) AS p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_seq ORDER BY p DESC, label) AS rn FROM pb) WHERE rn BETWEEN 2 AND 4 AND p > 0.1E0""")
@@ -295,7 +295,7 @@ def alternatives(spark, d):
 u AS (SELECT e.doc_id, e.entity_seq, round((1 - ocr_confidence) * 0.5E0 + h * 0.5E0, 9) AS uncertainty FROM po_entities e JOIN en USING (doc_id, entity_seq))
 SELECT * FROM u ORDER BY uncertainty DESC, doc_id, entity_seq LIMIT 10""")
 def active_learning_topk(spark, d):
-    return K.active_learning(label_probs(spark, d).withColumn("confidence", F.col("ocr_confidence"))).select(*KEY, "uncertainty")
+    return K.active_learning(label_probs(spark, d, entropy=K.entropy).withColumn("confidence", F.col("ocr_confidence"))).select(*KEY, "uncertainty")
 
 
 @query("reading_order", "SELECT doc_id, entity_seq, row_number() OVER (PARTITION BY doc_id ORDER BY y, x, entity_seq) AS place FROM po_entities")
