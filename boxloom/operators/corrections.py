@@ -139,16 +139,9 @@ def correct_text(boxes: DataFrame, learned: DataFrame) -> DataFrame:
     return replace_learned(prepared, learned, "fixed", "corrected")
 
 
-def correction_confidence(boxes: DataFrame, learned: DataFrame, progress: DataFrame) -> DataFrame:
-    """0.3 OCR + 0.3 position + 0.2 pattern + 0.2 history (0.2 / 0.3 / 0.2 / 0.4 once the label is above 0.9).
-
-    ``boxes`` carries ocr_confidence, position_score, ocr_original, corrected. Pattern: 0.9 for a learned result, 0.8 for
-    digits of a numeric label, else 0.5. History: 0.9 when exactly this change was learned, else 0.5.
-    """
-    results = learned.select("label", "corrected").distinct().withColumn("_known", F.lit(True))
-    changes = learned.select("label", "ocr_original", "corrected").withColumn("_same", F.lit(True))
-    state = checked_broadcast(progress.select("label", "accuracy"))
-    joined = boxes.join(results, ["label", "corrected"], "left").join(changes, ["label", "ocr_original", "corrected"], "left").join(state, "label", "left")
+def _confidence(marked: DataFrame, progress: DataFrame) -> DataFrame:
+    """Confidence of rows that carry ``_known`` (the result was learned) and ``_same`` (exactly this change was)."""
+    joined = marked.join(checked_broadcast(progress.select("label", "accuracy")), "label", "left")
     pattern = F.when(F.col("_known"), 0.9).when(F.col("corrected").rlike("^[0-9]+$") & F.col("numeric_label"), 0.8).otherwise(0.5)
     history = F.when(F.col("_same"), 0.9).otherwise(0.5)
     late = F.coalesce(F.col("accuracy") > 0.9, F.lit(False))
@@ -160,6 +153,31 @@ def correction_confidence(boxes: DataFrame, learned: DataFrame, progress: DataFr
     return out.withColumn("needs_review", F.col("confidence") < 0.8).drop("_known", "_same", "accuracy")
 
 
+def correction_confidence(boxes: DataFrame, learned: DataFrame, progress: DataFrame) -> DataFrame:
+    """0.3 OCR + 0.3 position + 0.2 pattern + 0.2 history (0.2 / 0.3 / 0.2 / 0.4 once the label is above 0.9).
+
+    ``boxes`` carries ocr_confidence, position_score, ocr_original, corrected. Pattern: 0.9 for a learned result, 0.8 for
+    digits of a numeric label, else 0.5. History: 0.9 when exactly this change was learned, else 0.5.
+    """
+    results = learned.select("label", "corrected").distinct().withColumn("_known", F.lit(True))
+    changes = learned.select("label", "ocr_original", "corrected").withColumn("_same", F.lit(True))
+    return _confidence(boxes.join(results, ["label", "corrected"], "left").join(changes, ["label", "ocr_original", "corrected"], "left"), progress)
+
+
+def learned_confidence(boxes: DataFrame, learned: DataFrame, progress: DataFrame) -> DataFrame:
+    """Put the learned text of each reading (else the reading) in ``corrected`` and add its ``correction_confidence``.
+
+    A replaced reading is a learned change with a learned result; one that stays is no change, and its result is known if
+    some reading of the label leads to it. So one table of readings answers all three, and the boxes are dealt once.
+    """
+    changes = learned.select("label", "ocr_original", "corrected", F.lit(False).alias("_result"))
+    results = learned.select("label", F.col("corrected").alias("ocr_original"), F.lit(None).cast("string").alias("corrected"), F.lit(True).alias("_result"))
+    readings = changes.unionByName(results).groupBy("label", "ocr_original").agg(F.max("corrected").alias("corrected"), F.bool_or("_result").alias("_result"))
+    met = boxes.join(readings, ["label", "ocr_original"], "left").withColumn("_same", F.col("corrected").isNotNull())
+    marked = met.withColumn("_known", F.col("_same") | F.coalesce("_result", F.lit(False))).drop("_result")
+    return _confidence(marked.withColumn("corrected", F.coalesce("corrected", "ocr_original")), progress)
+
+
 def resolve_text(boxes: DataFrame) -> DataFrame:
     """Keep a user correction, else a learned text above 0.8, else the OCR text.
 
