@@ -5,7 +5,8 @@ compared once. Pivots (the smallest hashes, one for every ``BLOCK`` vectors and
 cells. A vector first meets its own cell; the k-th distance found there is its radius. It then visits only the cells whose
 lower bound is within the radius: by the triangle inequality (distance to the other pivot less that cell's largest member
 distance) and by the plane half way between the pivots. Vectors meet in blocks of about ``BLOCK``, keyed by both block
-numbers, so a full cell is many tasks.
+numbers, so a full cell is many tasks. Visitors are sent in pieces of ``PIECE`` at most, and a task holds one Arrow batch and
+one matrix of distances, so its memory doesn't grow with the cells or the vectors.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..scale import cut, topk
 
 BLOCK = 512
+PIECE = 2048  # vectors that visit a block together, at most
 PIVOTS = 1024
 SLACK = 1e-6  # rounding room of the matrix distances; what is inside it is measured again by differences
 MEMBER = "head: bigint, embedding: array<double>, cell: int, far: double"
@@ -73,6 +75,34 @@ def distances(a, b):
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
+def matrix_of(vectors):
+    """The vectors of an Arrow list column as one matrix."""
+    import numpy as np
+
+    ends = vectors.offsets.to_numpy()
+    width = np.diff(ends)
+    if len(width) and (width != width[0]).any():
+        raise ValueError("vectors of one class differ in length")
+    return vectors.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]].reshape(len(width), -1)
+
+
+def side_of(column, i: int):
+    """Ids and matrix of the ``i``-th list of members."""
+    a, b = column.offsets[i].as_py(), column.offsets[i + 1].as_py()
+    rows = column.values.slice(a, b - a)
+    return rows.field("head").to_numpy(), matrix_of(rows.field("embedding"))
+
+
+def labels_of(column):
+    """Row numbers of each label of an Arrow column."""
+    import numpy as np
+
+    coded = column.dictionary_encode()
+    code = coded.indices.to_numpy()
+    for n, label in enumerate(coded.dictionary.to_pylist()):
+        yield np.flatnonzero(code == n), label
+
+
 def blocked(members: DataFrame) -> DataFrame:
     row = F.struct("head", "embedding", "cell", "far")
     return members.groupBy("label", "cell", "blk", "blocks").agg(F.sort_array(F.collect_list(row)).alias("rows"))
@@ -92,28 +122,33 @@ def far_pairs(members: DataFrame, blocks: DataFrame, cells: dict, near: DataFram
 
     def visits(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for label, part in batch.groupby("label", dropna=False):
+            names = ["head", "embedding", "cell", "far"]
+            member = pa.StructArray.from_arrays([batch.column(c) for c in names], names)
+            own_cell, far, reach = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "far", "reach"))
+            for index, label in labels_of(batch.column("label")):
                 points, counts, radii = cells[label]
-                rows, own, far = np.array(part["embedding"].tolist(), dtype=float), part["cell"].to_numpy(), part["far"].to_numpy()
-                gap = distances(rows, points)
-                apart = distances(points, points)[own]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = np.where(apart > 0, (gap ** 2 - far[:, None] ** 2) / (2 * apart), 0.0)
-                room = SLACK * (1 + np.abs(gap))
-                meets = np.maximum(gap - radii[None, :], plane) <= part["reach"].to_numpy()[:, None] + room
-                meets[np.arange(len(rows)), own] = False
-                meets[:, counts == 0] = False
-                for j in np.flatnonzero(meets.any(0)):
-                    hit = np.flatnonzero(meets[:, j])
-                    left = [{"head": int(part["head"].iat[i]), "embedding": rows[i], "cell": int(own[i]), "far": float(far[i])} for i in hit]
-                    out.extend((label, int(j), b, left) for b in range(counts[j]))
-            yield pd.DataFrame(out, columns=["label", "cell", "blk", "left"])
-
-    sent = known.mapInPandas(visits, f"label {label_type}, cell int, blk int, left array<struct<{MEMBER}>>")
+                between = distances(points, points)
+                for at in range(0, len(index), PIECE):
+                    piece = index[at:at + PIECE]
+                    rows, own = matrix_of(batch.column("embedding").take(pa.array(piece))), own_cell[piece]
+                    gap, apart = distances(rows, points), between[own]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        plane = np.where(apart > 0, (gap ** 2 - far[piece][:, None] ** 2) / (2 * apart), 0.0)
+                    room = SLACK * (1 + np.abs(gap))
+                    meets = np.maximum(gap - radii[None, :], plane) <= reach[piece][:, None] + room
+                    meets[np.arange(len(rows)), own] = False
+                    meets[:, counts == 0] = False
+                    for j in np.flatnonzero(meets.any(0)):
+                        left = member.take(pa.array(piece[meets[:, j]]))
+                        one = pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), left)
+                        for b in range(counts[j]):
+                            yield pa.RecordBatch.from_arrays(
+                                [batch.column("label").take(pa.array(piece[:1])), pa.array([j], pa.int32()), pa.array([b], pa.int32()), one], ["label", "cell", "blk", "left"])
+
+    sent = known.mapInArrow(visits, f"label {label_type}, cell int, blk int, left array<struct<{MEMBER}>>")
     return sent.join(blocks.select("label", "cell", "blk", F.col("rows").alias("right")), ["label", "cell", "blk"]).select("label", "left", "right")
 
 
@@ -122,26 +157,27 @@ def best(pairs: DataFrame, k: int) -> DataFrame:
 
     def nearest(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for label, left, right in zip(batch["label"], batch["left"], batch["right"]):
-                a, b = (np.array([r["embedding"] for r in side], dtype=float) for side in (left, right))
-                ids = np.array([r["head"] for r in right])
+            label, left, right = (batch.column(c) for c in ("label", "left", "right"))
+            for i in range(batch.num_rows):
+                (heads, a), (ids, b) = side_of(left, i), side_of(right, i)
                 gap = distances(a, b)
                 room = SLACK * (1 + np.sqrt(max((a * a).sum(1).max(), (b * b).sum(1).max())))
-                for i, row in enumerate(left):
-                    gap[i, ids == row["head"]] = np.inf
-                    limit = np.partition(gap[i], k - 1)[k - 1] if len(ids) > k else np.inf
-                    found = np.flatnonzero((gap[i] <= limit + 2 * room) & np.isfinite(gap[i]))
-                    exact = np.sqrt(((b[found] - a[i]) ** 2).sum(1))
-                    order = np.lexsort((ids[found], exact))[:k]
-                    out.extend((label, int(row["head"]), int(ids[found[j]]), float(exact[j])) for j in order)
-            yield pd.DataFrame(out, columns=["label", "head", "other", "distance"])
+                gap[heads[:, None] == ids] = np.inf
+                limit = np.partition(gap, k - 1, axis=1)[:, k - 1:k] if len(ids) > k else np.inf
+                row, found = np.nonzero((gap <= limit + 2 * room) & np.isfinite(gap))
+                exact = np.sqrt(((b[found] - a[row]) ** 2).sum(1))
+                order = np.lexsort((ids[found], exact, row))
+                row, found, exact = row[order], found[order], exact[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, found, exact = row[keep], found[keep], exact[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [label.take(pa.array(np.full(len(row), i))), pa.array(heads[row]), pa.array(ids[found]), pa.array(exact)], ["label", "head", "other", "distance"])
 
     label_type = pairs.schema["label"].dataType.simpleString()
-    return pairs.mapInPandas(nearest, f"label {label_type}, head bigint, other bigint, distance double")
+    return pairs.mapInArrow(nearest, f"label {label_type}, head bigint, other bigint, distance double")
 
 
 def steps(vectors: DataFrame, k: int, pivots: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -51,3 +51,13 @@ def test_comparisons_grow_slower_than_pairs(spark):
         work[n] = home.unionByName(far).agg(F.sum(F.size("left") * F.size("right").cast("long"))).first()[0]
     assert work[4000] < 0.1 * 4000 ** 2
     assert work[4000] < 8 * work[1000]
+
+
+def test_visitors_come_in_bounded_pieces(spark, monkeypatch):
+    """What a task sends at once grows neither with the batch nor with the cells met."""
+    monkeypatch.setattr(NN, "PIECE", 16, raising=False)
+    rng = np.random.default_rng(8)
+    rows = [(c, c * 1000 + i, [float(v) for v in rng.normal(size=24)]) for c in (0, 1) for i in range(300)]
+    _, _, far, _ = NN.steps(spark.createDataFrame(rows, SCHEMA).coalesce(1), 5, 6)
+    assert far.agg(F.max(F.size("left"))).first()[0] <= 16
+    assert found(spark, rows, 5, 6) == brute(rows, 5)
