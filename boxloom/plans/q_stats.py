@@ -56,8 +56,7 @@ def label_sequences(spark, d):
 @query("predict_relations", f"""WITH {SEQ_SQL}, bst AS (SELECT boxes, sequence, n, row_number() OVER (PARTITION BY boxes ORDER BY n DESC, sequence DESC) AS rn FROM ls)
 SELECT doc_id, row_no, bst.sequence AS predicted, least(bst.n / 10, 1.0E0) AS confidence FROM sq JOIN bst ON sq.boxes = bst.boxes AND rn = 1""")
 def predict_relations(spark, d):
-    e = entities(spark, d)
-    return SQ.predict_sequences(e, SQ.label_sequences(e)).drop("page_number")
+    return SQ.predict_own_sequences(entities(spark, d)).drop("page_number")
 
 
 @query("cooccurrence", """WITH b AS (SELECT doc_id, CAST(floor((y + height / 2) / 30) AS BIGINT) AS bin, entity_seq, label FROM po_entities)
