@@ -164,12 +164,18 @@ def correction_confidence(boxes: DataFrame, learned: DataFrame, progress: DataFr
     return _confidence(boxes.join(results, ["label", "corrected"], "left").join(changes, ["label", "ocr_original", "corrected"], "left"), progress)
 
 
-def learned_confidence(boxes: DataFrame, learned: DataFrame, progress: DataFrame) -> DataFrame:
+def learned_confidence(boxes: DataFrame, learned: DataFrame, progress: DataFrame, replaced: bool = False) -> DataFrame:
     """Put the learned text of each reading (else the reading) in ``corrected`` and add its ``correction_confidence``.
 
     A replaced reading is a learned change with a learned result; one that stays is no change, and its result is known if
     some reading of the label leads to it. So one table of readings answers all three, and the boxes are dealt once.
+    ``replaced``: only replaced readings get a confidence (the others null), and the learned table is that table.
     """
+    if replaced:
+        met = boxes.join(learned.select("label", "ocr_original", "corrected"), ["label", "ocr_original"], "left")
+        marked = met.withColumns({c: F.col("corrected").isNotNull() for c in ("_same", "_known", "_put")})
+        out = _confidence(marked.withColumn("corrected", F.coalesce("corrected", "ocr_original")), progress)
+        return out.withColumns({c: F.when(F.col("_put"), F.col(c)) for c in ("confidence", "needs_review")}).drop("_put")
     changes = learned.select("label", "ocr_original", "corrected", F.lit(False).alias("_result"))
     results = learned.select("label", F.col("corrected").alias("ocr_original"), F.lit(None).cast("string").alias("corrected"), F.lit(True).alias("_result"))
     readings = changes.unionByName(results).groupBy("label", "ocr_original").agg(F.max("corrected").alias("corrected"), F.bool_or("_result").alias("_result"))

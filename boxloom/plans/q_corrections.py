@@ -114,14 +114,14 @@ cf AS (SELECT b.*, least(1.0E0, ocr_confidence * CASE WHEN late THEN 0.2E0 ELSE
  LEFT JOIN lc s ON b.label = s.label AND b.ocr_original = s.ocr_original AND b.corrected = s.corrected)"""
 
 
-def scored(spark, d, only="true"):
+def scored(spark, d, only="true", replaced=False):
     """Learned text and confidence of the boxes that ``only`` names; what is learned comes from all of them."""
     e = entities(spark, d).withColumn("doc_type", doc_type())
     c = corr(spark, d)
     numeric = checked_broadcast(C.text_shapes(c).select("label", (F.col("numeric") > 0).alias("numeric_label")))
     placed = P.position_predict(e.filter(only), P.position_ranges(e.filter("was_corrected"), ["doc_type", "label"]))
     ready = placed.join(numeric, "label", "left").withColumn("numeric_label", F.coalesce("numeric_label", F.lit(False)))
-    return C.learned_confidence(ready, C.learned_corrections(c), C.by_label(c).withColumn("accuracy", C.accuracy(F.col("n"))))
+    return C.learned_confidence(ready, C.learned_corrections(c), C.by_label(c).withColumn("accuracy", C.accuracy(F.col("n"))), replaced)
 
 
 @query("correction_confidence", f"WITH {CONF_SQL} SELECT doc_id, entity_seq, round(confidence, 8) AS confidence, round(confidence, 8) < 0.8E0 AS needs_review FROM cf")
@@ -133,7 +133,7 @@ def correction_confidence(spark, d):
 @query("resolve_text", f"""WITH {CONF_SQL} SELECT doc_id, entity_seq, CASE WHEN was_corrected THEN text WHEN round(confidence, 8) > 0.8E0 AND corrected <> ocr_original THEN corrected ELSE ocr_original END AS resolved,
  CASE WHEN was_corrected THEN 'user' WHEN round(confidence, 8) > 0.8E0 AND corrected <> ocr_original THEN 'learned' ELSE 'ocr' END AS origin FROM cf""")
 def resolve_text(spark, d):
-    # What a user corrected needs no learned text: it stays where it is.
+    # What a user corrected needs no learned text and stays where it is; a reading that nothing replaces stays at any confidence.
     user = entities(spark, d).filter("was_corrected").select("*", F.lit(None).cast("string").alias("corrected"), F.lit(None).cast("double").alias("confidence"))
-    rest = scored(spark, d, "NOT coalesce(was_corrected, false)").withColumn("confidence", F.round("confidence", 8))
+    rest = scored(spark, d, "NOT coalesce(was_corrected, false)", replaced=True).withColumn("confidence", F.round("confidence", 8))
     return C.resolve_text(user).select(*KEY, "resolved", "origin").unionByName(C.resolve_text(rest).select(*KEY, "resolved", "origin"))

@@ -16,6 +16,12 @@ def test_one_table_gives_what_two_joins_give(spark):
     cols = ["doc_id", "corrected", "confidence", "needs_review"]
     want = sorted(map(str, C.correction_confidence(plain, learned, progress).select(*cols).collect()))
     assert sorted(map(str, C.learned_confidence(boxes, learned, progress).select(*cols).collect())) == want and len(want) == len(rows)
+    some = {r.doc_id: r for r in C.learned_confidence(boxes, learned, progress, replaced=True).select(*cols).collect()}
+    full = {r.doc_id: r for r in C.learned_confidence(boxes, learned, progress).select(*cols, "ocr_original").collect()}
+    assert len(some) == len(rows) and any(r.confidence for r in some.values())
+    for doc, r in full.items():
+        changed = r.corrected is not None and r.corrected != r.ocr_original
+        assert some[doc] == ((doc, r.corrected, r.confidence, r.needs_review) if changed else (doc, r.corrected, None, None))
 
 
 def test_boxes_are_dealt_once(spark, sf):
