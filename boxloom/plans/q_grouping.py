@@ -159,7 +159,7 @@ pgn AS (SELECT doc_id, arg_max(names, rn) AS names FROM pg GROUP BY doc_id)"""
 
 @query("prediction_groups", f"WITH {PRED_SQL} SELECT doc_id, entity_seq, pgn.names[k] AS group_id FROM pg JOIN pgn USING (doc_id)")
 def prediction_groups(spark, d):
-    return G.prediction_groups(entities(spark, d)).select(*KEY, "group_id")
+    return G.prediction_groups(entities(spark, d).select("doc_id", "page_number", "entity_seq", "label", "text", "y")).select(*KEY, "group_id")
 
 
 CHAIN10LE = chain_sql("cl10", "y, x", "y", "g > 10")
