@@ -47,3 +47,18 @@ def test_ordinary_pages_need_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(G, "near_pairs", lambda *a, **k: (_ for _ in ()).throw(AssertionError("rounds")))
     rows = some(5, [30, 12])
     assert got(G.prediction_groups(spark.createDataFrame(rows, SCHEMA))) == walk(rows)
+
+
+def test_functions_travel_without_the_package(tmp_path):
+    """Workers of a cluster need not have the package: nothing of it is sent by its name."""
+    import subprocess
+    import sys
+
+    from pyspark.cloudpickle import dumps
+
+    from boxloom import pages
+
+    (tmp_path / "view").write_bytes(dumps(pages._pages()))
+    read = "import pickle, pyarrow as pa; v = pickle.load(open('view', 'rb'))(pa.array([[{'s': 2}, {'s': 1}], [{'s': 5}]])); print(v.lists(v.field('s')).to_pylist())"
+    got = subprocess.run([sys.executable, "-c", read], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert got.stdout.strip().endswith("[[2, 1], [5]]"), got.stderr
