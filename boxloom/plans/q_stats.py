@@ -280,9 +280,9 @@ def suggest_label_rules(spark, d):
 PROB_SQL = f"""{RANGES_SQL}, pb AS (SELECT doc_id, entity_seq, label, score / sum(score) OVER (PARTITION BY doc_id, entity_seq) AS p FROM sc WHERE score > 0)"""
 
 
-def label_probs(spark, d, **also):
+def label_probs(spark, d, every=False, **also):
     e = typed(spark, d)
-    return P.label_probabilities(e, P.position_ranges(e.filter("was_corrected"), ["doc_type", "label"]), also=also)
+    return P.label_probabilities(e, P.position_ranges(e.filter("was_corrected"), ["doc_type", "label"]), also=also, every=every)
 
 
 @query("alternatives", f"""WITH {PROB_SQL} SELECT doc_id, entity_seq, label, round(p, 8) AS p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_seq ORDER BY p DESC, label) AS rn FROM pb) WHERE rn BETWEEN 2 AND 4 AND p > 0.1E0""")
