@@ -58,7 +58,7 @@ def test_functions_travel_without_the_package(tmp_path):
 
     from boxloom import pages
 
-    (tmp_path / "view").write_bytes(dumps(pages._pages()))
+    (tmp_path / "view").write_bytes(dumps(pages.page_view()))
     read = "import pickle, pyarrow as pa; v = pickle.load(open('view', 'rb'))(pa.array([[{'s': 2}, {'s': 1}], [{'s': 5}]])); print(v.lists(v.field('s')).to_pylist())"
     got = subprocess.run([sys.executable, "-c", read], cwd=tmp_path, capture_output=True, text=True, timeout=60)
     assert got.stdout.strip().endswith("[[2, 1], [5]]"), got.stderr
